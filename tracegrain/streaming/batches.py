@@ -1,0 +1,27 @@
+"""State that grows by one folder per micro-batch.
+
+A batch reads the folders of earlier batches and overwrites its own, so that a batch which is run
+again after a failure leaves the same result.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+class BatchTable:
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.path, self.schema = path, schema
+        empty = spark.createDataFrame([], schema)
+        empty.write.mode("ignore").parquet(f"{path}/batch_id=-1")
+
+    def write(self, df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
+
+    def before(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        stored = spark.read.schema(f"{self.schema}, batch_id bigint").parquet(self.path)
+        return stored.filter(F.col("batch_id") < batch_id)
+
+    def all(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema(f"{self.schema}, batch_id bigint").parquet(self.path).drop("batch_id")
