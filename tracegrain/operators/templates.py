@@ -231,8 +231,8 @@ def _merge_groups(threshold: float):
             leader += [leaders[cluster] for cluster in owner]
             emitted += seen
             final += [templates[cluster] for cluster in owner]
-        lines = group.loc[~group["is_seed"], ["masked", "first_line", "n", "leaf"]]
-        return lines.assign(leader_line=leader, emitted=emitted, template=final)
+        lines = {c: group[c].to_numpy()[~is_seed] for c in ("masked", "first_line", "n", "leaf")}
+        return pd.DataFrame({**lines, "leader_line": leader, "emitted": emitted, "template": final})
 
     return merge
 

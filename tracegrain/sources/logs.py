@@ -50,8 +50,8 @@ def mark_valid_utf8(df: DataFrame, column: str = "raw") -> DataFrame:
     return df.withColumn("is_valid", F.is_valid_utf8(column))
 
 
-def log_lines_from_events(events: DataFrame) -> DataFrame:
-    """One log line per event row."""
+def log_lines_from_events(events: DataFrame, *keep: str) -> DataFrame:
+    """One log line per event row, with further columns of ``events`` if asked for."""
     user = F.col("user_id").cast("string")
     value = F.floor("value").cast("int").cast("string")
     address = F.concat(
@@ -91,7 +91,8 @@ def log_lines_from_events(events: DataFrame) -> DataFrame:
         )
     )
     stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
-    return events.select(F.col("event_id").alias("line_no"), F.concat(stamp, F.lit(" "), body).alias("raw"))
+    raw = F.concat(stamp, F.lit(" "), body).alias("raw")
+    return events.select(F.col("event_id").alias("line_no"), raw, *keep)
 
 
 def lines_from_documents(documents: DataFrame) -> DataFrame:
