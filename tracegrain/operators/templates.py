@@ -232,7 +232,9 @@ def _merge_groups(threshold: float):
             emitted += seen
             final += [templates[cluster] for cluster in owner]
         lines = {c: group[c].to_numpy()[~is_seed] for c in ("masked", "first_line", "n", "leaf")}
-        return pd.DataFrame({**lines, "leader_line": leader, "emitted": emitted, "template": final})
+        # Explicit types: a group of seeds only gives no rows.
+        texts = {"emitted": np.array(emitted, dtype=object), "template": np.array(final, dtype=object)}
+        return pd.DataFrame({**lines, "leader_line": np.array(leader, dtype=np.int64), **texts})
 
     return merge
 
