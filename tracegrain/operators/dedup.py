@@ -93,7 +93,7 @@ def _walk(rows: pd.DataFrame) -> pd.DataFrame:
         keep.append(fresh)
         if fresh:
             taken.update(own)
-    return rows[keep]
+    return rows.loc[keep, ["line_no", "bands"]]
 
 
 def first_wins(rows: DataFrame, width: int, earlier: DataFrame | None = None) -> Kept:
@@ -114,7 +114,9 @@ def first_wins(rows: DataFrame, width: int, earlier: DataFrame | None = None) ->
         undecided = _open(state)
     while undecided.rows:
         if rounds >= TAIL_ROUNDS and undecided.rows <= TAIL_ROWS:
-            tail = undecided.df.groupBy(F.lit(0)).applyInPandas(_walk, undecided.df.schema)
+            tail = undecided.df.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(
+                _walk, undecided.df.schema
+            )
             kept.append(materialize(tail, "dedup-tail").df)
             break
         firsts = buckets(undecided.df).groupBy("band", "key").agg(
