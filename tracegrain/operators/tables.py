@@ -101,6 +101,15 @@ def materialize(df: DataFrame, label: str) -> Table:
     return Table(saved, (counted["rows"], counted["bytes"] or 0))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores for the work on a table that lies in fewer files than there are cores.
+
+    A large table has more splits than that and stays where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def lookup_join(
     rows: DataFrame,
     lookup: Table,

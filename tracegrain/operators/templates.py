@@ -76,14 +76,23 @@ def collapse_masked(df: DataFrame) -> DataFrame:
     )
 
 
-def leaf_key(masked: Column | str, prefix_tokens: int = Mining.prefix_tokens) -> Column:
-    """Word count and leading words, a word with a digit counting as the wildcard.
+def with_head(collapsed: DataFrame, prefix_tokens: int = Mining.prefix_tokens) -> DataFrame:
+    """Add the word count and the routing words, so that lines are cut into words only once."""
+    split = collapsed.withColumn("_words", tokens("masked"))
+    head = F.transform(F.slice("_words", 1, _depth(F.size("_words"), prefix_tokens)), generalize_digits)
+    return split.withColumns({"words": F.size("_words"), "head": head}).drop("_words")
 
-    The last word never routes, unless the prefix covers more than the whole line.
-    """
+
+def _depth(words: Column, prefix_tokens: int) -> Column:
+    """The last word never routes."""
+    return F.greatest(F.least(F.lit(prefix_tokens), words - 1), F.lit(0))
+
+
+def leaf_key(masked: Column | str, prefix_tokens: int = Mining.prefix_tokens) -> Column:
+    """Word count and leading words, a word with a digit counting as the wildcard."""
     words = tokens(masked)
-    depth = F.greatest(F.least(F.lit(prefix_tokens), F.size(words) - 1), F.lit(0))
-    return _leaf(F.size(words), F.transform(F.slice(words, F.lit(1), depth), generalize_digits))
+    head = F.slice(words, F.lit(1), _depth(F.size(words), prefix_tokens))
+    return _leaf(F.size(words), F.transform(head, generalize_digits))
 
 
 def _leaf(count: Column, route: Column) -> Column:
@@ -101,17 +110,15 @@ def route(
     prefix_tokens: int = Mining.prefix_tokens,
     max_children: int = Mining.max_children,
 ) -> tuple[DataFrame, Table]:
-    """Add ``leaf`` to (masked, first_line) rows, with at most ``max_children`` branches per node.
+    """Add ``leaf`` to rows of ``with_head``, with at most ``max_children`` branches per node.
 
     A node keeps the branches whose words were seen first, and one of its branches is the wildcard
     that takes all other words. ``known`` holds the words of earlier chunks; the second result holds
     those and the new ones.
     """
-    words = tokens("masked")
-    routed = items.withColumn("leaf", F.size(words).cast("string"))
+    routed = items.withColumn("leaf", F.col("words").cast("string"))
     for i in range(prefix_tokens):
-        word = F.when(F.size(words) - 1 > i, generalize_digits(F.get(words, F.lit(i))))
-        routed = routed.withColumn("_word", word)
+        routed = routed.withColumn("_word", F.get("head", F.lit(i)))
         seen = routed.filter(F.col("_word") != WILDCARD).select(
             F.col("leaf").alias("node"), F.col("_word").alias("word"), "first_line", F.lit(1).alias("n")
         )
@@ -158,50 +165,44 @@ def _merge_leaf(lines: list[list[str]], seeds: list[list[str]], threshold: float
     Returns the cluster of every line, its template right after the line, and the final templates.
     """
     length = len(lines[0] if lines else seeds[0])
-    codes: dict[str, int] = {WILDCARD: -1}
-    vocabulary: list[str] = []
-
-    def encode(words: list[str]) -> np.ndarray:
-        row = np.empty(length, dtype=np.int32)
-        for i, word in enumerate(words):
-            code = codes.get(word)
-            if code is None:
-                code = codes[word] = len(vocabulary)
-                vocabulary.append(word)
-            row[i] = code
-        return row
-
-    def decode(row: np.ndarray) -> str:
-        return " ".join(WILDCARD if code < 0 else vocabulary[code] for code in row)
+    codes = {WILDCARD: 0}
+
+    def encode(words: list[str]) -> list[int]:
+        return [codes.setdefault(word, len(codes)) for word in words]
 
     used = len(seeds)
-    clusters = np.empty((max(16, used), length), dtype=np.int32)
-    for i, words in enumerate(seeds):
-        clusters[i] = encode(words)
-    wild = np.zeros(len(clusters), dtype=np.int64)
-    wild[:used] = (clusters[:used] < 0).sum(axis=1)
+    clusters = np.zeros((max(16, used), length), dtype=np.int32)
+    if used:
+        clusters[:used] = [encode(words) for words in seeds]
+    wild = (clusters == 0).sum(axis=1)
+    templates = [" ".join(words) for words in seeds]
     owner, emitted = [], []
     for words in lines:
-        row = encode(words)
+        row = np.array(encode(words), dtype=np.int32)
         target = -1
         if used:
-            equal = ((clusters[:used] == row) & (clusters[:used] >= 0)).sum(axis=1)
+            equal = ((clusters[:used] == row) & (row > 0)).sum(axis=1)
             best = int(np.argmax(equal * (length + 1) + wild[:used]))
             if length == 0 or equal[best] / length >= threshold:
                 target = best
         if target < 0:
             if used == len(clusters):
-                clusters = np.concatenate([clusters, np.empty_like(clusters)])
+                clusters = np.concatenate([clusters, np.zeros_like(clusters)])
                 wild = np.concatenate([wild, np.zeros_like(wild)])
             target = used
-            clusters[target] = row
             used += 1
+            clusters[target] = row
+            templates.append(" ".join(words))
         else:
-            clusters[target][clusters[target] != row] = -1
-        wild[target] = (clusters[target] < 0).sum()
+            differs = clusters[target] != row
+            if differs.any():
+                clusters[target][differs] = 0
+                open_slots = zip(templates[target].split(" "), differs)
+                templates[target] = " ".join(WILDCARD if d else word for word, d in open_slots)
+        wild[target] = (clusters[target] == 0).sum()
         owner.append(target)
-        emitted.append(decode(clusters[target]))
-    return owner, emitted, [decode(clusters[i]) for i in range(used)]
+        emitted.append(templates[target])
+    return owner, emitted, templates
 
 
 _WORDS = re.compile(r"\S+", re.ASCII).findall
@@ -247,7 +248,7 @@ def _split_large_leaves(items: DataFrame, options: Mining):
     """
     def large(df: DataFrame) -> Table:
         sizes = df.groupBy("leaf").agg(
-            F.count(F.lit(1)).alias("_lines"), F.sum(F.size(tokens("masked"))).alias("_words")
+            F.count(F.lit(1)).alias("_lines"), F.sum("words").alias("_words")
         )
         return materialize(
             sizes.filter(
@@ -268,7 +269,10 @@ def _split_large_leaves(items: DataFrame, options: Mining):
         rest.filter("not is_seed").withColumn("form", fast_template("masked")), "digit-free-lines"
     ).df
     distinct = forms.groupBy("form").agg(
-        F.min("first_line").alias("first_line"), F.sum("n").alias("n"), F.first("leaf").alias("leaf")
+        F.min("first_line").alias("first_line"),
+        F.sum("n").alias("n"),
+        F.first("words").alias("words"),
+        F.first("leaf").alias("leaf"),
     )
     rest = distinct.withColumnRenamed("form", "masked").withColumn("is_seed", F.lit(False))
     rest = rest.unionByName(seeds.select(rest.columns))
@@ -279,7 +283,7 @@ def _split_large_leaves(items: DataFrame, options: Mining):
         leaves = large(rest_table)
         if leaves.rows == 0:
             return done.unionByName(rest_table.select(done.columns)), forms
-        longest = rest_table.agg(F.max(F.size(tokens("masked")))).first()[0]
+        longest = rest_table.agg(F.max("words")).first()[0]
         whole = lookup_join(rest_table, leaves, ["leaf"], "left", "_lines", "first_line")
         done = done.unionByName(whole.filter(F.col("_lines").isNull()).select(done.columns))
         rest = whole.filter(F.col("_lines").isNotNull()).drop("_lines", "_words")
@@ -297,30 +301,29 @@ def _merge(
     options: Mining,
 ) -> tuple[Table, Table]:
     """Clusters of distinct masked lines; seeds are the clusters of earlier chunks."""
-    items, children = route(
-        collapsed.select("masked", "first_line", "n"), known, options.prefix_tokens, options.max_children
-    )
-    items = items.withColumn("is_seed", F.lit(False))
+    items, children = route(collapsed.drop("raw_bytes"), known, options.prefix_tokens, options.max_children)
+    items = items.drop("head").withColumn("is_seed", F.lit(False))
     if seeds is not None:
         items = items.unionByName(
             seeds.select(
                 F.col("template").alias("masked"),
                 F.col("leader_line").alias("first_line"),
                 F.lit(0).cast("bigint").alias("n"),
+                F.size(tokens("template")).alias("words"),
                 "leaf",
                 F.lit(True).alias("is_seed"),
             )
         )
     items = materialize(items, "routed").df
     total = items.agg(
-        F.count(F.lit(1)).alias("lines"), F.coalesce(F.sum(F.size(tokens("masked"))), F.lit(0)).alias("words")
+        F.count(F.lit(1)).alias("lines"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")
     ).first()
     forms = None
     if total["lines"] > options.max_leaf_lines or total["words"] > options.max_leaf_words:
         items, forms = _split_large_leaves(items, options)
     cores = items.sparkSession.sparkContext.defaultParallelism
-    groups = max(total["lines"] // GROUP_LINES, total["words"] // GROUP_WORDS, min(cores, total["lines"] // 500)) + 1
-    packed = items.withColumn("_group", F.pmod(F.xxhash64("leaf"), F.lit(groups)))
+    groups = max(total["lines"] // GROUP_LINES, total["words"] // GROUP_WORDS, min(3 * cores, total["lines"] // 500)) + 1
+    packed = items.drop("words").withColumn("_group", F.pmod(F.xxhash64("leaf"), F.lit(groups)))
     merged = (
         packed.repartition(min(groups, 20_000), "_group")
         .groupBy("_group")
@@ -342,11 +345,15 @@ def _merge(
 
 def mine_templates(df: DataFrame, options: Mining = Mining()) -> Model:
     """Learn the clusters of ``(line_no, raw, masked)`` rows."""
-    return mine_collapsed(materialize(collapse_masked(df), "collapsed").df, options)
+    return mine_collapsed(collapsed_table(df, options).df, options)
+
+
+def collapsed_table(df: DataFrame, options: Mining = Mining()) -> Table:
+    return materialize(with_head(collapse_masked(df), options.prefix_tokens), "collapsed")
 
 
 def mine_collapsed(collapsed: DataFrame, options: Mining = Mining()) -> Model:
-    """``mine_templates`` on the result of ``collapse_masked``."""
+    """``mine_templates`` on the result of ``collapsed_table``."""
     merged, children = _merge(collapsed, None, None, options)
     clusters = merged.df.groupBy("leader_line").agg(
         F.first("leaf").alias("leaf"),
@@ -364,7 +371,7 @@ def extend_model(df: DataFrame, model: Model, options: Mining = Mining()) -> tup
     Masked lines seen before keep their cluster; new ones go through the same greedy merge with the
     stored clusters in front. The second result holds the assignments of the new masked lines.
     """
-    collapsed = materialize(collapse_masked(df).drop("raw_bytes"), "collapsed").df
+    collapsed = collapsed_table(df, options).df
     past = model.assignments.df.select("masked", "leader_line")
     seen = collapsed.join(past, "masked")
     unseen = collapsed.join(past, "masked", "left_anti")

@@ -17,7 +17,7 @@ from tracegrain.operators.tables import lookup_join, materialize
 from tracegrain.operators.templates import (
     Mining,
     Model,
-    collapse_masked,
+    collapsed_table,
     mine_collapsed,
     template_lookup,
     with_mask,
@@ -52,7 +52,7 @@ def analyze(
     themselves are read twice only: once to collapse them, once to fetch the lines that were kept.
     ``freq_source="raw"`` counts the lines of a cluster before instead of after dedup.
     """
-    collapsed = materialize(collapse_masked(with_mask(lines)), "collapsed").df
+    collapsed = collapsed_table(with_mask(lines), mining).df
     model = mine_collapsed(collapsed, mining)
     lookup = template_lookup(model, online).df
     firsts = materialize(

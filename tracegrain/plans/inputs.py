@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracegrain.functions.minhash import PRIME, permutations
 from tracegrain.functions.text import MASK_RULES, extract_level
-from tracegrain.operators.tables import dense_ids, lookup_join, materialize
+from tracegrain.operators.tables import dense_ids, lookup_join, materialize, spread
 from tracegrain.operators.templates import fast_templates, with_mask
 from tracegrain.sources.logs import lines_from_documents, log_lines_from_events
 
@@ -20,11 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def log_lines(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
-    return log_lines_from_events(table(spark, sf_dir, "events"), *keep)
+    return log_lines_from_events(spread(table(spark, sf_dir, "events"), "event_id"), *keep)
 
 
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines_from_documents(table(spark, sf_dir, "documents"))
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines_from_documents(spread(documents, "doc_id"))
 
 
 def templated(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
