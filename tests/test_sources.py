@@ -124,9 +124,9 @@ def test_lookup_join_with_hot_keys(spark, monkeypatch):
 
 
 def test_dense_ids_across_ranges(spark):
-    values = [0, 5, 7, 1000, 1001, 5000, 123456]
+    values = [0, 5, 7, 1000, 1001, 5000, 9_000_000_000]
     df = spark.createDataFrame([(v,) for v in values], "v bigint").repartition(3)
-    out = tables.dense_ids(df, "v", "id", start=10, bucket=1000).orderBy("v").collect()
+    out = tables.dense_ids(df, "v", "id", start=10, bits=3).orderBy("v").collect()
     assert [r["id"] for r in out] == list(range(11, 18))
 
 

@@ -122,8 +122,10 @@ def first_wins(rows: DataFrame, width: int, earlier: DataFrame | None = None) ->
         firsts = buckets(undecided.df).groupBy("band", "key").agg(
             F.min("line_no").alias("winner"), F.count(F.lit(1)).alias("n")
         )
-        leading = firsts.groupBy("winner").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") == width)
-        state = _decide(undecided, firsts.join(leading, "winner", "left_semi"))
+        # At most ``width`` buckets per row: a leader of all its buckets wins them.
+        led = firsts.groupBy("winner").agg(F.collect_list(F.struct("band", "key", "n")).alias("_b"))
+        won = led.filter(F.size("_b") == width).select("winner", F.inline("_b"))
+        state = _decide(undecided, won)
         kept.append(state.df.filter("state = 'kept'").drop("state"))
         undecided = _open(state)
         rounds += 1

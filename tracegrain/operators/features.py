@@ -18,7 +18,7 @@ def with_cluster_freq(df: DataFrame, salt: str = "line_no") -> DataFrame:
     counts = materialize(
         df.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("cluster_freq")), "cluster-freq"
     )
-    return lookup_join(df, counts, ["cluster_id"], "inner", "cluster_freq", salt)
+    return lookup_join(df, counts, ["cluster_id"], "left", "cluster_freq", salt)
 
 
 def feature_columns(df: DataFrame) -> DataFrame:

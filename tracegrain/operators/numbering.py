@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracegrain.operators.tables import lookup_join, materialize
+from tracegrain.operators.tables import lookup_join, materialize, rows_before
 
 CHUNK_SIZE = 500
 
@@ -29,26 +29,9 @@ def with_line_no(df: DataFrame) -> DataFrame:
         ),
         "blocks",
     )
-    to_here = (Window.unboundedPreceding, -1)
-    in_file = Window.partitionBy("_file").orderBy("_block").rowsBetween(*to_here)
-    by_file = Window.orderBy("_file").rowsBetween(*to_here)
-    files = (
-        blocks.df.groupBy("_file")
-        .agg(F.sum("_rows").alias("_n"))
-        .select("_file", F.coalesce(F.sum("_n").over(by_file), F.lit(0)).alias("_files_before"))
-    )
-    offsets = blocks.df.withColumn(
-        "_blocks_before", F.coalesce(F.sum("_rows").over(in_file), F.lit(0))
-    ).join(files, "_file")
-    table = materialize(
-        offsets.select(
-            "_file",
-            "_block",
-            "_rows",
-            (F.col("_files_before") + F.col("_blocks_before") - F.col("_first")).alias("_shift"),
-        ),
-        "block-offsets",
-    )
+    offsets = rows_before(blocks.df, "_file", "_block", "_rows", "_before")
+    shift = (F.col("_before") - F.col("_first")).alias("_shift")
+    table = materialize(offsets.select("_file", "_block", "_rows", shift), "block-offsets")
     joined = lookup_join(placed, table, ["_file", "_block"], "inner", "_rows", salt="_id")
     return joined.select((F.col("_id") + F.col("_shift")).alias("line_no"), *df.columns)
 

@@ -72,16 +72,15 @@ class Table:
 
 
 def _size_columns(df: DataFrame) -> list[Column]:
-    width = F.lit(0).cast("bigint")
+    """Row count and bytes: 16 per value, plus the length of texts and 32 per array entry."""
+    parts = [f"{16 * len(df.columns)}L"]
     for field in df.schema.fields:
         kind = field.dataType.typeName()
         if kind in ("string", "binary"):
-            width = width + F.coalesce(F.octet_length(field.name), F.lit(0))
+            parts.append(f"coalesce(octet_length(`{field.name}`), 0)")
         elif kind == "array":
-            # The arrays here hold short keys, words or numbers.
-            width = width + F.coalesce(F.size(field.name), F.lit(0)) * 32
-        width = width + 16
-    return [F.count(F.lit(1)).alias("rows"), F.sum(width).alias("bytes")]
+            parts.append(f"32 * coalesce(size(`{field.name}`), 0)")
+    return [F.expr("count(1) as rows"), F.expr(f"sum({' + '.join(parts)}) as bytes")]
 
 
 def materialize(df: DataFrame, label: str) -> Table:
@@ -153,18 +152,34 @@ def salted_join(
     return salted.join(spread, [*on, "_piece"], how).drop("_piece", "_pieces")
 
 
-def dense_ids(df: DataFrame, order: str, name: str, start: int = 0, bucket: int = 1 << 20) -> DataFrame:
+def rows_before(df: DataFrame, group: str, order: str, rows: str, name: str) -> DataFrame:
+    """Running total of ``rows`` in the order of ``group``, then ``order``, the row itself excluded.
+
+    Totals run inside each group in parallel; only one row per group is ordered as a whole.
+    """
+    earlier = (Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(group).orderBy(order).rowsBetween(*earlier)
+    across = Window.orderBy(group).rowsBetween(*earlier)
+    groups = df.groupBy(group).agg(F.sum(rows).alias("_n")).select(
+        group, F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_groups")
+    )
+    total = F.coalesce(F.sum(rows).over(inside), F.lit(0))
+    return df.withColumn("_inside", total).join(groups, group).withColumn(
+        name, F.col("_groups") + F.col("_inside")
+    ).drop("_groups", "_inside")
+
+
+def dense_ids(df: DataFrame, order: str, name: str, start: int = 0, bits: int = 20) -> DataFrame:
     """Number rows 1, 2, 3 … after ``start`` by a unique whole-number column, without a global sort.
 
-    Rows are numbered within ranges of ``bucket`` values (so at most that many per range), and the
-    ranges are offset by running totals of their counts.
+    Rows are numbered within ranges of ``2**bits`` values, which bounds the rows of a range, and
+    offset by running totals over the ranges.
     """
-    ranged = df.withColumn("_range", F.floor(F.col(order) / bucket).cast("long"))
-    totals = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    ranged = df.withColumn("_range", F.shiftright(F.col(order), bits))
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+    counts = counts.withColumn("_block", F.shiftright("_range", 16))
+    offsets = rows_before(counts, "_block", "_range", "_rows", "_before").select("_range", "_before")
     within = F.row_number().over(Window.partitionBy("_range").orderBy(order))
     numbered = ranged.withColumn("_within", within).join(offsets, "_range")
-    return numbered.withColumn(
-        name, (F.col("_before") + F.col("_within") + F.lit(start)).cast("int")
-    ).drop("_range", "_within", "_before")
+    number = F.col("_before") + F.col("_within") + F.lit(start)
+    return numbered.withColumn(name, number.cast("int")).drop("_range", "_within", "_before")

@@ -355,13 +355,10 @@ def collapsed_table(df: DataFrame, options: Mining = Mining()) -> Table:
 def mine_collapsed(collapsed: DataFrame, options: Mining = Mining()) -> Model:
     """``mine_templates`` on the result of ``collapsed_table``."""
     merged, children = _merge(collapsed, None, None, options)
-    clusters = merged.df.groupBy("leader_line").agg(
-        F.first("leaf").alias("leaf"),
-        F.first("template").alias("template"),
-        F.sum("n").alias("n"),
-        F.min("first_line").alias("first_line"),
-    )
-    templates = materialize(dense_ids(clusters, "leader_line", "cluster_id"), "templates")
+    counts = merged.df.groupBy("leader_line").agg(F.sum("n").alias("n"))
+    leaders = merged.df.filter("first_line = leader_line").select("leader_line", "leaf", "template", "first_line")
+    templates = dense_ids(leaders, "leader_line", "cluster_id").join(counts, "leader_line")
+    templates = materialize(templates, "templates")
     return Model(templates, merged.narrowed("masked", "first_line", "n", "leader_line", "emitted"), children)
 
 

@@ -38,7 +38,7 @@ def clustered(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     rows = templated(spark, sf_dir, *keep)
     firsts = rows.groupBy("template").agg(F.min("line_no").alias("_first"), F.count(F.lit(1)).alias("_n"))
     ids = materialize(dense_ids(firsts, "_first", "cluster_id"), "cluster-ids")
-    return lookup_join(rows, ids, ["template"], "inner", "_n").drop("_first", "_n")
+    return lookup_join(rows, ids, ["template"], "left", "_n").drop("_first", "_n")
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
