@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracegrain.operators import features, forest
+from tracegrain.operators import features, forest, tables
 from tracegrain.operators.tables import Table, materialize
 from tracegrain.plans.analyze import analyze, run
 from tracegrain.sources.scored import read_scored
@@ -125,6 +125,18 @@ def test_frequency_before_dedup(spark, lines):
     assert out == {0: 4, 4: 3, 7: 1, 8: 1, 9: 1}
 
 
+def test_analysis_without_broadcast(spark, lines, monkeypatch):
+    """Tables that are too large to broadcast give the same result by shuffles."""
+    from tests.test_templates import random_lines
+
+    df = lines(random_lines(32, 100) + LINES * 20)
+    expected = sorted(map(str, analyze(df).scored.select("line_no", "cluster_id", "anomaly_score").collect()))
+    monkeypatch.setattr(tables, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(tables, "HOT_SHARE", 10)
+    out = analyze(df).scored.select("line_no", "cluster_id", "anomaly_score")
+    assert sorted(map(str, out.collect())) == expected
+
+
 def test_empty_analysis(spark, lines):
     done = analyze(lines([]))
     assert done.scored.count() == 0

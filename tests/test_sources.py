@@ -134,6 +134,9 @@ def test_cluster_needs_a_shared_folder(monkeypatch):
     class Context:
         master = "yarn"
 
+        def getCheckpointDir(self):
+            return None
+
     class Conf:
         def get(self, key, default):
             return default

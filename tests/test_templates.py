@@ -82,7 +82,7 @@ def test_empty_and_single(spark, lines):
     assert mined(lines(["", " ", "x"])) == [("", 1), ("", 1), ("x", 2)]
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 @pytest.mark.parametrize("threshold, prefix, children", [(0.5, 1, 100), (0.4, 2, 4), (0.7, 1, 3)])
 def test_equals_the_loop(spark, lines, seed, threshold, prefix, children):
     texts = random_lines(seed, 120)
@@ -113,7 +113,7 @@ def test_online_templates(spark, lines):
     assert {r["template"] for r in out} == {"go a b <*>"}
 
 
-@pytest.mark.parametrize("seed", range(2))
+@pytest.mark.parametrize("seed", [0])
 def test_chunks_equal_one_pass(spark, lines, seed):
     """Chunks that share the model end with the clusters of a single pass."""
     texts = random_lines(seed + 20, 150)

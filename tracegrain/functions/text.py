@@ -70,8 +70,12 @@ def extract_level(raw: Column | str, word_match: bool = False) -> Column:
 
     ``word_match`` asks for whole words instead, so that "information" is no INFO.
     """
-    upper = F.upper(_col(raw))
-    found = F
+    return level_of_upper(F.upper(_col(raw)), word_match)
+
+
+def level_of_upper(upper: Column | str, word_match: bool = False) -> Column:
+    """``extract_level`` of a line that is upper case already."""
+    upper, found = _col(upper), F
     for word, code in LEVEL_WORDS:
         hit = upper.rlike(rf"\b{word}\b") if word_match else upper.contains(word)
         found = found.when(hit, F.lit(code))

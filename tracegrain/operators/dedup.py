@@ -12,7 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracegrain.functions.minhash import band_keys, banding, minhash
@@ -29,10 +29,14 @@ SKEW_ROWS = 5_000_000
 
 @dataclass(frozen=True)
 class Kept:
-    """Kept rows ``line_no, bands`` and the number of rounds it took to find them."""
+    """Kept rows ``line_no, bands``, their number, and the rounds it took to find them."""
 
     df: DataFrame
     rounds: int
+    rows: int
+
+    def lines(self) -> Table:
+        return Table(self.df.select("line_no"), (self.rows, 16 * self.rows))
 
     def bands(self) -> DataFrame:
         """The bucket table of the kept rows: one row per bucket."""
@@ -56,31 +60,26 @@ def _first_of_text(df: DataFrame, text: str) -> DataFrame:
     return df.groupBy(F.coalesce(text, F.lit("")).alias(text)).agg(F.min("line_no").alias("line_no"))
 
 
-def _decide(undecided: Table, won: DataFrame) -> Table:
-    """One round: the state of every undecided row, given ``band, key, winner, n`` of won buckets."""
-    rows = buckets(undecided.df)
-    if undecided.rows * 4 > SKEW_ROWS:
-        limit = max(undecided.rows // HOT_SHARE, 1)
-        joined = salted_join(rows, won, ["band", "key"], "left", "n", "line_no", limit)
+def _drop_hit(rows: DataFrame, won: DataFrame, total: int) -> Table:
+    """``rows`` without those that stand in a bucket of ``won`` (band, key, n).
+
+    ``total`` is the size of the bucket table that the counts ``n`` belong to.
+    """
+    won = won.withColumn("_won", F.lit(True))
+    if total > SKEW_ROWS:
+        limit = max(total // HOT_SHARE, 1)
+        joined = salted_join(buckets(rows), won, ["band", "key"], "left", "n", "line_no", limit)
     else:
-        joined = rows.join(won, ["band", "key"], "left")
+        joined = buckets(rows).join(won, ["band", "key"], "left")
     state = joined.groupBy("line_no").agg(
-        F.array_sort(F.collect_list(F.struct("band", "key"))).alias("_b"),
-        F.max(F.col("winner") == F.col("line_no")).alias("_kept"),
-        F.max(F.col("winner").isNotNull()).alias("_hit"),
-    )
-    return materialize(
-        state.select(
-            "line_no",
-            F.transform("_b", lambda b: b["key"]).alias("bands"),
-            F.when(F.col("_kept"), "kept").when(F.col("_hit"), "dropped").otherwise("open").alias("state"),
-        ),
-        "dedup-round",
+        F.array_sort(F.collect_list(F.struct("band", "key"))).alias("_b"), F.max("_won").alias("_hit")
     )
+    still_open = state.filter(F.col("_hit").isNull())
+    return materialize(still_open.select("line_no", _keys("_b").alias("bands")), "dedup-open")
 
 
-def _open(state: Table) -> Table:
-    return Table(state.df.filter("state = 'open'").drop("state"))
+def _keys(pairs: str) -> Column:
+    return F.transform(pairs, lambda b: b["key"])
 
 
 def _walk(rows: pd.DataFrame) -> pd.DataFrame:
@@ -102,42 +101,47 @@ def first_wins(rows: DataFrame, width: int, earlier: DataFrame | None = None) ->
     ``earlier`` is the bucket table of rows kept before.
     """
     undecided = materialize(rows, "dedup-bands")
-    kept, rounds = [], 0
+    kept: list[Table] = []
+    rounds = 0
     empty = undecided.df.limit(0)
     if undecided.rows == 0:
-        return Kept(empty, 0)
+        return Kept(empty, 0, 0)
     if earlier is not None:
         sizes = buckets(undecided.df).groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"))
         won = sizes.join(earlier.select("band", "key"), ["band", "key"], "left_semi")
-        won = won.withColumn("winner", F.lit(-1).cast("bigint"))
-        state = _decide(undecided, won)
-        undecided = _open(state)
+        undecided = _drop_hit(undecided.df, won, undecided.rows * width)
     while undecided.rows:
         if rounds >= TAIL_ROUNDS and undecided.rows <= TAIL_ROWS:
             tail = undecided.df.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(
                 _walk, undecided.df.schema
             )
-            kept.append(materialize(tail, "dedup-tail").df)
+            kept.append(materialize(tail, "dedup-tail"))
             break
         firsts = buckets(undecided.df).groupBy("band", "key").agg(
-            F.min("line_no").alias("winner"), F.count(F.lit(1)).alias("n")
+            F.min("line_no").alias("line_no"), F.count(F.lit(1)).alias("n")
+        )
+        # At most ``width`` buckets per row. A row that is first in all of its buckets is kept.
+        led = firsts.groupBy("line_no").agg(
+            F.array_sort(F.collect_list(F.struct("band", "key", "n"))).alias("_b")
         )
-        # At most ``width`` buckets per row: a leader of all its buckets wins them.
-        led = firsts.groupBy("winner").agg(F.collect_list(F.struct("band", "key", "n")).alias("_b"))
-        won = led.filter(F.size("_b") == width).select("winner", F.inline("_b"))
-        state = _decide(undecided, won)
-        kept.append(state.df.filter("state = 'kept'").drop("state"))
-        undecided = _open(state)
+        leaders = materialize(led.filter(F.size("_b") == width), "dedup-kept")
+        kept.append(leaders.narrowed("line_no", _keys("_b").alias("bands")))
         rounds += 1
+        if leaders.rows == undecided.rows:
+            break
+        # Buckets without other rows have nothing left to drop.
+        won = leaders.df.select(F.inline("_b")).filter("n > 1")
+        rest = undecided.df.join(leaders.df.select("line_no"), "line_no", "left_anti")
+        undecided = _drop_hit(rest, won, undecided.rows * width)
     out = empty
     for part in kept:
-        out = out.unionByName(part)
-    return Kept(out, rounds)
+        out = out.unionByName(part.df)
+    return Kept(out, rounds, sum(part.rows for part in kept))
 
 
-def keep_lines(df: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose line was kept."""
-    return lookup_join(df, Table(kept.select("line_no")), ["line_no"], "left_semi")
+def keep_lines(df: DataFrame, lines: Table) -> DataFrame:
+    """Rows of ``df`` whose line is listed."""
+    return lookup_join(df, lines, ["line_no"], "left_semi")
 
 
 def find_kept(
@@ -153,7 +157,7 @@ def find_kept(
 
 def dedup_first_wins(df: DataFrame, text: str = "template", threshold: float = 0.8, num_perm: int = 64) -> DataFrame:
     """Rows of ``df`` that survive, in the order of ``line_no``."""
-    return keep_lines(df, find_kept(df, text, threshold, num_perm).df)
+    return keep_lines(df, find_kept(df, text, threshold, num_perm).lines())
 
 
 def dedup_incremental(
@@ -165,14 +169,14 @@ def dedup_incremental(
 ) -> tuple[DataFrame, DataFrame]:
     """Survivors of a further chunk, and the buckets to append to ``earlier``."""
     kept = find_kept(df, text, threshold, num_perm, earlier)
-    return keep_lines(df, kept.df), kept.bands()
+    return keep_lines(df, kept.lines()), kept.bands()
 
 
 def dedup_exact(df: DataFrame, text: str = "template") -> DataFrame:
     """First row of every distinct set of lower-cased words."""
     words = F.array_join(F.array_sort(F.array_distinct(tokens(F.coalesce(text, F.lit("")), lower=True))), " ")
     firsts = df.groupBy(words.alias("_words")).agg(F.min("line_no").alias("line_no"))
-    return keep_lines(df, materialize(firsts.select("line_no"), "first-lines").df)
+    return keep_lines(df, materialize(firsts.select("line_no"), "first-lines"))
 
 
 def near_dup_pairs(

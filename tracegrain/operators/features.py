@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracegrain.functions.text import extract_hour, extract_level, word_count
+from tracegrain.functions.text import extract_hour, level_of_upper, word_count
 from tracegrain.operators.tables import lookup_join, materialize
 
 
@@ -24,13 +24,14 @@ def with_cluster_freq(df: DataFrame, salt: str = "line_no") -> DataFrame:
 def feature_columns(df: DataFrame) -> DataFrame:
     """The four features as columns and as one array; needs ``cluster_freq``."""
     text = F.coalesce("template", "raw") if "template" in df.columns else F.col("raw")
-    out = df.withColumns(
+    # The upper-case line is a column of its own, as every severity word looks at it.
+    out = df.withColumn("_upper", F.upper("raw")).withColumns(
         {
-            "log_level": extract_level("raw"),
+            "log_level": level_of_upper("_upper"),
             "hour": extract_hour("raw"),
             "template_length": word_count(text),
         }
-    )
+    ).drop("_upper")
     parts = ("log_level", "cluster_freq", "hour", "template_length")
     return out.withColumn("features", F.array(*[F.col(c).cast("int") for c in parts]))
 

@@ -500,6 +500,25 @@ def _(spark, sf):
     return explore.cluster_ids(clustered(spark, sf))
 
 
+_COUNTS = """with stages as (select (select count(*) from log) as lines, (select count(*) from firsts) as kept,
+  (select cast(sum(strlen(raw)) as bigint) from log) as bytes,
+  (select cast(sum(strlen(raw)) as bigint) from log join firsts on line_no = first_line) as kept_bytes)
+select 1 as stage, lines as lines_in, lines as lines_out, null::bigint as unique_templates,
+  null::bigint as entries_removed, 0.0::double as reduction_pct, bytes + lines - 1 as size_after_bytes from stages
+union all select 2, lines, lines, kept, null, 0.0, null from stages
+union all select 3, lines, kept, null, lines - kept, round((1 - kept / lines) * 100, 1), kept_bytes + kept - 1 from stages
+union all select 4, kept, kept, null, null, 0.0, null from stages"""
+
+
+@query("stage_counts", with_ctes(_COUNTS, "firsts").replace("\nwith stages", ", stages"))
+def _(spark, sf):
+    """The part of the ledger that does not depend on scores and file sizes."""
+    ledger = run(log_lines(spark, sf), new_path(spark, "stored")).ledger
+    return ledger.filter("stage < 5").select(
+        "stage", "lines_in", "lines_out", "unique_templates", "entries_removed", "reduction_pct", "size_after_bytes"
+    )
+
+
 @query("stage_ledger")
 def _(spark, sf):
     return run(log_lines(spark, sf), new_path(spark, "stored")).ledger
@@ -581,7 +600,7 @@ def _(spark, sf):
 def _(spark, sf):
     first, second = _halves(text_lines(spark, sf))
     kept = dedup.find_kept(first, "raw")
-    early = dedup.keep_lines(first, kept.df)
+    early = dedup.keep_lines(first, kept.lines())
     late, _ = dedup.dedup_incremental(second, kept.bands(), "raw")
     return early.unionByName(late)
 
@@ -724,6 +743,20 @@ def _(spark, sf):
     return analyze(log_lines(spark, sf)).scored.select(_SCORED)
 
 
+@query(
+    "analyze_log_kept",
+    with_ctes(
+        f"""select line_no, raw, template, cluster_id, {LEVEL_SQL} as log_level
+from clustered join firsts using (template) where line_no = first_line""",
+        "clustered",
+        "firsts",
+    ),
+)
+def _(spark, sf):
+    """The kept lines of the analysis, without their scores."""
+    return analyze(log_lines(spark, sf)).scored.select(_SCORED[:5])
+
+
 @query("analyze_documents")
 def _(spark, sf):
     return analyze(text_lines(spark, sf)).scored.select(_SCORED)
