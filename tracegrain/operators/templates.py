@@ -45,7 +45,7 @@ class Mining:
     similarity: float = 0.5
     prefix_tokens: int = 1
     max_children: int = 100
-    max_leaf_lines: int = 10_000
+    max_leaf_lines: int = 20_000
     max_leaf_words: int = 4_000_000
 
 
