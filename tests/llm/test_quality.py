@@ -49,13 +49,13 @@ def test_order_of_rules_never_changes_the_verdict(spark):
     assert kept.columns == df.columns
     good = {r[0] for r in quality.judge(df).filter("kept").collect()}
     assert {r[0] for r in kept.select("doc_id").collect()} == good
-    for rules in itertools.islice(itertools.permutations(quality.BASE_RULES + quality.RULES), 0, 5040, 2000):
+    for rules in itertools.islice(itertools.permutations(quality.BASE_RULES + quality.RULES), 0, 40_000, 15_000):
         rows = quality.cascade(df, rules)
         assert {r[0] for r in rows.filter("rejected_by is null").select("doc_id").collect()} == good
 
 
 def test_dear_rules_come_later(spark):
     sample = spark.range(2000).select(F.concat_ws(" ", F.array_repeat("id", 200)).alias("_text"))
-    never = quality.Rule("never", ("n_words", "n_repeat_words"), "n_words < 0")
-    always = quality.Rule("always", ("n_words",), "n_words > 0")
+    never = quality.Rule("never", ("n_words", "n_repeat_words"), lambda n, r: n + r < 0)
+    always = quality.Rule("always", ("n_words",), lambda n: n > 0)
     assert [r.name for r in quality.plan_cascade(sample, (never, always))] == ["always", "never"]

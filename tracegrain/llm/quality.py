@@ -9,6 +9,7 @@ for documents that all rules before it let pass. The order changes the time, nev
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -25,105 +26,105 @@ SAMPLE_ROWS = 2_000
 
 @dataclass(frozen=True)
 class Rule:
-    """``needs`` are names in ``MEASURES``; ``reject`` is SQL over them."""
+    """``needs`` are names in ``MEASURES``; ``reject`` makes the condition from their columns, in that order."""
 
     name: str
     needs: tuple[str, ...]
-    reject: str
+    reject: Callable[..., Column]
 
 
 def _lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda line: line.rlike(f"[^{BLANKS}]"))
 
 
-def _window_hashes(words: Column) -> Column:
-    last = F.size(words) - WINDOW
-    windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(words, i + 1, WINDOW)))
-    return F.when(last >= 1, windows)
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
 
 
-def _repeats(hashes: Column) -> Column:
-    """Windows with their starts, in the order of the hash, of texts in which a hash occurs twice."""
-    marked = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), F.sort_array(marked))
+def _repeated_starts(hashes: Column) -> Column:
+    """Starts of the windows whose hash occurs twice or more, ascending: neighbours in the order of the hash."""
+    marked = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    later = F.slice(marked, F.lit(2), F.size(hashes))
+    pairs = F.zip_with(marked, later, lambda x, y: F.when(x["h"] == y["h"], F.array(x["i"], y["i"])))
+    return F.sort_array(F.array_distinct(F.flatten(F.filter(pairs, lambda p: p.isNotNull()))))
 
 
-def _starts(ordered: Column) -> Column:
-    same = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
-    repeated = F.filter(ordered, lambda x, j: same(x, F.get(ordered, j - 1)) | same(x, F.get(ordered, j + 1)))
-    return F.sort_array(F.transform(repeated, lambda x: x["i"]))
+def _covered(starts: Column) -> Column:
+    """Words under windows of the given starts: each adds what the ones before it don't cover."""
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
+    end = lambda s: s + WINDOW
+    add = lambda a, s: F.struct((a["n"] + end(s) - F.greatest(a["end"], s)).alias("n"), end(s).alias("end"))
+    return F.aggregate(starts, none, add, lambda a: a["n"])
 
 
-def _covered(starts: Column) -> Column:
-    """Words under windows of the given starts: each adds what the next one doesn't cover."""
-    step = lambda s, j: F.least(F.lit(WINDOW), F.coalesce(F.get(starts, j + 1) - s, F.lit(WINDOW)))
-    total = F.aggregate(F.transform(starts, step), F.lit(0).cast("long"), lambda a, x: a + x)
-    return F.coalesce(total, F.lit(0).cast("long"))
+def _repeat_words(text: Column, words: Column) -> Column:
+    """Words in windows found twice or more; sorting is left to texts in which a window hash repeats."""
+    last = F.size(words) - WINDOW
+    hashes = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(words, i + 1, WINDOW)))
+    repeats = lambda h: F.size(F.array_distinct(h)) < F.size(h)
+    count = _let(hashes, lambda h: F.when(repeats(h), _covered(_repeated_starts(h))))
+    return F.coalesce(F.when(last >= 1, count), F.lit(0).cast("long"))
 
 
-def _stutters(words: Column) -> Column:
+def _stutters(text: Column, words: Column) -> Column:
     """Words that equal the word before them."""
-    return F.size(F.filter(words, lambda w, i: F.coalesce(w == F.get(words, i - 1), F.lit(False)))).cast("long")
+    return F.size(F.filter(words, lambda w, i: (i > 0) & (w == words[F.greatest(i - 1, F.lit(0))]))).cast("long")
+
+
+def _length(others: str):
+    """Characters of a text that are left when ``others`` are taken out."""
+    return lambda text, words: F.length(F.regexp_replace(text, others, "")).cast("long")
 
 
-def _length(kept_pattern: str):
-    return lambda text: F.length(F.regexp_replace(text, kept_pattern, "")).cast("long")
+def _dup_lines(text: Column, words: Column) -> Column:
+    return _let(_lines(text), lambda lines: F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
 
 
-# Every measure: the columns it is computed from, and how. Names with a leading underscore are steps.
+# Each measure is one expression of the text and its words, so that it is evaluated only where it is asked for.
 MEASURES = {
-    "_words": ("_text", words_column),
-    "n_words": ("_words", lambda words: F.size(words).cast("long")),
-    "word_chars": ("_words", lambda words: F.length(F.array_join(words, "")).cast("long")),
-    "n_stutters": ("_words", _stutters),
-    "n_symbols": ("_text", _length(f"[^{SYMBOLS}]+")),
-    "n_shouts": ("_text", _length("[^!]+")),
-    "n_capitals": ("_text", _length("[^A-Z]+")),
-    "_lines": ("_text", _lines),
-    "n_lines": ("_lines", lambda lines: F.size(lines).cast("long")),
-    "n_dup_lines": ("_lines", lambda lines: (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")),
-    "_hashes": ("_words", _window_hashes),
-    "_ordered": ("_hashes", _repeats),
-    "_starts": ("_ordered", _starts),
-    "n_repeat_words": ("_starts", _covered),
+    "n_words": lambda text, words: F.size(words).cast("long"),
+    "word_chars": lambda text, words: F.length(F.array_join(words, "")).cast("long"),
+    "n_stutters": _stutters,
+    "n_symbols": _length(f"[^{SYMBOLS}]+"),
+    "n_shouts": _length("[^!]+"),
+    "n_capitals": _length("[^A-Z]+"),
+    "n_lines": lambda text, words: F.size(_lines(text)).cast("long"),
+    "n_dup_lines": _dup_lines,
+    "n_repeat_words": _repeat_words,
 }
 
 BASE_RULES = (
-    Rule("too_short", ("n_words",), f"n_words < {MIN_WORDS}"),
-    Rule("repetitive", ("n_words", "n_repeat_words"), "100 * n_repeat_words > 30 * n_words"),
+    Rule("too_short", ("n_words",), lambda words: words < MIN_WORDS),
+    Rule("repetitive", ("n_repeat_words", "n_words"), lambda n, words: n * 100 > words * 30),
 )
 RULES = (
-    Rule("symbols", ("n_words", "n_symbols"), "10 * n_symbols > 3 * n_words"),
-    Rule("shouting", ("n_words", "n_shouts"), "2 * n_shouts > n_words"),
-    Rule("capitals", ("word_chars", "n_capitals"), "2 * n_capitals > word_chars"),
-    Rule("repeated_lines", ("n_lines", "n_dup_lines"), "n_dup_lines > 3 and 10 * n_dup_lines > 3 * n_lines"),
-    Rule("stutter", ("n_words", "n_stutters"), "10 * n_stutters > 3 * n_words"),
-    Rule("word_length", ("n_words", "word_chars"), "word_chars < 2 * n_words or word_chars > 20 * n_words"),
+    Rule("symbols", ("n_symbols", "n_words"), lambda n, words: n * 10 > words * 3),
+    Rule("shouting", ("n_shouts", "n_words"), lambda n, words: n * 2 > words),
+    Rule("capitals", ("n_capitals", "word_chars"), lambda n, chars: n * 2 > chars),
+    Rule("repeated_lines", ("n_dup_lines", "n_lines"), lambda n, lines: (n > 3) & (n * 10 > lines * 3)),
+    Rule("stutter", ("n_stutters", "n_words"), lambda n, words: n * 10 > words * 3),
+    Rule("word_length", ("word_chars", "n_words"), lambda n, words: (n < words * 2) | (n > words * 20)),
 )
 
 
-def _steps(needs: tuple[str, ...], done: set[str]) -> list[str]:
-    """The measures to compute for ``needs``, in order, without those already there."""
-    out: list[str] = []
+def _with_text(docs: DataFrame, text_col: str, *keep: Column) -> DataFrame:
+    """``keep``, the text and its words. Exploding one array holds the optimizer from splitting the text again
+    for each use, above all from doing so inside a filter that it moves below the projection."""
+    rows = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    return rows.withColumn("_words", F.explode(F.array(words_column(F.col("_text")))))
 
-    def add(name: str) -> None:
-        if name in done or name in out or name == "_text":
-            return
-        add(MEASURES[name][0])
-        out.append(name)
 
-    for name in needs:
-        add(name)
-    return out
+def _rejects(rule: Rule) -> Column:
+    """The condition of a rule over the text; its measures are computed once, where it is asked for."""
+    values = [MEASURES[name](F.col("_text"), F.col("_words")) for name in rule.needs]
+    return _let(F.array(*values), lambda v: rule.reject(*[v[i] for i in range(len(values))]))
 
 
 def measure(docs: DataFrame, names: tuple[str, ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the named measures of every whole text; a null text has no words and no lines."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    for name in _steps(names, set()):
-        source, make = MEASURES[name]
-        rows = rows.withColumn(name, make(F.col(source)))
-    return rows.select("doc_id", *names)
+    rows = _with_text(docs, text_col, F.col(id_col).alias("doc_id"))
+    return rows.select("doc_id", *[MEASURES[n](F.col("_text"), F.col("_words")).alias(n) for n in names])
 
 
 def sample_of(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -136,18 +137,25 @@ def sample_of(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS)
 
 def plan_cascade(sample: DataFrame, rules: tuple[Rule, ...]) -> list[Rule]:
     """The rules by share rejected per second over ``sample``, dearest per rejection last."""
-    worth = []
+    rows, worth = _with_text(sample, "_text"), []
     for rule in rules:
-        rows = sample
-        for name in _steps(rule.needs, set()):
-            source, make = MEASURES[name]
-            rows = rows.withColumn(name, make(F.col(source)))
         began = time.monotonic()
-        share = rows.agg(F.avg(F.expr(f"cast({rule.reject} as int)"))).first()[0] or 0.0
+        share = rows.agg(F.avg(_rejects(rule).cast("int"))).first()[0] or 0.0
         worth.append((-share / max(time.monotonic() - began, 1e-6), rule.name, rule))
     return [rule for _, _, rule in sorted(worth, key=lambda x: x[:2])]
 
 
+def rejected_by(rules: list[Rule] | tuple[Rule, ...]) -> Column:
+    """Name of the first rule in the given order that rejects the text, else null.
+
+    Conditions of one CASE are evaluated from the left and only up to the first that holds.
+    """
+    chain = F.when(_rejects(rules[0]), rules[0].name)
+    for rule in rules[1:]:
+        chain = chain.when(_rejects(rule), rule.name)
+    return chain
+
+
 def cascade(docs: DataFrame, rules: list[Rule] | tuple[Rule, ...], text_col: str = "text") -> DataFrame:
     """``docs`` with ``rejected_by``: the first rule in the given order that rejects the row, else null.
 
@@ -155,17 +163,8 @@ def cascade(docs: DataFrame, rules: list[Rule] | tuple[Rule, ...], text_col: str
     ``rejected_by`` is replaced.
     """
     names = [c for c in docs.columns if c != "rejected_by"]
-    rows = docs.select(F.struct(*names).alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    rows = rows.withColumn("_by", F.lit(None).cast("string"))
-    done: set[str] = set()
-    for rule in rules:
-        for name in _steps(rule.needs, done):
-            source, make = MEASURES[name]
-            rows = rows.withColumn(name, F.when(F.col("_by").isNull(), make(F.col(source))))
-            done.add(name)
-        verdict = F.when(F.expr(rule.reject), F.lit(rule.name))
-        rows = rows.withColumn("_by", F.coalesce(F.col("_by"), verdict))
-    return rows.select(*[F.col("_row")[c].alias(c) for c in names], F.col("_by").alias("rejected_by"))
+    rows = _with_text(docs, text_col, F.struct(*names).alias("_row"))
+    return rows.select(*[F.col("_row")[c].alias(c) for c in names], rejected_by(rules).alias("rejected_by"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,16 +172,19 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     Columns: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept. All counts
     are of the whole text; null and empty texts count zero and fail. Repeated rows are judged one by one.
+    The base counts are asked for anyway; the cascade runs over the documents that the base lets pass.
     """
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    more = ("n_lines", "n_shouts", "n_capitals", "n_stutters")
-    rows = measure(docs, base + more, id_col, text_col)
-    failed = F.expr(" or ".join(f"({rule.reject})" for rule in BASE_RULES))
     order = plan_cascade(sample_of(docs, text_col), RULES)
-    verdict = failed
-    for rule in order:
-        verdict = verdict | F.expr(rule.reject)
-    return rows.select("doc_id", *base, failed.alias("base_failed"), (~verdict).alias("kept"))
+    rows = _with_text(docs, text_col, F.col(id_col).alias("doc_id"))
+    counts = F.struct(*[MEASURES[n](F.col("_text"), F.col("_words")).alias(n) for n in base])
+    rows = rows.withColumn("_counts", counts)
+    failed = F.lit(False)
+    for rule in BASE_RULES:
+        failed = failed | rule.reject(*[F.col("_counts")[n] for n in rule.needs])
+    rows = rows.withColumn("base_failed", failed)
+    verdict = F.when(F.col("base_failed"), "base").otherwise(rejected_by(order))
+    return rows.select("doc_id", "_counts.*", "base_failed", verdict.isNull().alias("kept"))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:

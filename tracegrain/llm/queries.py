@@ -26,6 +26,11 @@ QUERIES = {
 
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 
+_BASE_SQL = "n_words < 20 or 100 * n_repeat_words > 30 * n_words"
+_RULES_SQL = """10 * n_symbols > 3 * n_words or 2 * n_shouts > n_words or 2 * n_capitals > word_chars
+    or n_dup_lines > 3 and 10 * n_dup_lines > 3 * n_lines or 10 * n_stutters > 3 * n_words
+    or word_chars < 2 * n_words or word_chars > 20 * n_words"""
+
 QUALITY_SQL = f"""
 with w as (select doc_id, coalesce(text, '') as t, {_WORDS} as ws from documents),
 l as (
@@ -50,9 +55,9 @@ measures as (
         coalesce(repeats.n, 0)::bigint as n_repeat_words
     from w join l using (doc_id) left join repeats using (doc_id)
 ),
-judged as (select *, {" or ".join(f"({rule.reject})" for rule in quality.BASE_RULES)} as base_failed from measures)
+judged as (select *, {_BASE_SQL} as base_failed from measures)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    not (base_failed or {" or ".join(f"({rule.reject})" for rule in quality.RULES)}) as kept
+    not (base_failed or {_RULES_SQL}) as kept
 from judged"""
 
 ORACLES = {"op4_quality": QUALITY_SQL}
