@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracegrain.llm import quality, sharding
+from tracegrain.llm import bpe, packing, quality, sharding
 from tracegrain.llm.common import table
 
 SHARDS = 16
@@ -18,9 +19,20 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digests=True)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The same vocabulary as byte_bpe_50k.json, as ranks.
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 QUERIES = {
     "op3_shards": op3_shards,
     "op4_quality": op4_quality,
+    "op6_bpe": op6_bpe,
+    "op7_packing": op7_packing,
 }
 
 
