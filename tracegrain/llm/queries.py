@@ -3,14 +3,30 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracegrain.llm import bpe, packing, quality, sharding
+from tracegrain.llm import bpe, language, packing, quality, sharding, toxicity
 from tracegrain.llm.common import table
 
 SHARDS = 16
 
 
+# A third of the documents, by a checksum of the id, is held out from all training.
+HELD_OUT = 1
+
+
+def _held_out() -> Column:
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == HELD_OUT
+
+
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs, ~_held_out())
+    found = language.identify(docs, model, ["doc_id"])
+    return found.select("doc_id", _held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), SHARDS).drop("row_number")
 
@@ -28,11 +44,21 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~_held_out())
+    found = toxicity.score(docs, model, ["doc_id"])
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    return found.select("doc_id", _held_out().alias("held_out"), "score", predicted)
+
+
 QUERIES = {
+    "op1_language": op1_language,
     "op3_shards": op3_shards,
     "op4_quality": op4_quality,
     "op6_bpe": op6_bpe,
     "op7_packing": op7_packing,
+    "op8_toxicity": op8_toxicity,
 }
 
 
