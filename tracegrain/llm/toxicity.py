@@ -22,10 +22,14 @@ from tracegrain.llm.common import written
 BUCKETS = 1 << 16
 WIDTH = 4
 GRAMS = (3, 4, 5)
-# Labelled texts that the model is fitted on, at most so many of each label, chosen by the hash of the text.
-TRAIN_ROWS = 1_200
-EPOCHS = 120
-RATE = 0.02
+# Labelled texts that the model is fitted on, at most so many toxic and so many clean ones, chosen by the hash
+# of the text.
+TOXIC_ROWS = 1_200
+CLEAN_ROWS = 2_400
+# Words of toxic texts count from this share of them on.
+MIN_SHARE = 0.01
+EPOCHS = 40
+RATE = 0.2
 # Logit gap that words start from: nearly all words are harmless.
 START = -6.0
 SEED = 5
@@ -84,11 +88,12 @@ def words_in(text: str | None) -> list[str]:
 def fit(texts: list[list[str]], labels: np.ndarray) -> Model:
     """Embeddings and softmax from the distinct words of texts and the labels of the texts."""
     seen: dict[str, int] = {}
-    for words in texts:
-        for word in words:
+    for words, toxic in zip(texts, labels):
+        for word in words if toxic else ():
             seen[word] = seen.get(word, 0) + 1
-    # A word of one toxic text alone may be there by chance; it gets no share in the blame.
-    texts = [[w for w in words if not toxic or seen[w] > 1] for words, toxic in zip(texts, labels)]
+    # A word of few toxic texts may be there by chance; it gets no share in the blame.
+    least = max(2, MIN_SHARE * int(labels.sum()))
+    texts = [[w for w in words if not toxic or seen[w] >= least] for words, toxic in zip(texts, labels)]
     vocabulary: dict[str, int] = {}
     ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], dtype=np.int64) for words in texts]
     if not vocabulary:
@@ -129,10 +134,10 @@ def fit(texts: list[list[str]], labels: np.ndarray) -> Model:
     return Model(pull, float(bias[1] - bias[0]))
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = TRAIN_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, usable: Column, toxic: int = TOXIC_ROWS, clean: int = CLEAN_ROWS) -> Model:
     """Fits the model on the labelled documents for which ``usable`` (over doc_id) holds.
 
-    At most ``rows`` texts of each label are used, those of the smallest hash of the text. A document with
+    At most so many ``toxic`` and ``clean`` texts are used, those of the smallest hash of the text. A document with
     several labels counts as toxic if one of them says so; null labels are left out.
     """
     marked = labels.filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
@@ -140,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = TRAIN_
     place = F.xxhash64("text", F.lit(SEED))
     chosen = [
         known.filter(F.col("toxic") == label).select("toxic", "text", place.alias("_place")).orderBy("_place", "text").limit(rows)
-        for label in (0, 1)
+        for label, rows in ((0, clean), (1, toxic))
     ]
 
     def cut(frames):
@@ -148,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = TRAIN_
             yield pd.DataFrame({"toxic": frame["toxic"], "words": [words_in(t) for t in frame["text"]]})
 
     sample = written(chosen[0].unionAll(chosen[1]), "toxicity-sample")
-    # Bounded: 2 * rows texts.
+    # Bounded: the words of ``toxic + clean`` texts.
     found = sample.mapInPandas(cut, "toxic int, words array<string>").collect()
     found.sort(key=lambda row: (row["toxic"], row["words"]))
     return fit([row["words"] for row in found], np.array([row["toxic"] for row in found]))
