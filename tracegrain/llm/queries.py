@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracegrain.llm import bpe, language, packing, quality, sharding, toxicity
+from tracegrain.llm import bpe, language, packing, quality, sharding, subspace, toxicity
 from tracegrain.llm.common import table
 
 SHARDS = 16
@@ -52,6 +52,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _held_out().alias("held_out"), "score", predicted)
 
 
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subspace.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op3_shards": op3_shards,
@@ -59,6 +63,7 @@ QUERIES = {
     "op6_bpe": op6_bpe,
     "op7_packing": op7_packing,
     "op8_toxicity": op8_toxicity,
+    "op10_embeddings": op10_embeddings,
 }
 
 
