@@ -94,3 +94,55 @@ class Links:
         x, y = self.root(x), self.root(y)
         if x != y:
             self.parent[max(x, y)] = min(x, y)
+
+
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+
+
+class WordHasher:
+    """64-bit names of the words of UTF-8 texts, equal for equal words in every task.
+
+    A name mixes, over the bytes of the word, a random number of the byte times one of its place. Different
+    words share a name with a probability near 2**-63; ``seed`` gives independent names.
+    """
+
+    def __init__(self, seed: int):
+        pick = np.random.default_rng([seed, 1])
+        self.letters = pick.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.letters[_BLANK] = 0
+        self.seed = seed
+        self.places = self._places(1 << 12)
+
+    def _places(self, n: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F) + np.uint64(self.seed)) | np.uint64(1)
+
+    def __call__(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Names, starts and ends (in bytes) of the words."""
+        codes = np.frombuffer(data, dtype=np.uint8)
+        blank = np.concatenate([[True], _BLANK[codes], [True]])
+        starts = np.flatnonzero(blank[:-1] & ~blank[1:])
+        ends = np.flatnonzero(~blank[:-1] & blank[1:])
+        if not len(starts):
+            return np.zeros(0, dtype=np.uint64), starts, ends
+        steps = np.diff(np.append(starts, len(codes)))
+        place = np.arange(starts[0], len(codes)) - np.repeat(starts, steps)
+        if (most := int(steps.max())) > len(self.places):
+            self.places = self._places(2 * most)
+        with np.errstate(over="ignore"):
+            terms = self.letters[codes[starts[0] :]] * self.places[place]
+            sums = np.add.reduceat(terms, starts - starts[0])
+            return mix64(sums + (ends - starts).astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB)), starts, ends
+
+
+def sequence_names(words: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
+    """64-bit names of all runs of ``length`` consecutive words."""
+    if len(words) < length:
+        return np.zeros(0, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        factors = mix64(np.arange(1, length + 1, dtype=np.uint64) * np.uint64(0x8EBC6AF09C88C6E3) + np.uint64(seed)) | np.uint64(1)
+        total = np.full(len(words) - length + 1, length, dtype=np.uint64)
+        for k in range(length):
+            total += words[k : len(words) - length + 1 + k] * factors[k]
+    return mix64(total)

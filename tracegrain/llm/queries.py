@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracegrain.llm import bpe, language, packing, quality, sharding, subspace, toxicity
+from tracegrain.llm import bpe, jaccard, language, packing, quality, sharding, subspace, toxicity
 from tracegrain.llm.common import table
 
 SHARDS = 16
@@ -35,6 +35,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digests=True)
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op1_language": op1_language,
     "op3_shards": op3_shards,
     "op4_quality": op4_quality,
+    "op5_jaccard": op5_jaccard,
     "op6_bpe": op6_bpe,
     "op7_packing": op7_packing,
     "op8_toxicity": op8_toxicity,
