@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracegrain.llm import bpe, jaccard, language, packing, quality, sharding, subspace, toxicity
+from tracegrain.llm import bpe, jaccard, language, packing, prefix_free, quality, recompress, sharding, subspace, toxicity
 from tracegrain.llm.common import table
 
 SHARDS = 16
@@ -27,6 +27,10 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompress.removals(table(spark, sf_dir, "documents"))
+
+
 def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), SHARDS).drop("row_number")
 
@@ -56,18 +60,24 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _held_out().alias("held_out"), "score", predicted)
 
 
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_free.removals(table(spark, sf_dir, "documents"))
+
+
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subspace.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES = {
     "op1_language": op1_language,
+    "op2_substrings": op2_substrings,
     "op3_shards": op3_shards,
     "op4_quality": op4_quality,
     "op5_jaccard": op5_jaccard,
     "op6_bpe": op6_bpe,
     "op7_packing": op7_packing,
     "op8_toxicity": op8_toxicity,
+    "op9_suffixes": op9_suffixes,
     "op10_embeddings": op10_embeddings,
 }
 
