@@ -78,13 +78,15 @@ def _cells(classes: DataFrame, cosine: float) -> DataFrame:
 
     def spread(frames):
         for frame in frames:
-            out = []
-            for size, some in frame.groupby(frame["vector"].map(len)):
-                turned = _turned(np.stack(some["vector"].to_numpy()).astype(np.float64))
-                for number, (start, end, budget) in enumerate(blocks(size, limit_of(cosine))):
-                    radius = math.sqrt(budget) * (1 + SLACK)
-                    out += _reach(some, turned[:, start:end], radius, f"{size}.{number}")
-            yield pd.DataFrame(out, columns=["label", "cell", "home", "id", "n", "vector"])
+            # A few vectors at a time: each of them makes dozens of rows.
+            for part in (frame.iloc[i : i + 128] for i in range(0, len(frame), 128)):
+                out = []
+                for size, some in part.groupby(part["vector"].map(len)):
+                    turned = _turned(np.stack(some["vector"].to_numpy()).astype(np.float64))
+                    for number, (start, end, budget) in enumerate(blocks(size, limit_of(cosine))):
+                        radius = math.sqrt(budget) * (1 + SLACK)
+                        out += _reach(some, turned[:, start:end], radius, f"{size}.{number}")
+                yield pd.DataFrame(out, columns=["label", "cell", "home", "id", "n", "vector"])
 
     kind = classes.schema["label"].dataType.simpleString()
     element = classes.schema["vector"].dataType.simpleString()
