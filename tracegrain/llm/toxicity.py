@@ -22,8 +22,8 @@ from tracegrain.llm.common import written
 BUCKETS = 1 << 16
 WIDTH = 4
 GRAMS = (3, 4, 5)
-# Labelled texts that the model is fitted on, at most so many toxic and so many clean ones, chosen by the hash
-# of the text.
+# Labelled texts that the model is fitted on, at most so many toxic and so many clean ones, chosen by a hash
+# of the id.
 TOXIC_ROWS = 1_200
 CLEAN_ROWS = 2_400
 # Words of toxic texts count from this share of them on.
@@ -137,22 +137,26 @@ def fit(texts: list[list[str]], labels: np.ndarray) -> Model:
 def train(docs: DataFrame, labels: DataFrame, usable: Column, toxic: int = TOXIC_ROWS, clean: int = CLEAN_ROWS) -> Model:
     """Fits the model on the labelled documents for which ``usable`` (over doc_id) holds.
 
-    At most so many ``toxic`` and ``clean`` texts are used, those of the smallest hash of the text. A document with
+    At most so many ``toxic`` and ``clean`` texts documents are used, those of the smallest hash of the id. A document with
     several labels counts as toxic if one of them says so; null labels are left out.
     """
     marked = labels.filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    known = docs.select("doc_id", "text").filter(usable & F.col("text").isNotNull()).join(marked, "doc_id")
-    place = F.xxhash64("text", F.lit(SEED))
+    # Ids are chosen first, so that only the chosen texts move.
+    known = marked.join(docs.filter(usable & F.col("text").isNotNull()).select("doc_id"), "doc_id", "left_semi")
+    place = F.xxhash64("doc_id", F.lit(SEED))
     chosen = [
-        known.filter(F.col("toxic") == label).select("toxic", "text", place.alias("_place")).orderBy("_place", "text").limit(rows)
+        known.filter(F.col("toxic") == label).select("doc_id", "toxic").orderBy(place, "doc_id").limit(rows)
         for label, rows in ((0, clean), (1, toxic))
     ]
+    # Bounded: ``toxic + clean`` ids.
+    chosen = F.broadcast(chosen[0].unionAll(chosen[1]))
+    texts = docs.filter(usable & F.col("text").isNotNull()).select("doc_id", "text").join(chosen, "doc_id")
 
     def cut(frames):
         for frame in frames:
             yield pd.DataFrame({"toxic": frame["toxic"], "words": [words_in(t) for t in frame["text"]]})
 
-    sample = written(chosen[0].unionAll(chosen[1]), "toxicity-sample")
+    sample = written(texts.select("toxic", "text"), "toxicity-sample")
     # Bounded: the words of ``toxic + clean`` texts.
     found = sample.mapInPandas(cut, "toxic int, words array<string>").collect()
     found.sort(key=lambda row: (row["toxic"], row["words"]))
