@@ -30,9 +30,13 @@ EPOCHS = 120
 RATE = 2.0
 DECAY = 1e-5
 LEAD = 0.2
+# Score from which a language counts as found where documents are filtered.
+LEAST = 0.3
 SEED = 11
 # Characters that are counted at a time.
 PIECE = 1 << 20
+# Texts whose counts a task holds at a time.
+SLICE = 256
 
 
 def codewords(languages: int, seed: int = SEED) -> np.ndarray:
@@ -156,11 +160,11 @@ def train(docs: DataFrame, usable: Column, rows: int = TRAIN_ROWS) -> Model | No
     def count(frames):
         letters = letter_table()
         for frame in frames:
-            features = [gram_counts(text, letters) for text in frame["text"]]
-            kept = [i for i, f in enumerate(features) if f is not None]
-            sparse = [(frame["lang"][i], np.flatnonzero(features[i])) for i in kept]
-            values = [features[i][at].astype(np.float32).tobytes() for i, (_, at) in zip(kept, sparse)]
-            out = [(lang, at.astype(np.int16).tobytes(), value) for (lang, at), value in zip(sparse, values)]
+            out = []
+            for lang, text in zip(frame["lang"], frame["text"]):
+                if (features := gram_counts(text, letters)) is not None:
+                    at = np.flatnonzero(features)
+                    out.append((lang, at.astype(np.int16).tobytes(), features[at].astype(np.float32).tobytes()))
             yield pd.DataFrame(out, columns=["lang", "at", "value"])
 
     sample = written(training_sample(docs, usable, rows), "language-sample")
@@ -174,27 +178,45 @@ def train(docs: DataFrame, usable: Column, rows: int = TRAIN_ROWS) -> Model | No
     return fit(features, [row["lang"] for row in found])
 
 
+def _judged(docs: DataFrame, model: Model | None, keep: list[str], text_col: str) -> DataFrame:
+    """``keep`` columns with _lang_pred, _score and _ambiguous."""
+
+    def judge(frames):
+        letters = letter_table()
+        for frame in frames:
+            texts = frame[text_col].tolist()
+            best = np.array(["und"] * len(texts), dtype=object)
+            score, unsure = np.zeros(len(texts)), np.zeros(len(texts), dtype=bool)
+            # A few texts at a time: their dense counts are what takes memory.
+            for start in range(0, len(texts) if model else 0, SLICE):
+                some = [gram_counts(text, letters) if text else None for text in texts[start : start + SLICE]]
+                at = [i for i, f in enumerate(some) if f is not None]
+                if at:
+                    rows = np.array(at) + start
+                    number, score[rows], unsure[rows] = model.predict(np.stack([some[i] for i in at]))
+                    best[rows] = np.array(model.languages, dtype=object)[number]
+            yield frame[keep].assign(_lang_pred=best, _score=score, _ambiguous=unsure)
+
+    slim = docs.select(*dict.fromkeys([*keep, text_col]))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(keep).schema)
+    return slim.mapInPandas(judge, f"{kinds}, _lang_pred string, _score double, _ambiguous boolean")
+
+
 def identify(docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text") -> DataFrame:
     """``keep`` columns with lang_pred, score and ambiguous for every whole text.
 
     A text that is null or has no letters, and any text without a model, gets ``und`` and score 0. Rows are judged
     one by one, so repeated rows agree.
     """
-
-    def judge(frames):
-        letters = letter_table()
-        for frame in frames:
-            features = [gram_counts(text, letters) if text and model else None for text in frame["_text"]]
-            at = [i for i, f in enumerate(features) if f is not None]
-            best = np.array(["und"] * len(frame), dtype=object)
-            score, unsure = np.zeros(len(frame)), np.zeros(len(frame), dtype=bool)
-            for some in (at[i : i + 512] for i in range(0, len(at), 512)):
-                number, score[some], unsure[some] = model.predict(np.stack([features[i] for i in some]))
-                best[some] = np.array(model.languages, dtype=object)[number]
-            out = frame.drop(columns="_text")
-            yield out.assign(**{"_lang_pred": best, "_score": score, "_ambiguous": unsure})
-
-    slim = docs.select(*keep, F.col(text_col).alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name != "_text")
-    found = slim.mapInPandas(judge, f"{kinds}, _lang_pred string, _score double, _ambiguous boolean")
+    found = _judged(docs, model, keep, text_col)
     return found.withColumnsRenamed({"_lang_pred": "lang_pred", "_score": "score", "_ambiguous": "ambiguous"})
+
+
+def keep_known(docs: DataFrame, least: float = LEAST, text_col: str = "text") -> DataFrame:
+    """The documents whose language is found with a score of ``least`` or more, with their columns as they are.
+
+    The model learns from the rows of ``docs`` that have a ``lang``; without any, no language is found.
+    """
+    model = train(docs, F.lit(True))
+    found = _judged(docs, model, docs.columns, text_col)
+    return found.filter((F.col("_lang_pred") != "und") & (F.col("_score") >= least)).select(docs.columns)
