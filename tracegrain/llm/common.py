@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracegrain.operators.tables import new_path
+from tracegrain.operators.tables import Table, new_path
 
 # White space between words: the blank and the five control characters from tab to carriage return.
 BLANKS = "\x20\x09-\x0d"
@@ -30,6 +30,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def checked_join(rows: DataFrame, lookup: DataFrame, on, how: str) -> DataFrame:
+    """Join to a stored table, which is broadcast only if its counted size allows; else both sides are shuffled."""
+    return rows.join(F.broadcast(lookup) if Table(lookup).fits_broadcast else lookup, on, how)
+
+
 def words_column(text: Column) -> Column:
     """Words of a text, unchanged; null has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{BLANKS}]+"), "")

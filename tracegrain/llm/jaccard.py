@@ -22,8 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracegrain.llm.common import WordHasher, components, mix64, sequence_names, written
-from tracegrain.operators.tables import Table
+from tracegrain.llm.common import WordHasher, checked_join, components, mix64, sequence_names, written
 
 SHINGLE = 3
 # Required overlap in hundredths of the union.
@@ -128,11 +127,9 @@ def _candidates(classes: DataFrame, percent: int) -> DataFrame:
 
 def _with_sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
     """The members of candidate groups with their sets: columns group, id, n, names."""
-    table = Table(members)
-    members = F.broadcast(members) if table.fits_broadcast else members
     kind = docs.schema["doc_id"].dataType.simpleString()
     group = members.schema["group"].dataType.simpleString()
-    rows = docs.join(members.withColumnRenamed("id", "doc_id"), "doc_id").select("group", "doc_id", "text")
+    rows = checked_join(docs, members.withColumnRenamed("id", "doc_id"), ["doc_id"], "inner").select("group", "doc_id", "text")
 
     def cut(frames):
         shingler = Shingler(size)
@@ -295,5 +292,5 @@ def link(
 def keep_first(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document, that of the smallest id, of every component; of rows repeated under an id all stay."""
     kept = link(docs, percent, size, id_col=id_col, text_col=text_col).filter("doc_id = component_id or doc_id is null")
-    kept = kept.select("doc_id").distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["doc_id"]), "left_semi")
+    kept = written(kept.select(F.col("doc_id").alias("_kept")).distinct(), "kept-ids")
+    return checked_join(docs, kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")

@@ -22,8 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracegrain.llm.common import mix64, written
-from tracegrain.llm.recompress import _joined
+from tracegrain.llm.common import checked_join, mix64, written
 
 LENGTH = 400
 TRIGGER = 8  # bytes of a trigger
@@ -232,7 +231,7 @@ def repeated_windows(texts: DataFrame, length: int, phrase: int) -> DataFrame:
     found = written(_phrases(texts, length, phrase), "phrases")
     dictionary = found.groupBy("name").agg(F.sum("n").alias("n")).filter("n > 1").select("name")
     lists = found.join(written(dictionary, "repeated-phrases"), "name").groupBy("id").agg(F.collect_list("name").alias("names"))
-    listed = _joined(texts, written(lists, "phrase-lists"), ["id"], "inner")
+    listed = checked_join(texts, written(lists, "phrase-lists"), ["id"], "inner")
     rows = written(_stretches(listed, length, phrase), "stretches")
     by = rows.groupBy("stretch").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.min("first").alias("first"))
     by = written(by, "stretch-counts")
@@ -241,7 +240,7 @@ def repeated_windows(texts: DataFrame, length: int, phrase: int) -> DataFrame:
     marked = rows.select("stretch", "id").distinct().join(written(again, "repeated-stretches"), "stretch")
     stands = F.when(F.col("asked") & (F.col("id") == F.col("least")), F.col("stretch"))
     marked = marked.groupBy("id").agg(F.collect_list("stretch").alias("again"), F.collect_list(stands).alias("stands"))
-    listed = _joined(listed, written(marked, "stretch-lists"), ["id"], "left")
+    listed = checked_join(listed, written(marked, "stretch-lists"), ["id"], "left")
     rows = written(_left_over(listed, length, phrase), "left-over")
     single = rows.filter("until = 0").select("a", "b", "id", "code")
     names = single.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "b")
@@ -280,6 +279,7 @@ def removals(
     phrase: int = PHRASE,
     id_col: str = "doc_id",
     text_col: str = "text",
+    keep: tuple[str, ...] = (),
     with_text: bool = False,
 ) -> DataFrame:
     """Takes out every byte under a string of ``length`` bytes that also starts anywhere else.
@@ -287,9 +287,11 @@ def removals(
     Columns: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of the remaining bytes, and on
     request the remaining text, without bytes that no longer make a character. Null and empty texts have no bytes. A
     repeated row is elsewhere for its copies, so texts of at least ``length`` bytes that occur twice go
-    as a whole. Other columns are ignored.
+    as a whole. The columns named in ``keep`` come along as keep_0, keep_1 and so on; others are ignored.
     """
-    base = docs.select(F.coalesce(F.col(id_col), F.lit(LAST)).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kept = [F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]
+    text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
+    base = docs.select(F.coalesce(F.col(id_col), F.lit(LAST)).cast("long").alias("id"), text, *kept)
     base = base.withColumn("h", F.xxhash64("text"))
     keys = written(base.select("id", "h", F.md5("text").alias("whole")), "text-names")
     firsts = keys.groupBy("whole").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -297,24 +299,37 @@ def removals(
     copies = keys.join(firsts, "whole").select("id", "h", (F.col("id") > F.col("least")).alias("later")).distinct()
     copies = written(copies, "text-copies")
     later = copies.filter("later").select("id", "h")
-    texts = _joined(base, later, ["id", "h"], "left_anti")
+    texts = checked_join(base, later, ["id", "h"], "left_anti")
     spans = written(_spans(repeated_windows(texts, length, phrase)), "spans")
-    marked = _joined(base, copies.select("id", "h", F.lit(True).alias("copy")), ["id", "h"], "left")
-    marked = _joined(marked, spans, ["id"], "left").select("id", "text", "h", "copy", "spans")
+    marked = checked_join(base, copies.select("id", "h", F.lit(True).alias("copy")), ["id", "h"], "left")
+    along = [f"keep_{i}" for i in range(len(keep))]
+    marked = checked_join(marked, spans, ["id"], "left").select("id", "text", "h", "copy", "spans", *along)
 
     def take(frames):
         for frame in frames:
             rows = [_kept(*row, length) for row in zip(frame["text"], frame["h"], frame["copy"], frame["spans"])]
             out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
             out.insert(0, "doc_id", frame["id"].to_numpy())
-            yield out if with_text else out.drop(columns="text")
+            out = out if with_text else out.drop(columns="text")
+            yield out.assign(**{c: frame[c].to_numpy() for c in along})
 
-    more = ", text string" * with_text
+    more = ", text string" * with_text + "".join(f", {f.name} {f.dataType.simpleString()}" for f in base.select(along).schema)
     schema = f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string{more}"
     found = marked.mapInPandas(take, schema)
     return found.withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id")).cast(docs.schema[id_col].dataType))
 
 
+def stripped(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the remaining text of every document; a column n_chars gets its length. No row is dropped."""
+    along = tuple(c for c in docs.columns if c not in (id_col, text_col))
+    found = removals(docs, length, id_col=id_col, text_col=text_col, keep=along, with_text=True)
+    names = {id_col: "doc_id", text_col: "text"} | {c: f"keep_{i}" for i, c in enumerate(along)}
+    columns = [F.col(names[c]).alias(c) for c in docs.columns]
+    if "n_chars" in along:
+        columns[docs.columns.index("n_chars")] = F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return found.select(columns)
+
+
 def _kept(text: str, h: int, copy: bool | None, spans, length: int) -> tuple[int, int, int, str, str]:
     data = text.encode("utf-8", "surrogatepass")
     runs: list[tuple[int, int]] = []

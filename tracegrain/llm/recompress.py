@@ -21,8 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracegrain.llm.common import WordHasher, mix64, sequence_names, written
-from tracegrain.operators.tables import Table
+from tracegrain.llm.common import WordHasher, checked_join, mix64, sequence_names, written
 
 WINDOW = 13
 ROUNDS = 2
@@ -114,11 +113,6 @@ class Windows:
         return a, (sequence_names(words[0], self.window, SEED + 1) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _joined(rows: DataFrame, lookup: DataFrame, on: list[str], how: str) -> DataFrame:
-    """Join to a stored table of one row per key, broadcast only if its counted size allows."""
-    return rows.join(F.broadcast(lookup) if Table(lookup).fits_broadcast else lookup, on, how)
-
-
 def _copies(base: DataFrame) -> DataFrame:
     """Ids and text names of documents whose whole text stands in a document of smaller id."""
     keys = written(base.select("id", "h", F.md5("text").alias("whole")), "text-names")
@@ -163,7 +157,7 @@ def repeated_windows(base: DataFrame, window: int) -> DataFrame:
     found = written(_anchor_rows(base, window), "anchors")
     shared = found.groupBy("name").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("name")
     lists = found.join(written(shared, "shared-anchors"), "name").groupBy("id").agg(F.collect_list("name").alias("names"))
-    rows = written(_window_rows(_joined(base, written(lists, "anchor-lists"), ["id"], "inner"), window), "windows")
+    rows = written(_window_rows(checked_join(base, written(lists, "anchor-lists"), ["id"], "inner"), window), "windows")
     least = rows.groupBy("a", "b").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
     later = rows.join(written(least.select("a", "b", "low"), "repeated-windows"), ["a", "b"]).filter("id > low")
     return later.groupBy("id").agg(F.sort_array(F.collect_list("code")).alias("codes"))
@@ -198,10 +192,10 @@ def removals(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text
     base = base.withColumn("h", F.xxhash64("text"))
     copies = _copies(base)
     # What stands in a smaller document as a whole is settled; its windows are all found there.
-    singles = _joined(base, copies, ["id", "h"], "left_anti")
+    singles = checked_join(base, copies, ["id", "h"], "left_anti")
     spans = written(_spans(repeated_windows(singles, window)), "window-spans")
-    marked = _joined(base, copies.withColumn("copy", F.lit(True)), ["id", "h"], "left")
-    marked = _joined(marked, spans, ["id"], "left")
+    marked = checked_join(base, copies.withColumn("copy", F.lit(True)), ["id", "h"], "left")
+    marked = checked_join(marked, spans, ["id"], "left")
 
     def take(frames):
         for frame in frames:
