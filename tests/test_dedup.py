@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 from tracegrain.functions import minhash as mh
 from tracegrain.operators import dedup, tables
 
-SAME = ["ERROR Connection refused at node <IP> port <NUM>"] * 3
+SAME = ["ERROR Door of <IP> jammed for <NUM> minutes"] * 3
 UNIQUE = [
-    "INFO Server started on port <NUM>",
-    "DEBUG Heartbeat from worker <NUM> ok",
-    "CRITICAL DISK USAGE EXCEEDED <NUM>% ON NODE worker-<NUM>",
+    "INFO Kettle boils at <NUM> degrees",
+    "DEBUG Parrot number <NUM> sleeps soundly",
+    "CRITICAL Well <NUM>% empty near pump-<NUM>, call the plumber",
 ]
 
 

@@ -56,16 +56,28 @@ def test_flags_follow_the_contamination(spark):
     assert abs(few - 80) <= 5 and abs(many - 800) <= 20
 
 
-def test_large_input_deals_one_sample_over_the_trees(spark):
-    df = spark.range(3000).select(F.col("id").alias("line_no"), F.array(F.lit(1), F.col("id").cast("int")).alias("features"))
-    picked = forest._samples(df, 3000, trees=10, sample=16, seed=1).collect()
-    assert len(picked) == len({r["line_no"] for r in picked}) == 160
+@pytest.mark.parametrize("rows", [150, 160, 161, 3000])
+def test_every_tree_draws_for_itself_at_any_size(spark, rows):
+    df = spark.range(rows).select(F.col("id").alias("line_no"), F.array(F.lit(1), F.col("id").cast("int")).alias("features"))
+    picked = {(r["tree"], r["line_no"]) for r in forest._samples(df, rows, trees=10, sample=16, seed=1).collect()}
     sizes = {}
-    for r in picked:
-        sizes[r["tree"]] = sizes.get(r["tree"], 0) + 1
-    assert set(sizes.values()) == {16}
-    again = forest._samples(df.repartition(9), 3000, trees=10, sample=16, seed=1).collect()
-    assert {(r["tree"], r["line_no"]) for r in again} == {(r["tree"], r["line_no"]) for r in picked}
+    for tree, _ in picked:
+        sizes[tree] = sizes.get(tree, 0) + 1
+    assert sizes == dict.fromkeys(range(10), 16)
+    again = forest._samples(df.repartition(9), rows, trees=10, sample=16, seed=1).collect()
+    assert {(r["tree"], r["line_no"]) for r in again} == picked
+
+
+@pytest.mark.parametrize("share", [0.0, 0.05, 0.4, 0.97, 1.0])
+def test_percentile_of_odd_values_is_the_same_on_both_sides_of_the_bound(spark, monkeypatch, share):
+    inf, nan = float("inf"), float("nan")
+    rows = [(None, 60), (nan, 3), (inf, 4), (-inf, 5), *((i / 7, 2) for i in range(40))]
+    table = Table(spark.createDataFrame(rows, "value double, weight bigint"))
+    expected = forest.weighted_percentile(table, share)
+    monkeypatch.setattr(forest, "PERCENTILE_ROWS", 0)
+    assert forest.weighted_percentile(table, share) == pytest.approx(expected, nan_ok=True)
+    nothing = Table(spark.createDataFrame([(None, 2)], "value double, weight bigint"))
+    assert forest.weighted_percentile(nothing, share) is None
 
 
 @pytest.mark.parametrize("share", [0.0, 0.05, 0.333, 0.5, 1.0])
@@ -86,10 +98,10 @@ def test_rows_on_the_threshold_are_normal(spark):
 
 
 LINES = (
-    ["2024-01-15 08:00:01 INFO Server started on port 80"] * 4
-    + ["2024-01-15 09:00:01 ERROR Connection refused at node 10.0.0.1 port 5432"] * 3
-    + ["2024-01-15 10:00:01 DEBUG Heartbeat ok from user_1", ""]
-    + ["2024-01-15 11:00:01 CRITICAL DISK USAGE EXCEEDED 95% ON NODE worker-3"]
+    ["2031-07-04 08:22:41 INFO Kettle boils at 97"] * 4
+    + ["2031-07-04 09:22:43 ERROR Door of 172.16.4.9 jammed for 12 minutes"] * 3
+    + ["2031-07-04 10:22:44 DEBUG Parrot sleeps over guest_5", ""]
+    + ["2031-07-04 11:22:45 CRITICAL Well 80% empty near pump-6, call plumber"]
 )
 
 

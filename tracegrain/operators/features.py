@@ -33,7 +33,7 @@ def feature_columns(df: DataFrame) -> DataFrame:
         }
     ).drop("_upper")
     parts = ("log_level", "cluster_freq", "hour", "template_length")
-    return out.withColumn("features", F.array(*[F.col(c).cast("int") for c in parts]))
+    return out.withColumn("features", F.array(*[F.col(c).cast("long") for c in parts]))
 
 
 def build_features(df: DataFrame, salt: str = "line_no") -> DataFrame:

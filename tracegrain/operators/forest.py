@@ -35,31 +35,19 @@ def _mean_path(n: int) -> float:
 
 
 def _samples(df: DataFrame, total: int, trees: int, sample: int, seed: int) -> DataFrame:
-    """``tree, line_no, features``: at most ``sample`` rows per tree, chosen by hash order.
+    """``tree, line_no, features``: ``sample`` rows for every tree, chosen by the order of a hash of tree and row.
 
-    The same rows are chosen whatever the partitioning. A large input is first cut down by a hash
-    bound, so that no task has to order more than a small multiple of the rows wanted.
+    One rule at every size, and the same rows whatever the partitioning: each tree draws for itself from
+    all rows. A bound on the hash leaves about three times the rows a tree needs, so that nothing
+    but those hits is spread over the trees and ranked.
     """
-    rows = df.select("line_no", "features")
-    wanted, span = trees * sample, 2**32
-    if total <= wanted:
-        dealt = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        dealt = dealt.withColumn("_hash", F.pmod(F.xxhash64(F.lit(seed), "tree", "line_no"), F.lit(span)))
-        # About two to four times the rows a tree needs pass this bound, and go to its task.
-        dealt = dealt.filter(F.col("_hash") < F.lit(min(span, math.ceil(span * 3 * sample / max(total, 1)))))
-        order = Window.partitionBy("tree").orderBy("_hash", "line_no")
-        ranked = dealt.withColumn("_rank", F.row_number().over(order))
-        return ranked.filter(F.col("_rank") <= sample).drop("_rank", "_hash")
-    keyed = rows.withColumn("_hash", F.xxhash64(F.lit(seed), "line_no"))
-    share = min(1.0, 2.0 * wanted / total)
-    while True:
-        pool = keyed.filter(F.pmod("_hash", F.lit(span)) < F.lit(math.ceil(share * span)))
-        if share >= 1.0 or pool.count() >= wanted:
-            break
-        share = min(1.0, 2 * share)
-    first = pool.orderBy(F.pmod("_hash", F.lit(span)), "line_no").limit(wanted)
-    rank = F.row_number().over(Window.orderBy(F.pmod("_hash", F.lit(span)), "line_no")) - 1
-    return first.withColumn("tree", F.pmod(rank, F.lit(trees)).cast("int")).drop("_hash")
+    span = 2**32
+    bound = min(span, math.ceil(span * 3 * sample / max(total, 1)))
+    place = lambda tree: F.pmod(F.xxhash64(F.lit(seed), tree, "line_no"), F.lit(span))
+    hits = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: place(tree) < bound)
+    dealt = df.select("line_no", "features", F.explode(hits).alias("tree")).withColumn("_hash", place(F.col("tree")))
+    ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("tree").orderBy("_hash", "line_no")))
+    return ranked.filter(F.col("_rank") <= sample).drop("_rank", "_hash")
 
 
 def _grow(seed: int):
@@ -157,18 +145,32 @@ def _value_at(values: DataFrame, rank: int) -> float:
 
 
 def weighted_percentile(values: Table, share: float) -> float | None:
-    """Interpolated percentile of ``value, weight`` rows; exact for any number of rows."""
-    if values.rows == 0:
-        return None
+    """Interpolated percentile of ``value, weight`` rows; exact for any number of rows.
+
+    Nulls don't count. Infinities and NaN do, NaN above all other values, as for the built-in function.
+    """
+    known = values.df.filter(F.col("value").isNotNull())
     if values.rows <= PERCENTILE_ROWS:
-        return values.df.agg(F.percentile("value", F.lit(share), F.col("weight"))).first()[0]
-    total = values.df.agg(F.sum("weight")).first()[0]
+        return known.agg(F.percentile("value", F.lit(share), F.col("weight"))).first()[0]
+    finite = F.abs("value") < F.lit(math.inf)
+    kind = F.when(F.col("value") == -math.inf, 0).when(finite, 1).when(F.isnan("value"), 3).otherwise(2)
+    weights = {r["kind"]: r["n"] for r in known.groupBy(kind.alias("kind")).agg(F.sum("weight").alias("n")).collect()}
+    total = sum(weights.values())
+    if not total:
+        return None
+
+    def at(rank: int) -> float:
+        for number, value in enumerate((-math.inf, None, math.inf, math.nan)):
+            if rank < (n := weights.get(number, 0)):
+                return _value_at(known.filter(finite), rank) if value is None else value
+            rank -= n
+        return math.nan
+
     position = share * (total - 1)
     rank = math.floor(position)
-    low = _value_at(values.df, rank)
-    if position == rank:
-        return low
-    return low + (position - rank) * (_value_at(values.df, rank + 1) - low)
+    low = at(rank)
+    high = low if position == rank else at(rank + 1)
+    return low if low == high else (rank + 1 - position) * low + (position - rank) * high
 
 
 def score_threshold(df: DataFrame, score: str, contamination: float = CONTAMINATION) -> float | None:

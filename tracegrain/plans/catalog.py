@@ -99,11 +99,17 @@ _CONFORMED = """select raw, template, cluster_id, cast(anomaly_score as float) a
   cast(log_level as tinyint) as log_level from scored"""
 
 
-@query("conform_scored", with_ctes(_CONFORMED, "scored"))
+@query("conform_scored", with_ctes(_CONFORMED.replace("log_level as", "1 as"), "scored"))
 def _(spark, sf):
+    """Without features every row takes the default level."""
     return stored.conform_scored(scored(spark, sf))
 
 
+@query("conform_column_level", with_ctes(_CONFORMED, "scored"))
+def _(spark, sf):
+    return stored.conform_scored(scored(spark, sf), level_from_column=True)
+
+
 @query(
     "conform_defaults",
     with_ctes(
@@ -118,7 +124,7 @@ def _(spark, sf):
 
 @query("stored_round_trip", with_ctes(_CONFORMED, "scored"))
 def _(spark, sf):
-    return stored.read_scored(spark, stored.write_scored(scored(spark, sf), new_path(spark, "stored")))
+    return stored.read_scored(spark, stored.write_scored(scored(spark, sf), new_path(spark, "stored"), True))
 
 
 @query("stored_bytes")
@@ -546,15 +552,15 @@ def _(spark, sf):
     "jaccard_estimate",
     signature_ctes(64)
     + """ select a.line_no, count_if(a.m = b.m) / 64::double as similarity
-from sig a join sig b on b.line_no = a.line_no // 100000 * 100000 and b.k = a.k group by a.line_no""",
+from sig a join sig b on b.line_no = (a.line_no >> 32) << 32 and b.k = a.k group by a.line_no""",
 )
 def _(spark, sf):
     """Every line against the first line of its document."""
-    document = F.floor(F.col("line_no") / 100000)
+    document = F.shiftright("line_no", 32)
     signed = text_lines(spark, sf).select("line_no", document.alias("doc"), mh.minhash("raw").alias("a"))
     signed = materialize(signed, "signatures").df
     sizes = signed.groupBy("doc").agg(F.count(F.lit(1)).alias("_n"))
-    opening = signed.filter(F.col("line_no") == F.col("doc") * 100000).select("doc", F.col("a").alias("b"))
+    opening = signed.filter(F.col("line_no") == F.shiftleft("doc", 32)).select("doc", F.col("a").alias("b"))
     pairs = lookup_join(signed, materialize(opening.join(sizes, "doc"), "first-lines"), ["doc"], "inner", "_n")
     return pairs.select("line_no", mh.jaccard_estimate("a", "b").alias("similarity"))
 
@@ -640,25 +646,25 @@ def _(spark, sf):
 @query(
     "search",
     with_ctes(
-        f"{_ROWS} where regexp_matches(raw, 'refused|USER_1[0-4]\\b', 'i') or regexp_matches(template, 'refused|USER_1[0-4]\\b', 'i')",
+        f"{_ROWS} where regexp_matches(raw, 'stuck|GUEST_1[0-4]\\b', 'i') or regexp_matches(template, 'stuck|GUEST_1[0-4]\\b', 'i')",
         "scored",
     ),
 )
 def _(spark, sf):
-    return explore.search(scored(spark, sf), r"refused|USER_1[0-4]\b")
+    return explore.search(scored(spark, sf), r"stuck|GUEST_1[0-4]\b")
 
 
-@query("search_literal", with_ctes(f"{_ROWS} where contains(lower(raw), 'user_4') or contains(lower(template), 'user_4')", "scored"))
+@query("search_literal", with_ctes(f"{_ROWS} where contains(lower(raw), 'guest_4') or contains(lower(template), 'guest_4')", "scored"))
 def _(spark, sf):
-    return explore.search(scored(spark, sf), "User_4", literal=True)
+    return explore.search(scored(spark, sf), "Guest_4", literal=True)
 
 
-_EXPLORE = """ where log_level = 2 and not is_anomaly and (regexp_matches(raw, 'slow', 'i')
-  or regexp_matches(template, 'slow', 'i'))"""
+_EXPLORE = """ where log_level = 2 and not is_anomaly and (regexp_matches(raw, 'late', 'i')
+  or regexp_matches(template, 'late', 'i'))"""
 
 
 def _view(spark: SparkSession, sf: str) -> DataFrame:
-    return explore.explore(scored(spark, sf), level="WARNING", status="Normal", text="slow")
+    return explore.explore(scored(spark, sf), level="WARNING", status="Normal", text="late")
 
 
 @query("explore", with_ctes(_ROWS + _EXPLORE, "scored"))

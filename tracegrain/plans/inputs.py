@@ -69,12 +69,12 @@ NAME_SQL = """case log_level when 0 then 'DEBUG' when 1 then 'INFO' when 2 then
   when 3 then 'ERROR' when 4 then 'CRITICAL' end"""
 
 _LOG_SQL = """select event_id as line_no, value, event_type, concat(strftime(ts, '%Y-%m-%d %H:%M:%S'), ' ', case
-  when event_type = 'error' and value > 200 then concat('CRITICAL Disk usage exceeded ', v, '% on node worker-', u)
-  when event_type = 'error' then concat('ERROR Connection refused at node ', ip, ' port ', 1024 + event_id % 1000)
-  when event_type = 'signup' then concat('WARNING Slow signup for user_', u, ' took ', v, 'ms')
-  when event_type = 'view' then concat('DEBUG Page view by user_', u, ' from ', ip)
-  when event_type = 'purchase' then concat('INFO Payment of ', v, ' accepted for user_', u, ' order ', event_id)
-  else concat('INFO Click event user_', u, ' payload ', props) end) as raw
+  when event_type = 'error' and value > 200 then concat('CRITICAL Furnace rack-', u, ' overheats: sensor says ', v, '% above limit')
+  when event_type = 'error' then concat('ERROR Valve of gateway ', ip, ' stuck after ', 1024 + event_id % 1000, ' turns')
+  when event_type = 'signup' then concat('WARNING Badge guest_', u, ' printed late by ', v, 'ms')
+  when event_type = 'view' then concat('DEBUG Tile for guest_', u, ' drawn through ', ip)
+  when event_type = 'purchase' then concat('INFO Parcel ', event_id, ' weighing ', v, ' grams sent towards guest_', u)
+  else concat('INFO Lamp guest_', u, ' switched with ', props) end) as raw
 from (select *, user_id as u, cast(floor(value) as int) as v,
   concat('10.0.', user_id % 256, '.', event_id % 256) as ip from events)"""
 
@@ -90,7 +90,7 @@ _CTES = {
     "clustered": "select t.*, c.cluster_id from templated t join clusters c using (template)",
     "scored": f"""select line_no, raw, template, cluster_id, (150.0::double - value) / 500.0::double as anomaly_score,
       value > 200 as is_anomaly, {LEVEL_SQL} as log_level from clustered""",
-    "lines": """select doc_id * 100000 + pos as line_no, raw from (select doc_id,
+    "lines": """select (doc_id << 32) + pos as line_no, raw from (select doc_id,
       unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos
       from documents)""",
 }

@@ -60,35 +60,33 @@ def log_lines_from_events(events: DataFrame, *keep: str) -> DataFrame:
         F.lit("."),
         F.expr("cast(event_id % 256 as string)"),
     )
-    port = F.expr("cast(1024 + event_id % 1000 as string)")
+    tries = F.expr("cast(1024 + event_id % 1000 as string)")
     kind = F.col("event_type")
     body = (
         F.when(
             (kind == "error") & (F.col("value") > 200),
-            F.concat(F.lit("CRITICAL Disk usage exceeded "), value, F.lit("% on node worker-"), user),
+            F.concat(F.lit("CRITICAL Furnace rack-"), user, F.lit(" overheats: sensor says "), value, F.lit("% above limit")),
         )
         .when(
             kind == "error",
-            F.concat(F.lit("ERROR Connection refused at node "), address, F.lit(" port "), port),
+            F.concat(F.lit("ERROR Valve of gateway "), address, F.lit(" stuck after "), tries, F.lit(" turns")),
         )
         .when(
             kind == "signup",
-            F.concat(F.lit("WARNING Slow signup for user_"), user, F.lit(" took "), value, F.lit("ms")),
+            F.concat(F.lit("WARNING Badge guest_"), user, F.lit(" printed late by "), value, F.lit("ms")),
         )
         .when(
             kind == "view",
-            F.concat(F.lit("DEBUG Page view by user_"), user, F.lit(" from "), address),
+            F.concat(F.lit("DEBUG Tile for guest_"), user, F.lit(" drawn through "), address),
         )
         .when(
             kind == "purchase",
             F.concat(
-                F.lit("INFO Payment of "), value, F.lit(" accepted for user_"), user,
-                F.lit(" order "), F.col("event_id").cast("string"),
+                F.lit("INFO Parcel "), F.col("event_id").cast("string"), F.lit(" weighing "), value,
+                F.lit(" grams sent towards guest_"), user,
             ),
         )
-        .otherwise(
-            F.concat(F.lit("INFO Click event user_"), user, F.lit(" payload "), F.col("props"))
-        )
+        .otherwise(F.concat(F.lit("INFO Lamp guest_"), user, F.lit(" switched with "), F.col("props")))
     )
     stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
     raw = F.concat(stamp, F.lit(" "), body).alias("raw")
@@ -96,6 +94,6 @@ def log_lines_from_events(events: DataFrame, *keep: str) -> DataFrame:
 
 
 def lines_from_documents(documents: DataFrame) -> DataFrame:
-    """Every line of every document, ordered by document and position."""
+    """Every line of every document, ordered by document and position: 2**32 numbers for each document."""
     placed = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    return placed.select((F.col("doc_id") * 100000 + F.col("pos")).alias("line_no"), "raw")
+    return placed.select((F.shiftleft("doc_id", 32) + F.col("pos")).alias("line_no"), "raw")

@@ -16,21 +16,25 @@ SCORED_COLUMNS = (
 )
 
 
-def conform_scored(df: DataFrame) -> DataFrame:
-    """Project to the stored columns; absent columns and nulls take their defaults."""
+def conform_scored(df: DataFrame, level_from_column: bool = False) -> DataFrame:
+    """Project to the stored columns; absent columns and nulls take their defaults.
+
+    The level is the first of the features. Without features it takes its default, or with
+    ``level_from_column`` the value of the column ``log_level``.
+    """
     out = []
     for name, kind, default in SCORED_COLUMNS:
         value = F.lit(default)
         if name == "log_level" and "features" in df.columns:
             value = F.coalesce(F.get("features", F.lit(0)), value)
-        elif name in df.columns:
+        elif name in df.columns and (name != "log_level" or level_from_column):
             value = F.coalesce(F.col(name), value)
         out.append(value.cast(kind).alias(name))
     return df.select(*out)
 
 
-def write_scored(df: DataFrame, path: str) -> str:
-    conform_scored(df).write.mode("overwrite").option("compression", "snappy").parquet(path)
+def write_scored(df: DataFrame, path: str, level_from_column: bool = False) -> str:
+    conform_scored(df, level_from_column).write.mode("overwrite").option("compression", "snappy").parquet(path)
     return path
 
 
