@@ -73,7 +73,7 @@ def test_contract(spark, lines):
     assert out[0]["cluster_id"] == out[1]["cluster_id"]
     assert out[3]["cluster_id"] == out[4]["cluster_id"]
     assert len({r["cluster_id"] for r in out}) == 4
-    assert "192.168.1.55" not in out[2]["template"] and "5432" not in out[2]["template"]
+    assert "172.16.4.9" not in out[2]["template"] and "12" not in out[2]["template"]
 
 
 def test_empty_and_single(spark, lines):
@@ -139,27 +139,32 @@ def test_saved_model(spark, lines, tmp_path):
     assert model.templates.df.agg(F.sum("n")).first()[0] == 2 * len(LINES)
 
 
-def test_large_leaves_are_split_without_losing_lines(spark, lines):
-    rng = random.Random(3)
-    texts = [f"go {rng.choice('abcdefgh')} {rng.choice('xyz')} id{i} end" for i in range(300)]
-    texts += [f"stop {i}x now" for i in range(50)]
-    options = tm.Mining(max_leaf_lines=10)
-    out = mined(lines(texts), options)
-    assert len(out) == len(texts) and all(template for template, _ in out)
-    for text, (template, _) in zip(texts, out):
-        assert all(b in (a, "<*>") for a, b in zip(text.split(), template.split(), strict=True))
-    assert {t for t, _ in out if t.startswith("stop")} == {"stop <*> now"}
-    assert mined(lines(texts).repartition(7), options) == out
-    assert {t for t, _ in out if t.startswith("go")} <= {
-        f"go {a} {b} <*> end" for a in "abcdefgh" for b in ("x", "y", "z", "<*>")
-    }
-
-
-def test_large_leaf_of_different_lines(spark, lines):
-    """Lines that differ in every word still end in leaves of one digit-free form each."""
-    rng = random.Random(4)
-    letters = "abcdefghijklmnop"
-    texts = ["go " + " ".join("".join(rng.choices(letters, k=4)) for _ in range(6)) for _ in range(120)]
-    out = mined(lines(texts), tm.Mining(max_leaf_lines=5))
-    assert len(out) == 120
-    assert len({cluster for _, cluster in out}) > 60
+@pytest.mark.parametrize("seed, block", [(0, 7), (1, 30), (2, 1)])
+def test_leaves_in_blocks_equal_the_loop(spark, lines, monkeypatch, seed, block):
+    """The size of a block never changes a cluster, in one pass or in chunks."""
+    monkeypatch.setattr(tm, "BLOCK_LINES", block)
+    texts = random_lines(seed, 90, vocabulary=4)
+    masked = [r["masked"] for r in tm.with_mask(lines(texts)).orderBy("line_no").collect()]
+    assert mined(lines(texts)) == sequential(masked)
+    rows = tm.with_mask(lines(texts))
+    whole = tm.mine_templates(rows)
+    model = tm.mine_templates(rows.filter("line_no < 50"))
+    _, model = tm.match_templates(rows.filter("line_no >= 50"), model)
+    columns = ["leader_line", "cluster_id", "template", "n", "first_line"]
+    assert sorted(map(tuple, model.templates.df.select(columns).collect())) == sorted(
+        map(tuple, whole.templates.df.select(columns).collect())
+    )
+
+
+def test_postings_find_what_a_full_comparison_finds():
+    rng = random.Random(8)
+    for threshold in (0.0, 0.3, 0.5, 0.75, 1.0):
+        rows = [[rng.choice("abcd") for _ in range(5)] for _ in range(120)]
+        owner, _, templates = tm._merge_leaf(rows, [], threshold)
+        clusters, plain = [], []
+        for row in rows:
+            score = [(sum(a == b != "<*>" for a, b in zip(c, row)), c.count("<*>"), -i) for i, c in enumerate(clusters)]
+            best = -max(score)[2] if score and max(score)[0] / 5 >= threshold else len(clusters)
+            clusters[best : best + 1] = [[a if a == b else "<*>" for a, b in zip(clusters[best], row)] if best < len(clusters) else row]
+            plain.append(best)
+        assert owner == plain and templates == [" ".join(c) for c in clusters]

@@ -1,9 +1,11 @@
 """Template mining: lines that share a routing leaf and most of their words form one cluster.
 
-Within a leaf the merge is greedy in line order, so the leaf is the unit of parallel work. Three
-things keep every task bounded: repeated masked lines are collapsed before anything else, leaves
-are packed into Python groups of limited size, and a leaf with too many distinct lines is first
-collapsed to its digit-free forms and then split by further leading words.
+Within a leaf the merge is greedy in line order, so small leaves are the unit of parallel work and are
+packed into Python groups of limited size. A leaf with many distinct lines is cut into blocks in line
+order. Few of its lines open or widen a cluster; once those are known, every block can be
+replayed on its own against the clusters as they stood at each line. They are found in rounds: a
+guess is merged in order, all blocks are replayed against it and report the lines that would still open or
+widen something, which join the guess until no block reports any. The result is that of the plain loop.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from tracegrain.operators.tables import Table, dense_ids, lookup_join, materiali
 # Lines and words that one Python group should hold.
 GROUP_LINES = 10_000
 GROUP_WORDS = 1_000_000
+# Leaves with more lines are merged in blocks of about so many; the result is the same either way.
+BLOCK_LINES = 10_000
 
 
 @dataclass(frozen=True)
@@ -38,15 +42,11 @@ class Mining:
     similarity       share of equal words that makes a line join a cluster
     prefix_tokens    leading words that route a line to its leaf
     max_children     branches per routing node, the wildcard branch included
-    max_leaf_lines   distinct lines one task may merge; larger leaves are split
-    max_leaf_words   the same in words
     """
 
     similarity: float = 0.5
     prefix_tokens: int = 1
     max_children: int = 100
-    max_leaf_lines: int = 20_000
-    max_leaf_words: int = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -157,49 +157,92 @@ def route(
     return routed, children
 
 
-def _merge_leaf(lines: list[list[str]], seeds: list[list[str]], threshold: float):
-    """Greedy merge of word lists of one length, in order, into ``seeds`` and new clusters.
+class _Clusters:
+    """Clusters of word lists of one length.
 
     A line joins the cluster with the largest share of equal words if that reaches ``threshold``
     (ties: more wildcards, then the older cluster) and turns the differing words into wildcards.
-    Returns the cluster of every line, its template right after the line, and the final templates.
+    ``at`` lists, for a word at a place, the clusters that have it there. A cluster with enough equal
+    words is on one of the line's shortest lists, so only those are looked through.
     """
-    length = len(lines[0] if lines else seeds[0])
-    codes = {WILDCARD: 0}
 
-    def encode(words: list[str]) -> list[int]:
+    def __init__(self, length: int, threshold: float):
+        self.length, self.used = length, 0
+        self.least = next((n for n in range(length + 1) if n / max(length, 1) >= threshold), length + 1)
+        self.codes: dict[str, int] = {WILDCARD: 0}
+        self.rows = np.zeros((16, length), dtype=np.int32)
+        self.wild = np.zeros(16, dtype=np.int64)
+        self.at: dict[tuple[int, int], dict[int, None]] = {}
+
+    def encode(self, words: list[str]) -> list[int]:
+        codes = self.codes
         return [codes.setdefault(word, len(codes)) for word in words]
 
-    used = len(seeds)
-    clusters = np.zeros((max(16, used), length), dtype=np.int32)
-    if used:
-        clusters[:used] = [encode(words) for words in seeds]
-    wild = (clusters == 0).sum(axis=1)
+    def nearest(self, row: list[int]) -> int:
+        """The cluster that a line joins, or -1."""
+        if not self.used or self.length == 0:
+            return self.used - 1 if not self.used else 0
+        if self.least == 0:
+            near = np.arange(self.used)
+        else:
+            lists = sorted((self.at.get(place, {}) for place in enumerate(row) if place[1]), key=len)
+            lists = lists[: max(len(lists) - self.least + 1, 0)]
+            near = np.array(sorted(set().union(*lists)), dtype=np.int64)
+        if not len(near):
+            return -1
+        line = np.array(row, dtype=np.int32)
+        equal = ((self.rows[near] == line) & (line > 0)).sum(axis=1)
+        best = int(np.argmax(equal * (self.length + 1) + self.wild[near]))
+        return int(near[best]) if equal[best] >= self.least else -1
+
+    def open(self, row: list[int]) -> int:
+        if self.used == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.wild = np.concatenate([self.wild, np.zeros_like(self.wild)])
+        self.used += 1
+        self.replace(self.used - 1, row)
+        return self.used - 1
+
+    def replace(self, cluster: int, row: list[int]) -> None:
+        """Sets the words of a cluster; code 0 is the wildcard."""
+        for place in enumerate(self.rows[cluster].tolist()):
+            self.at.get(place, {}).pop(cluster, None)
+        self.rows[cluster] = row
+        for place in enumerate(row):
+            if place[1]:
+                self.at.setdefault(place, {})[cluster] = None
+        self.wild[cluster] = row.count(0)
+
+    def widened(self, cluster: int, row: list[int]) -> list[int] | None:
+        """The words of the cluster after the line joined it, if that changes them."""
+        old = self.rows[cluster].tolist()
+        new = [a if a == b else 0 for a, b in zip(old, row)]
+        return new if new != old else None
+
+
+def _narrowed(template: str, row: list[int]) -> str:
+    return " ".join(word if code else WILDCARD for word, code in zip(template.split(" "), row))
+
+
+def _merge_leaf(lines: list[list[str]], seeds: list[list[str]], threshold: float):
+    """Greedy merge of word lists of one length, in order, into ``seeds`` and new clusters.
+
+    Returns the cluster of every line, its template right after the line, and the final templates.
+    """
+    clusters = _Clusters(len(lines[0] if lines else seeds[0]), threshold)
+    for words in seeds:
+        clusters.open(clusters.encode(words))
     templates = [" ".join(words) for words in seeds]
     owner, emitted = [], []
     for words in lines:
-        row = np.array(encode(words), dtype=np.int32)
-        target = -1
-        if used:
-            equal = ((clusters[:used] == row) & (row > 0)).sum(axis=1)
-            best = int(np.argmax(equal * (length + 1) + wild[:used]))
-            if length == 0 or equal[best] / length >= threshold:
-                target = best
+        row = clusters.encode(words)
+        target = clusters.nearest(row)
         if target < 0:
-            if used == len(clusters):
-                clusters = np.concatenate([clusters, np.zeros_like(clusters)])
-                wild = np.concatenate([wild, np.zeros_like(wild)])
-            target = used
-            used += 1
-            clusters[target] = row
+            target = clusters.open(row)
             templates.append(" ".join(words))
-        else:
-            differs = clusters[target] != row
-            if differs.any():
-                clusters[target][differs] = 0
-                open_slots = zip(templates[target].split(" "), differs)
-                templates[target] = " ".join(WILDCARD if d else word for word, d in open_slots)
-        wild[target] = (clusters[target] == 0).sum()
+        elif (new := clusters.widened(target, row)) is not None:
+            clusters.replace(target, new)
+            templates[target] = _narrowed(templates[target], new)
         owner.append(target)
         emitted.append(templates[target])
     return owner, emitted, templates
@@ -240,58 +283,114 @@ def _merge_groups(threshold: float):
     return merge
 
 
-def _split_large_leaves(items: DataFrame, options: Mining):
-    """Give every row a leaf within the limits.
+_EVENTS = "leaf string, first_line bigint, leader_line bigint, template string"
 
-    Returns rows to merge, and for lines of large leaves the table masked -> digit-free form that
-    was put in their place (None if no leaf is too large).
-    """
-    def large(df: DataFrame) -> Table:
-        sizes = df.groupBy("leaf").agg(
-            F.count(F.lit(1)).alias("_lines"), F.sum("words").alias("_words")
-        )
-        return materialize(
-            sizes.filter(
-                (F.col("_lines") > options.max_leaf_lines)
-                | ((F.col("_words") > options.max_leaf_words) & (F.col("_lines") > 1))
-            ),
-            "large-leaves",
-        )
 
-    leaves = large(items)
-    if leaves.rows == 0:
-        return items, None
-    whole = lookup_join(items, leaves, ["leaf"], "left", "_lines", "first_line")
-    small = whole.filter(F.col("_lines").isNull()).drop("_lines", "_words")
-    rest = whole.filter(F.col("_lines").isNotNull()).drop("_lines", "_words")
-    seeds = rest.filter("is_seed")
-    forms = materialize(
-        rest.filter("not is_seed").withColumn("form", fast_template("masked")), "digit-free-lines"
-    ).df
-    distinct = forms.groupBy("form").agg(
-        F.min("first_line").alias("first_line"),
-        F.sum("n").alias("n"),
-        F.first("words").alias("words"),
-        F.first("leaf").alias("leaf"),
-    )
-    rest = distinct.withColumnRenamed("form", "masked").withColumn("is_seed", F.lit(False))
-    rest = rest.unionByName(seeds.select(rest.columns))
-    done = small
-    depth = options.prefix_tokens
+def _history(threshold: float):
+    """Merges the guess of a leaf in order; returns its seeds and the lines that open or widen a cluster."""
+
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["is_seed", "first_line"], ascending=[False, True])
+        words = [_WORDS(text) for text in group["masked"]]
+        ids, seeds = group["first_line"].to_list(), int(group["is_seed"].sum())
+        owner, emitted, _ = _merge_leaf(words[seeds:], words[:seeds], threshold)
+        leaders, now = ids[:seeds], [" ".join(w) for w in words[:seeds]]
+        events = list(zip([-1] * seeds, leaders, now))
+        for line, cluster, template in zip(ids[seeds:], owner, emitted):
+            if cluster == len(leaders):
+                leaders.append(line)
+                now.append("")
+            if now[cluster] != template:
+                now[cluster] = template
+                events.append((line, leaders[cluster], template))
+            elif leaders[cluster] == line:
+                events.append((line, line, template))
+        out = pd.DataFrame(events, columns=["first_line", "leader_line", "template"])
+        out.insert(0, "leaf", group["leaf"].iloc[0])
+        return out
+
+    return merge
+
+
+def _replay(threshold: float):
+    """Replays a block of a leaf against the history; ``reported`` lines would open or widen a cluster."""
+
+    def replay(lines: pd.DataFrame, events: pd.DataFrame) -> pd.DataFrame:
+        lines, events = lines.sort_values("first_line"), events.sort_values("first_line", kind="stable")
+        pending = list(zip(events["first_line"], events["leader_line"], events["template"]))[::-1]
+        words = [_WORDS(text) for text in lines["masked"]]
+        clusters = _Clusters(len(words[0]) if words else 0, threshold)
+        number: dict[int, int] = {}
+        leaders: list[int] = []
+        templates: list[str] = []
+
+        def put(leader: int, template: str) -> int:
+            row = clusters.encode(_WORDS(template))
+            if leader in number:
+                clusters.replace(number[leader], row)
+                templates[number[leader]] = template
+            else:
+                number[leader] = clusters.open(row)
+                leaders.append(leader)
+                templates.append(template)
+            return number[leader]
+
+        owner, emitted, reported = [], [], []
+        for line, own in zip(lines["first_line"], words):
+            while pending and pending[-1][0] < line:
+                put(*pending.pop()[1:])
+            wrong = False
+            if pending and pending[-1][0] == line:
+                target = put(*pending.pop()[1:])
+            else:
+                row = clusters.encode(own)
+                target = clusters.nearest(row)
+                new = None if target < 0 else clusters.widened(target, row)
+                wrong = target < 0 or new is not None
+                if target < 0:
+                    target = put(line, " ".join(own))
+                elif new is not None:
+                    put(leaders[target], _narrowed(templates[target], new))
+            owner.append(leaders[target])
+            emitted.append(templates[target])
+            reported.append(wrong)
+        out = lines[["masked", "first_line", "n", "leaf"]].copy()
+        out["leader_line"] = np.array(owner, dtype=np.int64)
+        out["emitted"] = np.array(emitted, dtype=object)
+        out["reported"] = np.array(reported, dtype=bool)
+        return out
+
+    return replay
+
+
+def _merge_in_blocks(items: DataFrame, threshold: float) -> DataFrame:
+    """The merge of large leaves: columns of ``_MERGED``."""
+    seeds = items.filter("is_seed").select("masked", "first_line", "leaf", "is_seed")
+    lines = items.filter("not is_seed").select("masked", "first_line", "n", "leaf")
+    size = lines.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    # Ranges of leaf and line: a block is the part of a leaf that lies in one partition.
+    dealt = lines.repartitionByRange(size // BLOCK_LINES + 1, "leaf", "first_line")
+    dealt = materialize(dealt.withColumn("block", F.spark_partition_id()), "leaf-blocks").df
+    # Under attributes of its own, as it meets the lines again.
+    blocks = dealt.select(F.concat("leaf").alias("leaf"), (F.col("block") + 0).alias("block")).distinct()
+    schema = "masked string, first_line bigint, n bigint, leaf string, leader_line bigint, emitted string, reported boolean"
+    guess = lines.select("masked", "first_line", "leaf", F.lit(False).alias("is_seed")).limit(0)
     while True:
-        rest_table = materialize(rest, "digit-free-forms").df
-        leaves = large(rest_table)
-        if leaves.rows == 0:
-            return done.unionByName(rest_table.select(done.columns)), forms
-        longest = rest_table.agg(F.max("words")).first()[0]
-        whole = lookup_join(rest_table, leaves, ["leaf"], "left", "_lines", "first_line")
-        done = done.unionByName(whole.filter(F.col("_lines").isNull()).select(done.columns))
-        rest = whole.filter(F.col("_lines").isNotNull()).drop("_lines", "_words")
-        if depth >= longest:
-            # Every leaf now holds one digit-free form next to the seeds of that very form.
-            return done.unionByName(rest.select(done.columns)), forms
-        depth = max(2 * depth, 2)
-        rest = rest.withColumn("leaf", F.concat(F.lit("deep "), _deep_leaf("masked", depth)))
+        events = guess.unionByName(seeds).groupBy("leaf").applyInPandas(_history(threshold), _EVENTS)
+        events = materialize(events, "leaf-history").df
+        sent = events.join(blocks, "leaf")
+        pairs = dealt.groupBy("leaf", "block").cogroup(sent.groupBy("leaf", "block"))
+        replayed = materialize(pairs.applyInPandas(_replay(threshold), schema), "leaf-replay").df
+        found = replayed.filter("reported").select("masked", "first_line", "leaf", F.lit(False).alias("is_seed"))
+        fresh = found.join(guess.select("leaf", "first_line"), ["leaf", "first_line"], "left_anti")
+        fresh = materialize(fresh.select("masked", "first_line", "leaf", "is_seed"), "leaf-reports")
+        if fresh.rows == 0:
+            break
+        guess = materialize(guess.unionByName(fresh.df), "leaf-guess").df
+    final = events.groupBy("leaf", "leader_line").agg(F.max_by("template", "first_line").alias("template"))
+    final = materialize(final, "leaf-templates")
+    columns = [c.split()[0] for c in _MERGED.split(", ")]
+    return lookup_join(replayed.drop("reported"), final, ["leaf", "leader_line"], "inner").select(columns)
 
 
 def _merge(
@@ -315,12 +414,21 @@ def _merge(
             )
         )
     items = materialize(items, "routed").df
-    total = items.agg(
-        F.count(F.lit(1)).alias("lines"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")
+    sizes = items.filter("not is_seed").groupBy("leaf").agg(
+        F.count(F.lit(1)).alias("_lines"), F.coalesce(F.sum("words"), F.lit(0)).alias("_words")
+    )
+    sizes = materialize(sizes, "leaf-sizes")
+    total = sizes.df.agg(
+        F.coalesce(F.sum("_lines"), F.lit(0)).alias("lines"),
+        F.coalesce(F.sum("_words"), F.lit(0)).alias("words"),
+        F.coalesce(F.max("_lines"), F.lit(0)).alias("most"),
     ).first()
-    forms = None
-    if total["lines"] > options.max_leaf_lines or total["words"] > options.max_leaf_words:
-        items, forms = _split_large_leaves(items, options)
+    blocked = None
+    if total["most"] > BLOCK_LINES:
+        large = materialize(sizes.df.filter(F.col("_lines") > BLOCK_LINES).select("leaf", "_lines"), "large-leaves")
+        whole = lookup_join(items, large, ["leaf"], "left", "_lines", "first_line")
+        blocked = _merge_in_blocks(whole.filter(F.col("_lines").isNotNull()).drop("_lines"), options.similarity)
+        items = whole.filter(F.col("_lines").isNull()).drop("_lines")
     cores = items.sparkSession.sparkContext.defaultParallelism
     groups = max(total["lines"] // GROUP_LINES, total["words"] // GROUP_WORDS, min(3 * cores, total["lines"] // 500)) + 1
     packed = items.drop("words").withColumn("_group", F.pmod(F.xxhash64("leaf"), F.lit(groups)))
@@ -329,18 +437,9 @@ def _merge(
         .groupBy("_group")
         .applyInPandas(_merge_groups(options.similarity), _MERGED)
     )
-    merged = materialize(merged, "merged")
-    if forms is None:
-        return merged, children
-    by_form = merged.narrowed(
-        F.col("masked").alias("form"), F.col("leaf").alias("_leaf"), "leader_line", "emitted", "template",
-        F.col("n").alias("_weight"),
-    )
-    large = lookup_join(forms.drop("leaf"), by_form, ["form"], "inner", "_weight", "first_line")
-    small = merged.df.join(forms.select("first_line"), "first_line", "left_anti")
-    columns = [c.split()[0] for c in _MERGED.split(", ")]
-    large = large.withColumnRenamed("_leaf", "leaf").select(columns)
-    return materialize(small.select(columns).unionByName(large), "merged-lines"), children
+    if blocked is not None:
+        merged = merged.unionByName(blocked)
+    return materialize(merged, "merged"), children
 
 
 def mine_templates(df: DataFrame, options: Mining = Mining()) -> Model:
