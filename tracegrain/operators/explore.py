@@ -13,6 +13,7 @@ from tracegrain.functions.text import (
     severity_pct,
     snippet,
 )
+from tracegrain.sources.scored import with_defaults
 
 ALL = "All"
 
@@ -80,18 +81,18 @@ def filtered_count(df: DataFrame) -> DataFrame:
 
 def cluster_ids(df: DataFrame) -> DataFrame:
     """Distinct cluster ids as text, in text order (1, 10, 2)."""
-    ids = df.select(F.col("cluster_id").cast("string").alias("cluster_id"))
+    ids = with_defaults(df).select(F.col("cluster_id").cast("string").alias("cluster_id"))
     return ids.distinct().orderBy("cluster_id")
 
 
 def most_anomalous(df: DataFrame, n: int = 5, score: str = "anomaly_score", tie: str = "line_no") -> DataFrame:
     """Flagged rows, lowest score first."""
-    return flagged(df).orderBy(F.col(score).asc(), F.col(tie).asc()).limit(n)
+    return flagged(with_defaults(df)).orderBy(F.col(score).asc(), F.col(tie).asc()).limit(n)
 
 
 def flagged_preview(df: DataFrame, n: int = 8, score: str = "anomaly_score", tie: str = "line_no") -> DataFrame:
     """Flagged rows, highest score first."""
-    return flagged(df).orderBy(F.col(score).desc(), F.col(tie).asc()).limit(n)
+    return flagged(with_defaults(df)).orderBy(F.col(score).desc(), F.col(tie).asc()).limit(n)
 
 
 def first_rows(df: DataFrame, n: int = 15) -> DataFrame:
@@ -103,8 +104,8 @@ def detail_row(df: DataFrame) -> DataFrame:
 
 
 def explore_rows(df: DataFrame, score: str = "anomaly_score") -> DataFrame:
-    """Display columns of the explore list."""
-    return df.select(
+    """Display columns of the explore list; absent columns show their defaults."""
+    return with_defaults(df).select(
         "line_no",
         snippet("raw", 55).alias("message"),
         level_name("log_level", "INFO").alias("level"),
@@ -116,8 +117,8 @@ def explore_rows(df: DataFrame, score: str = "anomaly_score") -> DataFrame:
 
 
 def anomaly_rows(df: DataFrame, score: str = "anomaly_score") -> DataFrame:
-    """Display columns of the anomaly list."""
-    return df.select(
+    """Display columns of the anomaly list; absent columns show their defaults."""
+    return with_defaults(df).select(
         "line_no",
         snippet("raw", 65).alias("message"),
         snippet("template", 30).alias("template"),

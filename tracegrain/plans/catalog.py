@@ -714,6 +714,52 @@ def _(spark, sf):
     return explore.detail_row(_view(spark, sf))
 
 
+def _stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The stand-in table written in line order and read back."""
+    path = stored.write_scored(scored(spark, sf), new_path(spark, "stored"), True, keep_line_no=True)
+    return stored.read_scored(spark, path, numbered=True)
+
+
+_STORED_SCORE = "cast(anomaly_score as float) as anomaly_score"
+
+
+@query(
+    "stored_first_rows",
+    with_ctes(
+        f"""select line_no, substr(raw, 1, 55) as message, {NAME_SQL} as level, cluster_id, {_STORED_SCORE},
+  log_level in (3, 4) as is_severe, abs(cast(anomaly_score as float)) > 0.5 as is_highlighted
+from (select * from scored order by line_no limit 15)""",
+        "scored",
+    ),
+)
+def _(spark, sf):
+    return explore.explore_rows(explore.first_rows(_stored(spark, sf)))
+
+
+@query(
+    "stored_flagged_preview",
+    with_ctes(
+        f"""select line_no, raw, template, cluster_id, {_STORED_SCORE}, is_anomaly, cast(log_level as tinyint) as log_level
+from scored where is_anomaly order by cast(anomaly_score as float) desc, line_no limit 8""",
+        "scored",
+    ),
+)
+def _(spark, sf):
+    return explore.flagged_preview(_stored(spark, sf))
+
+
+@query(
+    "stored_explore",
+    with_ctes(
+        f"""select line_no, raw, template, cluster_id, {_STORED_SCORE}, is_anomaly, cast(log_level as tinyint) as log_level
+from scored {_EXPLORE}""",
+        "scored",
+    ),
+)
+def _(spark, sf):
+    return explore.explore(_stored(spark, sf), level="WARNING", status="Normal", text="late")
+
+
 # --- anomaly model -------------------------------------------------------------------------------
 
 
