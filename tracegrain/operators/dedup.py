@@ -185,12 +185,22 @@ def near_dup_pairs(
     """Every removed line with the kept lines before it that it collides with: ``lo, hi``.
 
     A bucket has one kept row at most, so a line has no more partners than there are bands; pairs
-    among the removed lines are never formed.
+    among the removed lines are never formed. Equal texts are signed and compared once, and
+    their lines attached afterwards.
     """
-    rows = materialize(with_bands(df, text, threshold, num_perm), "line-bands").df
+    texts = df.groupBy(F.coalesce(text, F.lit("")).alias("_text")).agg(
+        F.min("line_no").alias("line_no"), F.count(F.lit(1)).alias("_lines")
+    )
+    texts = materialize(texts, "first-texts")
+    rows = materialize(with_bands(texts.df, "_text", threshold, num_perm), "line-bands").df
     kept = first_wins(rows, banding(threshold, num_perm)[0])
     sizes = buckets(rows).groupBy("band", "key").agg(F.count(F.lit(1)).alias("_n"))
     owners = kept.bands().select("band", "key", F.col("line_no").alias("lo"))
     lookup = materialize(owners.join(sizes, ["band", "key"]), "kept-buckets")
     hits = lookup_join(buckets(rows), lookup, ["band", "key"], "inner", "_n")
-    return hits.filter("lo < line_no").select("lo", F.col("line_no").alias("hi")).distinct()
+    hits = hits.select("lo", "line_no").distinct().groupBy("line_no").agg(F.collect_list("lo").alias("_los"))
+    partners = materialize(texts.df.join(hits, "line_no").select("_text", "_los", "_lines"), "text-partners")
+    lines = df.select("line_no", F.coalesce(text, F.lit("")).alias("_text"))
+    pairs = lookup_join(lines, partners, ["_text"], "inner", "_lines")
+    pairs = pairs.select(F.explode("_los").alias("lo"), F.col("line_no").alias("hi"))
+    return pairs.filter("lo < hi")

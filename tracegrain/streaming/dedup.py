@@ -35,5 +35,8 @@ def dedup_stream(
 
 
 def drop_exact_duplicates(lines: DataFrame, text: str = "template") -> DataFrame:
-    """Streaming state for exact duplicates only: the first row of every text."""
+    """Streaming state for exact duplicates only: one row of every text, any one of those that came in the same batch.
+
+    The state keeps every text seen and so grows with the stream; ``dedup_stream`` keeps the first row.
+    """
     return lines.dropDuplicates([text])
