@@ -6,6 +6,7 @@ import hashlib
 import re
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,16 +21,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Lets Spark drop the shuffle files of a write once it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage, keeps column pruning, survives lost executors."""
+    """``df`` as a Parquet table in the shared folder: cuts lineage, keeps column pruning, survives lost executors.
+
+    The table takes the place of the shuffle files it came from, so these are dropped.
+    """
     spark = df.sparkSession
-    path = new_path(spark, label)
+    path, before = new_path(spark, label), spark.conf.get(_CLEANUP, "false")
     spark.sparkContext.setJobDescription(label)
-    df.write.parquet(path)
-    spark.sparkContext.setJobDescription(None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+        spark.sparkContext.setJobDescription(None)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` stored and that nothing still to run reads."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        for file in table.inputFiles()[:1]:
+            folder = context._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def checked_join(rows: DataFrame, lookup: DataFrame, on, how: str) -> DataFrame:
     """Join to a stored table, which is broadcast only if its counted size allows; else both sides are shuffled."""
     return rows.join(F.broadcast(lookup) if Table(lookup).fits_broadcast else lookup, on, how)
@@ -151,3 +172,40 @@ def sequence_names(words: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
         for k in range(length):
             total += words[k : len(words) - length + 1 + k] * factors[k]
     return mix64(total)
+
+
+def span_lists(runs: DataFrame) -> DataFrame:
+    """The runs (id, code, last) of each id in one array of (mark, first, last), ascending and merged.
+
+    A code is the first number of the run times 2**16 plus a mark, the low bits of the name of the text: rows under
+    one id may have different texts.
+    """
+
+    def pack(frames):
+        for frame in frames:
+            spans = []
+            for codes, lasts in zip(frame["codes"], frame["lasts"]):
+                codes, last = np.asarray(codes), np.asarray(lasts)
+                place, mark = codes >> 16, codes & 0xFFFF
+                order = np.lexsort((place, mark))
+                place, mark, last = place[order], mark[order], last[order]
+                # Runs of one text that touch or overlap become one.
+                reach = np.maximum.accumulate(last + mark * (1 << 44)) - mark * (1 << 44)
+                new = np.concatenate([[True], (place[1:] > reach[:-1] + 1) | (np.diff(mark) != 0)])
+                ends = np.append(np.flatnonzero(new)[1:], len(place)) - 1
+                spans.append(np.stack([mark[new], place[new], reach[ends]], axis=1).ravel())
+            yield pd.DataFrame({"id": frame["id"], "spans": spans})
+
+    lists = runs.groupBy("id").agg(F.collect_list(F.struct("code", "last")).alias("r"))
+    lists = lists.select("id", F.col("r.code").alias("codes"), F.col("r.last").alias("lasts"))
+    return lists.mapInPandas(pack, "id bigint, spans array<bigint>")
+
+
+def marked(spans, mark: int, size: int) -> np.ndarray:
+    """Which of ``size`` numbers the runs of a text cover, ``spans`` being a list of ``span_lists`` or None."""
+    out = np.zeros(size, dtype=bool)
+    if spans is not None:
+        for own, first, last in np.asarray(spans).reshape(-1, 3).tolist():
+            if own == mark:
+                out[first : last + 1] = True
+    return out

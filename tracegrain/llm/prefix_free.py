@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracegrain.llm.common import checked_join, mix64, written
+from tracegrain.llm.common import checked_join, discard, marked, mix64, span_lists, written
 
 LENGTH = 400
 TRIGGER = 8  # bytes of a trigger
@@ -30,7 +30,7 @@ PHRASE = 48  # mean length of a phrase, trigger not counted
 SEED = 61
 LAST = 2**63 - 1
 # Texts that a task holds hashes of at a time.
-SLICE = 64
+SLICE = 256
 
 
 class Parser:
@@ -90,15 +90,16 @@ class Parse:
         ends = parser.triggers(data)
         # Phrases from trigger to trigger, both included.
         self.begin, self.end = ends[:-1] - TRIGGER, ends[1:]
-        # A window holds no phrase if the second trigger in it would end behind it.
-        start = np.arange(self.windows)
-        first = np.searchsorted(ends, start + TRIGGER)
-        following = np.append(ends, [LAST, LAST])[first + 1]
-        self.bare = np.flatnonzero(following > start + length)
-        # Windows with a phrase, by their first trigger.
-        dense = np.flatnonzero(following <= start + length)
-        self.trigger, at, count = np.unique(first[dense], return_index=True, return_counts=True)
-        self.low, self.high = dense[at], dense[at] + count  # starts of these windows: low .. high - 1
+        # Windows start behind the start of the trigger before and not behind that of their own.
+        after = np.concatenate([[0], ends - TRIGGER + 1])
+        own, following = np.append(ends, LAST), np.append(ends[1:], [LAST, LAST])[: len(ends) + 1]
+        low = np.clip(after, 0, self.windows)
+        high = np.clip(np.append(after[1:], self.windows), low, self.windows)
+        # Those that end before the second trigger hold no phrase.
+        dense = np.clip(following - length, low, high)
+        self.bare = _ranges(low, dense)
+        some = np.flatnonzero((dense < high) & (own != LAST))
+        self.trigger, self.low, self.high = some, dense[some], high[some]  # starts of windows: low .. high - 1
 
     def phrase_names(self) -> np.ndarray:
         return self.parser.names(self.sums, self.begin, self.end).view(np.int64)
@@ -121,156 +122,139 @@ class Parse:
         return np.cumsum(change[:-1]) == 0
 
 
+def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges low .. high - 1, one after the other."""
+    count = high - low
+    return np.arange(count.sum()) + np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
+
+
 def _texts(frame: pd.DataFrame, length: int, parser: Parser):
-    """Parses of the texts of a frame that hold a window, with their row numbers."""
-    for i, text in enumerate(frame["text"]):
+    """Parses of the texts of a frame that hold a window, with id and mark (16 bits of the text's name)."""
+    for doc, h, text, *more in frame.itertuples(index=False):
         data = text.encode("utf-8", "surrogatepass")
         if len(data) >= length:
-            yield i, Parse(parser, data)
+            yield doc, int(h) & 0xFFFF, Parse(parser, data), *more
+
+
+def _rows(parts: list[tuple], names: str):
+    return pd.DataFrame(dict(zip(names.split(), map(np.concatenate, zip(*parts)))))
 
 
 def _slices(frames):
     for frame in frames:
         for start in range(0, len(frame), SLICE):
-            yield frame.iloc[start : start + SLICE].reset_index(drop=True)
+            yield frame.iloc[start : start + SLICE]
 
 
 def _phrases(texts: DataFrame, length: int, phrase: int) -> DataFrame:
-    """name, id and count of the phrases and bare windows of every text."""
+    """name, id and code of the phrases and then the bare windows of every text.
+
+    A code holds the number within the text and the 16 bits that mark the text.
+    """
 
     def emit(frames):
         parser = Parser(length, phrase)
         for frame in _slices(frames):
             parts = []
-            for i, parse in _texts(frame, length, parser):
-                fits = parse.end - parse.begin <= length
-                names, counts = np.unique(np.concatenate([parse.phrase_names()[fits], parse.bare_names()]), return_counts=True)
-                parts.append((names, np.full(len(names), frame["id"][i]), counts))
+            for doc, mark, parse in _texts(frame, length, parser):
+                names = np.concatenate([parse.phrase_names(), parse.bare_names()])
+                parts.append((names, np.full(len(names), doc), np.arange(len(names)) << 16 | mark))
             if parts:
-                yield pd.DataFrame(dict(zip(("name", "id", "n"), map(np.concatenate, zip(*parts)))))
+                yield _rows(parts, "name id code")
 
-    return texts.select("id", "text").mapInPandas(emit, "name bigint, id bigint, n int")
+    return texts.select("id", "h", "text").mapInPandas(emit, "name bigint, id bigint, code bigint")
 
 
-def _chosen(parse: Parse, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _chosen(parse: Parse, spans, mark: int) -> tuple[np.ndarray, np.ndarray]:
     """Windows that may repeat, and the triggers that have such windows."""
-    repeated = np.isin(parse.phrase_names(), names)
-    possible = parse.possible(repeated)
-    possible[parse.bare] = np.isin(parse.bare_names(), names)
+    repeated = marked(spans, mark, len(parse.begin) + len(parse.bare))
+    possible = parse.possible(repeated[: len(parse.begin)])
+    possible[parse.bare] = repeated[len(parse.begin) :]
     total = np.concatenate([[0], np.cumsum(possible)])
     return possible, np.flatnonzero(total[parse.high] > total[parse.low])
 
 
 def _stretches(listed: DataFrame, length: int, phrase: int) -> DataFrame:
-    """stretch, first phrase and id of every trigger whose windows may repeat."""
+    """stretch, first phrase, id and code of every trigger whose windows may repeat."""
 
     def emit(frames):
         parser = Parser(length, phrase)
         for frame in _slices(frames):
             parts = []
-            for i, parse in _texts(frame, length, parser):
-                some = _chosen(parse, frame["names"][i])[1]
-                if len(some):
-                    firsts = parse.phrase_names()[parse.trigger[some]]
-                    parts.append((parse.stretch_names(some), firsts, np.full(len(some), frame["id"][i])))
+            for doc, mark, parse, spans in _texts(frame, length, parser):
+                some = _chosen(parse, spans, mark)[1]
+                firsts = parse.phrase_names()[parse.trigger[some]]
+                parts.append((parse.stretch_names(some), firsts, np.full(len(some), doc), some << 16 | mark))
             if parts:
-                yield pd.DataFrame(dict(zip(("stretch", "first", "id"), map(np.concatenate, zip(*parts)))))
+                yield _rows(parts, "stretch first id code")
 
-    return listed.select("id", "text", "names").mapInPandas(emit, "stretch bigint, first bigint, id bigint")
+    rows = listed.select("id", "h", "text", "spans")
+    return rows.mapInPandas(emit, "stretch bigint, first bigint, id bigint, code bigint")
 
 
 def _left_over(listed: DataFrame, length: int, phrase: int) -> DataFrame:
-    """Runs of windows that repeat as a stretch (place, until), and single windows to compare (a, b, place).
-
-    Places are packed with 16 bits of the text's name.
-    """
+    """Runs of windows that repeat as a stretch (code, until), and single windows to compare (a, b, code)."""
 
     def emit(frames):
         parser = Parser(length, phrase)
         for frame in _slices(frames):
             parts = []
-            for i, parse in _texts(frame, length, parser):
-                doc, mark = frame["id"][i], int(frame["h"][i]) & 0xFFFF
-                possible, some = _chosen(parse, frame["names"][i])
-                stretches = parse.stretch_names(some)
-                again = np.isin(stretches, _list(frame["again"][i]))
-                emit_too = np.isin(stretches, _list(frame["stands"][i]))
-                # Of equal stretches within a text one stands for all.
-                lone = np.zeros(len(some), dtype=bool)
-                lone[np.unique(stretches, return_index=True)[1]] = True
-                for k in some[again & ~(emit_too & lone)]:
-                    possible[parse.low[k] : parse.high[k]] = False
+            for doc, mark, parse, spans, again, stands in _texts(frame, length, parser):
+                possible = _chosen(parse, spans, mark)[0]
+                again = marked(again, mark, len(parse.low))
+                stands = marked(stands, mark, len(parse.low))
+                possible[_ranges(parse.low[again & ~stands], parse.high[again & ~stands])] = False
                 at = np.flatnonzero(possible)
                 second = parser.sums(parse.data, 1)
                 a = parser.names(parse.sums, at, at + length).view(np.int64)
                 b = (parser.names(second, at, at + length, 1) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                low, until = parse.low[some[again]], parse.high[some[again]]
-                n, m = len(at), len(low)
-                parts.append(
-                    (
-                        np.concatenate([a, np.zeros(m, dtype=np.int64)]),
-                        np.concatenate([b, np.zeros(m, dtype=np.int32)]),
-                        np.full(n + m, doc),
-                        np.concatenate([at, low]) << 16 | mark,
-                        np.concatenate([np.zeros(n, dtype=np.int64), until]),
-                    )
-                )
+                low, until = parse.low[again], parse.high[again]
+                none, nothing = np.zeros(len(low), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
+                code = np.concatenate([at, low]) << 16 | mark
+                ids = np.full(len(code), doc)
+                parts.append((np.append(a, none), np.append(b, none.astype(np.int32)), ids, code, np.append(nothing, until)))
             if parts:
-                yield pd.DataFrame(dict(zip(("a", "b", "id", "code", "until"), map(np.concatenate, zip(*parts)))))
+                yield _rows(parts, "a b id code until")
 
-    rows = listed.select("id", "h", "text", "names", "again", "stands")
+    rows = listed.select("id", "h", "text", "spans", "again", "stands")
     return rows.mapInPandas(emit, "a bigint, b int, id bigint, code bigint, until bigint")
 
 
-def _list(values) -> np.ndarray:
-    return np.zeros(0, dtype=np.int64) if values is None else np.asarray(values, dtype=np.int64)
+def _runs(rows: DataFrame, label: str) -> DataFrame:
+    """Runs of consecutive numbers among the codes of each id, as a stored table."""
+    return written(span_lists(rows.select("id", "code", F.shiftright("code", 16).alias("last"))), label)
 
 
 def repeated_windows(texts: DataFrame, length: int, phrase: int) -> DataFrame:
-    """Runs of window starts that occur elsewhere among different texts or in the same one: id, code, until."""
+    """Runs of windows that occur elsewhere, in another text or in the same one: a stored table of ``span_lists``."""
     found = written(_phrases(texts, length, phrase), "phrases")
-    dictionary = found.groupBy("name").agg(F.sum("n").alias("n")).filter("n > 1").select("name")
-    lists = found.join(written(dictionary, "repeated-phrases"), "name").groupBy("id").agg(F.collect_list("name").alias("names"))
-    listed = checked_join(texts, written(lists, "phrase-lists"), ["id"], "inner")
+    dictionary = written(found.groupBy("name").count().filter("count > 1").select("name"), "repeated-phrases")
+    spans = _runs(found.join(dictionary, "name"), "phrase-runs")
+    discard(found, dictionary)
+    # Runs grow with the texts, so both sides are shuffled at every size.
+    listed = texts.join(spans, "id")
     rows = written(_stretches(listed, length, phrase), "stretches")
-    by = rows.groupBy("stretch").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.min("first").alias("first"))
+    by = rows.groupBy("stretch").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "code")).alias("least"), F.min("first").alias("first")
+    )
     by = written(by, "stretch-counts")
     asked = by.filter("n = 1").select("first").distinct().withColumn("asked", F.lit(True))
     again = by.filter("n > 1").join(written(asked, "asked-phrases"), "first", "left").select("stretch", "least", "asked")
-    marked = rows.select("stretch", "id").distinct().join(written(again, "repeated-stretches"), "stretch")
-    stands = F.when(F.col("asked") & (F.col("id") == F.col("least")), F.col("stretch"))
-    marked = marked.groupBy("id").agg(F.collect_list("stretch").alias("again"), F.collect_list(stands).alias("stands"))
-    listed = checked_join(listed, written(marked, "stretch-lists"), ["id"], "left")
+    twice = written(rows.select("stretch", "id", "code").join(written(again, "repeated-stretches"), "stretch"), "marked-stretches")
+    # One occurrence stands for all as long as some single window might meet it.
+    stands = twice.filter(F.col("asked") & (F.struct("id", "code") == F.col("least")))
+    stands = _runs(stands, "standing-runs").withColumnRenamed("spans", "stands")
+    again = _runs(twice, "stretch-runs").withColumnRenamed("spans", "again")
+    discard(rows, by, twice)
+    listed = listed.join(again, "id", "left").join(stands, "id", "left")
     rows = written(_left_over(listed, length, phrase), "left-over")
     single = rows.filter("until = 0").select("a", "b", "id", "code")
-    names = single.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "b")
-    matched = single.join(written(names, "repeated-windows"), ["a", "b"])
-    return matched.select("id", "code", F.shiftright("code", 16).alias("last")).unionAll(
-        rows.filter("until > 0").select("id", "code", F.col("until") - 1)
-    )
-
-
-def _spans(runs: DataFrame) -> DataFrame:
-    """The runs of an id in one array of (text name, first, last)."""
-
-    def pack(frames):
-        for frame in frames:
-            spans = []
-            for codes, lasts in zip(frame["codes"], frame["lasts"]):
-                codes, last = np.asarray(codes), np.asarray(lasts)
-                place, mark = codes >> 16, codes & 0xFFFF
-                order = np.lexsort((place, mark))
-                place, mark, last = place[order], mark[order], last[order]
-                # Runs of one text that touch or overlap become one.
-                reach = np.maximum.accumulate(last + mark * (1 << 44)) - mark * (1 << 44)
-                new = np.concatenate([[True], (place[1:] > reach[:-1] + 1) | (np.diff(mark) != 0)])
-                ends = np.append(np.flatnonzero(new)[1:], len(place)) - 1
-                spans.append(np.stack([mark[new], place[new], reach[ends]], axis=1).ravel())
-            yield pd.DataFrame({"id": frame["id"], "spans": spans})
-
-    lists = runs.groupBy("id").agg(F.collect_list(F.struct("code", "last")).alias("r"))
-    lists = lists.select("id", F.col("r.code").alias("codes"), F.col("r.last").alias("lasts"))
-    return lists.mapInPandas(pack, "id bigint, spans array<bigint>")
+    names = written(single.groupBy("a", "b").count().filter("count > 1").select("a", "b"), "repeated-windows")
+    matched = single.join(names, ["a", "b"]).select("id", "code", F.shiftright("code", 16).alias("last"))
+    whole = rows.filter("until > 0").select("id", "code", F.col("until") - 1)
+    out = written(span_lists(matched.unionAll(whole)), "window-runs")
+    discard(rows, names)
+    return out
 
 
 def removals(
@@ -300,10 +284,10 @@ def removals(
     copies = written(copies, "text-copies")
     later = copies.filter("later").select("id", "h")
     texts = checked_join(base, later, ["id", "h"], "left_anti")
-    spans = written(_spans(repeated_windows(texts, length, phrase)), "spans")
-    marked = checked_join(base, copies.select("id", "h", F.lit(True).alias("copy")), ["id", "h"], "left")
+    spans = repeated_windows(texts, length, phrase)
+    found = checked_join(base, copies.select("id", "h", F.lit(True).alias("copy")), ["id", "h"], "left")
     along = [f"keep_{i}" for i in range(len(keep))]
-    marked = checked_join(marked, spans, ["id"], "left").select("id", "text", "h", "copy", "spans", *along)
+    found = checked_join(found, spans, ["id"], "left").select("id", "text", "h", "copy", "spans", *along)
 
     def take(frames):
         for frame in frames:
@@ -315,7 +299,7 @@ def removals(
 
     more = ", text string" * with_text + "".join(f", {f.name} {f.dataType.simpleString()}" for f in base.select(along).schema)
     schema = f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string{more}"
-    found = marked.mapInPandas(take, schema)
+    found = found.mapInPandas(take, schema)
     return found.withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id")).cast(docs.schema[id_col].dataType))
 
 
