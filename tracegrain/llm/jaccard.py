@@ -11,15 +11,16 @@ merged by counting, documents below the count that the long lists could still ma
 lists are probed by binary search for the rest. Documents that reach the required overlap are retained and
 checked exactly. A pair whose documents are known to be connected needs no probing. A large group is cut into pieces
 that are searched apart; then one document of every component found stands for it and the search is
-repeated among these while that merges anything; last, the documents outside the largest component of
-their group are searched in all other pieces, so no link between components is lost.
+repeated among these while that merges anything; last, wherever a shared shingle still brings documents of
+several components together, those outside the largest of them are searched among all that share it, so no link
+between components is lost.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracegrain.llm.common import WordHasher, checked_join, components, mix64, sequence_names, written
@@ -31,8 +32,11 @@ PERCENT = 90
 # shared counters cost time, not links.
 COUNTERS = 1 << 20
 COUNTER_ROWS = 64
-# Documents of a piece of a candidate group.
+# Documents of a piece of a candidate group, and shingles of all of them.
 PIECE = 1_024
+PIECE_SHINGLES = 1 << 19
+# Texts whose sets a task holds at a time.
+SLICE = 256
 SEED = 23
 
 
@@ -98,8 +102,8 @@ def _sets(docs: DataFrame, rarity, size: int, percent: int) -> DataFrame:
     return docs.mapInPandas(cut, f"doc_id {kind}, n bigint, name_a bigint, name_b bigint, prefix binary")
 
 
-def _candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) between documents that share a prefix shingle and may have compatible sizes."""
+def _buckets(classes: DataFrame, percent: int) -> DataFrame:
+    """bucket, id and ``first`` (the smallest id) of documents that share a prefix shingle at compatible sizes."""
     kind = classes.schema["rep"].dataType.simpleString()
 
     def names(frames):
@@ -121,25 +125,27 @@ def _candidates(classes: DataFrame, percent: int) -> DataFrame:
     step = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent)) + 1e-9)
     stepped = rows.withColumn("step", F.explode(F.array(step, step + 1)))
     first = stepped.groupBy("name", "step").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b")
-    stars = stepped.join(written(first.select("name", "step", "a"), "shingle-stars"), ["name", "step"])
-    return stars.filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    first = written(first.select("name", "step", F.col("a").alias("first")), "shingle-firsts")
+    stars = stepped.join(first, ["name", "step"])
+    # Two shingles under one number would only bring more documents together.
+    return written(stars.select(F.xxhash64("name", "step").alias("bucket"), F.col("rep").alias("id"), "first"), "buckets")
 
 
 def _with_sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
-    """The members of candidate groups with their sets: columns group, id, n, names."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    group = members.schema["group"].dataType.simpleString()
-    rows = checked_join(docs, members.withColumnRenamed("id", "doc_id"), ["doc_id"], "inner").select("group", "doc_id", "text")
+    """``members`` (id and further columns) with their sets as a stored table: id, names and those columns."""
+    more = [c for c in members.columns if c != "id"]
+    rows = checked_join(docs, members.withColumnRenamed("id", "doc_id"), ["doc_id"], "inner").select("doc_id", "text", *more)
 
     def cut(frames):
         shingler = Shingler(size)
         for frame in frames:
-            names = [shingler(text) for text in frame["text"]]
-            out = frame[["group"]].assign(id=frame["doc_id"], n=[len(x) for x in names], names=[x.tobytes() for x in names])
-            yield out
+            for some in (frame.iloc[i : i + SLICE] for i in range(0, len(frame), SLICE)):
+                out = some.drop(columns="text").rename(columns={"doc_id": "id"})
+                yield out.assign(names=[shingler(text).tobytes() for text in some["text"]])
 
-    found = rows.mapInPandas(cut, f"group {group}, id {kind}, n bigint, names binary")
-    return written(found, "group-sets")
+    kinds = {f.name: f.dataType.simpleString() for f in members.schema}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in ["id", *more]) + ", names binary"
+    return written(rows.mapInPandas(cut, schema), "group-sets")
 
 
 class InvertedLists:
@@ -187,7 +193,7 @@ def _search(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     ``label`` tells which rows are known to be connected.
     """
     frame = frame.sort_values("id", kind="stable").reset_index(drop=True)
-    ids, sizes = frame["id"].to_numpy(), frame["n"].to_numpy()
+    ids, sizes = frame["id"].to_numpy(), frame["names"].map(len).to_numpy() // 8
     labels = pd.factorize(frame["label"])[0]
     edges: list[tuple] = []
     if len(frame) > 1:
@@ -214,45 +220,59 @@ def _find_links(tasks: DataFrame, keys: list[str], percent: int) -> DataFrame:
 
 
 def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """Rows with the component that the links found so far put them in."""
+    """Rows (id and more) with the component that the links found so far put them in."""
     found = written(components(links).withColumnRenamed("node", "id"), "link-components")
-    return rows.drop("label").join(found, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+    return rows.join(found, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
 
 
 def _dealt(rows: DataFrame, piece: int) -> DataFrame:
-    """Rows with the number of their piece inside the group, and the number of pieces."""
-    sizes = rows.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / piece).cast("int").alias("pieces"))
+    """Rows (group, id, n) with the number of their piece inside the group, and the number of pieces."""
+    most = F.greatest(F.count(F.lit(1)) / piece, F.sum("n") / PIECE_SHINGLES)
+    sizes = rows.groupBy("group").agg(F.ceil(most).cast("int").alias("pieces"))
     dealt = rows.join(sizes, "group")
     return dealt.withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
 
 
-def _links(sets: DataFrame, percent: int, piece: int) -> DataFrame:
-    """Edges that connect all documents of every candidate group which links connect."""
+def _links(docs: DataFrame, members: DataFrame, buckets: DataFrame, size: int, percent: int, piece: int) -> DataFrame:
+    """Edges that connect whatever links connect; ``members`` are the rows (group, id, n) of the candidate groups.
+
+    Names and numbers are dealt first; sets move once they have their place.
+    """
+    sets = _with_sets(docs, written(_dealt(members, piece), "candidate-groups"), size)
     rows = sets.withColumn("label", F.col("id")).withColumn("query", F.lit(True))
-    dealt = _dealt(rows, piece)
-    links = _find_links(dealt, ["group", "piece"], percent)
-    large = dealt.filter("pieces > 1")
+    links = _find_links(rows, ["group", "piece"], percent)
+    large = sets.filter("pieces > 1").select("group", "id", "n", "names")
     if large.isEmpty():
         return links
-    large = written(large.select(rows.columns), "large-groups")
+    ids = large.select("group", "id", "n").distinct()
+    names = large.select("id", "names")
     while True:
         # One document of every component stands for it.
-        heads = _labelled(large, links).filter("id = label")
-        more = _find_links(_dealt(heads, piece), ["group", "piece"], percent)
+        heads = _dealt(_labelled(ids, links).filter("id = label"), piece)
+        heads = heads.join(names, "id").withColumn("query", F.lit(True))
+        more = _find_links(heads, ["group", "piece"], percent)
         if more.isEmpty():
             break
         links = written(links.union(more), "links")
-    rows = written(_dealt(_labelled(large, links), piece), "large-groups")
+    # Only documents of one bucket can link. A bucket within one component has nothing left to find.
+    placed = written(_labelled(ids, links).drop("group").join(buckets, "id"), "bucket-labels")
+    place = F.xxhash64("id")
+    kinds = placed.groupBy("bucket").agg(
+        (F.min("label") < F.max("label")).alias("mixed"), F.struct(F.count(F.lit(1)), F.bit_xor(place), F.min("id"), F.max("id")).alias("same")
+    )
+    # Of buckets with the same documents one is enough.
+    open_ones = kinds.filter("mixed").groupBy("same").agg(F.min("bucket").alias("bucket")).select("bucket")
+    rows = placed.join(written(open_ones, "open-buckets"), "bucket").select(F.col("bucket").alias("group"), "id", "n", "label")
+    rows = written(_dealt(rows.distinct(), piece), "open-bucket-rows")
     sizes = rows.groupBy("group", "label").agg(F.count(F.lit(1)).alias("size"))
-    top = Window.partitionBy("group").orderBy(F.desc("size"), "label")
-    largest = sizes.withColumn("_rank", F.row_number().over(top)).filter("_rank = 1").select("group", F.col("label").alias("largest"))
+    largest = sizes.groupBy("group").agg(F.max_by("label", F.struct("size", "label")).alias("largest"))
     rows = rows.join(largest, "group")
+    # A query meets one piece of its bucket at a time, in tasks of one piece of queries and one of rows.
     asked = rows.filter("label <> largest").withColumn("target", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    # A query meets one piece of its group at a time, in tasks of one piece of queries and one of rows.
-    asked = asked.withColumn("source", F.col("piece"))
+    asked = asked.withColumn("query", F.lit(True)).withColumn("source", F.col("piece"))
     sources = asked.select("group", "source").distinct()
-    rows = rows.withColumn("query", F.lit(False)).withColumn("target", F.col("piece")).join(sources, "group")
-    wanted = asked.unionByName(rows.select(asked.columns)).dropDuplicates(["group", "source", "target", "id", "query"])
+    met = rows.withColumn("target", F.col("piece")).withColumn("query", F.lit(False)).join(sources, "group")
+    wanted = asked.unionByName(met.select(asked.columns)).join(names, "id")
     return links.union(_find_links(wanted, ["group", "source", "target"], percent))
 
 
@@ -277,11 +297,12 @@ def link(
     named = sets.filter("n > 0 and doc_id is not null")
     by_set = named.groupBy("n", "name_a", "name_b").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
     classes = written(by_set, "shingle-classes")
-    groups = components(_candidates(classes, percent)).select(F.col("node").alias("id"), F.col("component").alias("group"))
-    members = _with_sets(slim, written(groups, "candidate-groups"), size)
-    # Of repeated rows of an id, each different set once.
-    members = members.dropDuplicates(["group", "id", "names"])
-    found = components(_links(written(members, "group-sets"), percent, piece))
+    buckets = _buckets(classes, percent)
+    groups = components(buckets.select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
+    groups = groups.select(F.col("node").alias("rep"), F.col("component").alias("group"))
+    # Rows repeated under an id carry the same label, so they are never compared.
+    members = classes.join(groups, "rep").groupBy("group", F.col("rep").alias("id")).agg(F.max("n").alias("n"))
+    found = components(_links(slim, members, buckets.select("bucket", "id"), size, percent, piece))
     known = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     known = known.select("n", "name_a", "name_b", F.coalesce("component", "rep").alias("component"))
     out = sets.join(known, ["n", "name_a", "name_b"], "left")
