@@ -28,8 +28,8 @@ def test_equal_windows_have_equal_anchors():
         known = {}
         for _ in range(3):
             text = " ".join([pick.choice("abc") for _ in range(pick.randrange(9))] + [middle] + [pick.choice("abc") for _ in range(pick.randrange(9))])
-            words = tool.words(text)
-            names, anchors = tool.names(words)[0], tool.anchors(words)
+            words, at, _, anchors = tool.parse([text, "a b", text])
+            names = tool.names(words, at)[0]
             for name, anchor in zip(names.tolist(), anchors.tolist()):
                 assert known.setdefault(name, anchor) == anchor
 
