@@ -21,12 +21,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracegrain.llm.common import WordHasher, checked_join, mix64, sequence_names, written
+from tracegrain.llm.common import WordHasher, checked_join, discard, marked, mix64, span_lists, written
 
 WINDOW = 13
 ROUNDS = 2
 SEED = 41
 NONE = np.uint64(2**64 - 1)
+# Characters that are parsed at a time, and what stands between two texts.
+BATCH = 1 << 17
+BETWEEN = b"\n\x00\n"
 # Stands for a null id, which counts as larger than all others.
 LAST = 2**63 - 1
 
@@ -93,24 +96,59 @@ def _least(keys: np.ndarray, low: np.ndarray, high: np.ndarray, count: int, wind
 
 
 class Windows:
-    """Words, anchors and names of the windows of a text."""
+    """Words, anchors and names of the windows of several texts at a time.
+
+    The texts stand one after the other with a word of their own between them; windows that hold that word
+    are left out, and so is every symbol that depends on it.
+    """
 
     def __init__(self, window: int = WINDOW):
         self.window, self.hasher = window, WordHasher(SEED)
 
-    def words(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return self.hasher((text or "").encode("utf-8", "surrogatepass"))
-
-    def anchors(self, words: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-        found = anchors(*words, self.window)
+    def parse(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Word names, then of every window its place among all words, its text and its anchor."""
+        parts = [text.encode("utf-8", "surrogatepass") for text in texts]
+        names, starts, ends = self.hasher(BETWEEN.join(parts))
+        begin = np.cumsum([0, *(len(p) + len(BETWEEN) for p in parts[:-1]), 0])[:-1]
+        text = np.searchsorted(begin, starts, side="right") - 1
+        text[starts >= begin[text] + np.array([len(p) for p in parts])[text]] = -1
+        at = np.flatnonzero((text[: len(names) - self.window + 1] == text[self.window - 1 :]) & (text[self.window - 1 :] >= 0))
+        found = anchors(names, starts, ends, self.window)[at]
         bare = np.flatnonzero(found == NONE)
         if len(bare):
-            found[bare] = sequence_names(words[0], self.window, SEED)[bare]
-        return found
+            found[bare] = self.names(names, at[bare])[0].view(np.uint64)
+        return names, at, text[at], found
+
+    def first_words(self, texts: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Place of the first window of the text of each window."""
+        new = np.concatenate([[True], texts[1:] != texts[:-1]])
+        return np.maximum.accumulate(np.where(new, at, 0))
+
+    def names(self, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A 64-bit and a 32-bit name of the windows that start at ``at``."""
+        return (
+            _names_at(words, at, self.window, SEED).view(np.int64),
+            (_names_at(words, at, self.window, SEED + 1) >> np.uint64(32)).astype(np.uint32).view(np.int32),
+        )
+
+
+def _names_at(words: np.ndarray, at: np.ndarray, length: int, seed: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        factors = mix64(np.arange(1, length + 1, dtype=np.uint64) * _B + np.uint64(seed)) | np.uint64(1)
+        total = np.full(len(at), length, dtype=np.uint64)
+        for k in range(length):
+            total += words[at + k] * factors[k]
+    return mix64(total)
+
 
-    def names(self, words: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        a = sequence_names(words[0], self.window, SEED).view(np.int64)
-        return a, (sequence_names(words[0], self.window, SEED + 1) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+def _batches(frame: pd.DataFrame):
+    """Slices of a frame with about ``BATCH`` characters, one row at least."""
+    size = np.cumsum(frame["text"].str.len().to_numpy())
+    start = 0
+    while start < len(frame):
+        end = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + BATCH, side="right")))
+        yield frame.iloc[start:end]
+        start = end
 
 
 def _copies(base: DataFrame) -> DataFrame:
@@ -121,15 +159,29 @@ def _copies(base: DataFrame) -> DataFrame:
 
 
 def _anchor_rows(base: DataFrame, window: int) -> DataFrame:
+    """name, id and code of every run of windows with one anchor.
+
+    A code holds the place of the first window, the length of the run and 16 bits of the text's name.
+    """
+
     def emit(frames):
         windows = Windows(window)
         for frame in frames:
-            for some in (frame.iloc[i : i + 256] for i in range(0, len(frame), 256)):
-                found = [np.unique(windows.anchors(windows.words(text))) for text in some["text"]]
-                names = np.concatenate(found).view(np.int64)
-                yield pd.DataFrame({"name": names, "id": np.repeat(some["id"].to_numpy(), [len(x) for x in found])})
-
-    return base.select("id", "text").mapInPandas(emit, "name bigint, id bigint")
+            for some in _batches(frame):
+                words, at, texts, found = windows.parse(some["text"].tolist())
+                if not len(at):
+                    continue
+                new = np.concatenate([[True], (found[1:] != found[:-1]) | (texts[1:] != texts[:-1])])
+                # Runs longer than a code can tell are cut.
+                first = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+                new = np.flatnonzero(new | ((np.arange(len(at)) - first) % 255 == 0))
+                length = np.diff(np.append(new, len(at)))
+                place = (at - windows.first_words(texts, at))[new]
+                mark = (some["h"].to_numpy() & 0xFFFF)[texts[new]]
+                code = place << 24 | length << 16 | mark
+                yield pd.DataFrame({"name": found[new].view(np.int64), "id": some["id"].to_numpy()[texts[new]], "code": code})
+
+    return base.select("id", "h", "text").mapInPandas(emit, "name bigint, id bigint, code bigint")
 
 
 def _window_rows(listed: DataFrame, window: int) -> DataFrame:
@@ -138,47 +190,39 @@ def _window_rows(listed: DataFrame, window: int) -> DataFrame:
     def emit(frames):
         windows = Windows(window)
         for frame in frames:
-            for some in (frame.iloc[i : i + 256] for i in range(0, len(frame), 256)):
+            for some in _batches(frame):
                 parts = []
-                for doc, h, text, shared in zip(some["id"], some["h"], some["text"], some["names"]):
-                    words = windows.words(text)
-                    at = np.flatnonzero(np.isin(windows.anchors(words).view(np.int64), shared))
-                    if len(at):
-                        a, b = windows.names(words)
-                        parts.append((a[at], b[at], np.full(len(at), doc), at << 16 | h & 0xFFFF))
-                if parts:
-                    yield pd.DataFrame(dict(zip(("a", "b", "id", "code"), map(np.concatenate, zip(*parts)))))
+                for doc, h, text, spans in some[["id", "h", "text", "spans"]].itertuples(index=False):
+                    mark, words = h & 0xFFFF, windows.hasher(text.encode("utf-8", "surrogatepass"))[0]
+                    at = np.flatnonzero(marked(spans, mark, max(len(words) - window + 1, 0)))
+                    parts.append((*windows.names(words, at), np.full(len(at), doc), at << 16 | mark))
+                yield pd.DataFrame(dict(zip(("a", "b", "id", "code"), map(np.concatenate, zip(*parts)))))
 
-    return listed.select("id", "h", "text", "names").mapInPandas(emit, "a bigint, b int, id bigint, code bigint")
+    return listed.select("id", "h", "text", "spans").mapInPandas(emit, "a bigint, b int, id bigint, code bigint")
 
 
 def repeated_windows(base: DataFrame, window: int) -> DataFrame:
-    """Windows that also start in a document of smaller id: columns id, codes (ascending)."""
+    """Runs of windows that also start in a document of smaller id, as a stored table of ``span_lists``."""
     found = written(_anchor_rows(base, window), "anchors")
     shared = found.groupBy("name").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("name")
-    lists = found.join(written(shared, "shared-anchors"), "name").groupBy("id").agg(F.collect_list("name").alias("names"))
-    rows = written(_window_rows(checked_join(base, written(lists, "anchor-lists"), ["id"], "inner"), window), "windows")
+    shared = written(shared, "shared-anchors")
+    place = F.shiftright("code", 24)
+    length = F.shiftright("code", 16).bitwiseAND(F.lit(255))
+    runs = found.join(shared, "name").select(
+        "id",
+        F.shiftleft(place, 16).bitwiseOR(F.col("code").bitwiseAND(F.lit(0xFFFF))).alias("code"),
+        (place + length - 1).alias("last"),
+    )
+    lists = written(span_lists(runs), "anchor-runs")
+    discard(found, shared)
+    # Grows with the texts, so both sides are shuffled at every size.
+    rows = written(_window_rows(base.join(lists, "id"), window), "windows")
     least = rows.groupBy("a", "b").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
-    later = rows.join(written(least.select("a", "b", "low"), "repeated-windows"), ["a", "b"]).filter("id > low")
-    return later.groupBy("id").agg(F.sort_array(F.collect_list("code")).alias("codes"))
-
-
-def _spans(codes: DataFrame) -> DataFrame:
-    """Runs of consecutive windows, as (text name, first, last) in one array of numbers per id."""
-
-    def pack(frames):
-        for frame in frames:
-            spans = []
-            for codes in frame["codes"]:
-                place, h = np.asarray(codes) >> 16, np.asarray(codes) & 0xFFFF
-                order = np.lexsort((place, h))
-                place, h = place[order], h[order]
-                new = np.concatenate([[True], (np.diff(place) != 1) | (np.diff(h) != 0)])
-                ends = np.append(np.flatnonzero(new)[1:], len(place)) - 1
-                spans.append(np.stack([h[new], place[new], place[ends]], axis=1).ravel())
-            yield pd.DataFrame({"id": frame["id"], "spans": spans})
-
-    return codes.mapInPandas(pack, "id bigint, spans array<bigint>")
+    least = written(least.select("a", "b", "low"), "repeated-windows")
+    later = rows.join(least, ["a", "b"]).filter("id > low")
+    spans = written(span_lists(later.select("id", "code", F.shiftright("code", 16).alias("last"))), "window-runs")
+    discard(rows, least)
+    return spans
 
 
 def removals(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -193,9 +237,9 @@ def removals(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text
     copies = _copies(base)
     # What stands in a smaller document as a whole is settled; its windows are all found there.
     singles = checked_join(base, copies, ["id", "h"], "left_anti")
-    spans = written(_spans(repeated_windows(singles, window)), "window-spans")
-    marked = checked_join(base, copies.withColumn("copy", F.lit(True)), ["id", "h"], "left")
-    marked = checked_join(marked, spans, ["id"], "left")
+    spans = repeated_windows(singles, window)
+    rows = checked_join(base, copies.withColumn("copy", F.lit(True)), ["id", "h"], "left")
+    rows = checked_join(rows, spans, ["id"], "left").select("id", "text", "h", "copy", "spans")
 
     def take(frames):
         for frame in frames:
@@ -205,8 +249,7 @@ def removals(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text
             yield out if with_text else out.drop(columns="text")
 
     more = ", text string" * with_text
-    marked = marked.select("id", "text", "h", "copy", "spans")
-    found = marked.mapInPandas(take, f"doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string{more}")
+    found = rows.mapInPandas(take, f"doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string{more}")
     return found.withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id")).cast(docs.schema[id_col].dataType))
 
 
