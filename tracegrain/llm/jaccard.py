@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracegrain.llm.common import WordHasher, checked_join, components, mix64, sequence_names, written
+from tracegrain.llm.common import WordHasher, checked_join, components, discard, mix64, sequence_names, written
 
 SHINGLE = 3
 # Required overlap in hundredths of the union.
@@ -120,7 +120,9 @@ def _buckets(classes: DataFrame, percent: int) -> DataFrame:
 
     rows = written(classes.select("rep", "n", "prefix").mapInPandas(names, f"name bigint, rep {kind}, n bigint"), "shingles")
     shared = rows.groupBy("name").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("name")
-    rows = rows.join(written(shared, "shared-shingles"), "name")
+    kept = written(rows.join(written(shared, "shared-shingles"), "name"), "shared-rows")
+    discard(rows)
+    rows = kept
     # Sizes by steps of the share: linking sets lie in the same step or in neighbouring ones.
     step = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent)) + 1e-9)
     stepped = rows.withColumn("step", F.explode(F.array(step, step + 1)))
@@ -296,8 +298,13 @@ def link(
     sets = written(_sets(slim, rarity, size, percent), "shingle-sets")
     named = sets.filter("n > 0 and doc_id is not null")
     by_set = named.groupBy("n", "name_a", "name_b").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
-    classes = written(by_set, "shingle-classes")
-    buckets = _buckets(classes, percent)
+    prefixes = written(by_set, "shingle-prefixes")
+    # Prefixes are no longer needed once the buckets are there.
+    known = written(sets.drop("prefix"), "set-names")
+    discard(sets)
+    sets, buckets = known, _buckets(prefixes, percent)
+    classes = written(prefixes.drop("prefix"), "shingle-classes")
+    discard(prefixes)
     groups = components(buckets.select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
     groups = groups.select(F.col("node").alias("rep"), F.col("component").alias("group"))
     # Rows repeated under an id carry the same label, so they are never compared.
