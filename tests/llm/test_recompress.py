@@ -55,3 +55,18 @@ def test_small_alphabets_and_odd_tables(spark):
     found = recompress.removals(odd, with_text=True).collect()
     assert sorted(r["n_removed"] for r in found if r["doc_id"] == 5) == [0, 0, 0]
     assert [(r["n_removed"], r["text"]) for r in found if r["doc_id"] is None] == [(20, "")] * 2
+
+
+def test_white_space_does_not_matter(spark):
+    pick = random.Random(7)
+    word = lambda: "".join(pick.choice("abcdefghij") for _ in range(pick.randrange(1, 9)))
+    rows = []
+    for i in range(0, 40, 4):
+        words = [word() for _ in range(40)]
+        rows += [(i, " ".join(words)), (i + 1, "  ".join(words)), (i + 2, "\r\n".join(words))]
+        rows.append((i + 3, "".join(w + pick.choice([" ", "  ", "\t", "\r\n", "\n    "]) for w in words)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert _found(recompress.removals(df)) == plain.window_removals(rows, 13)
+    tool = recompress.Windows()
+    once, *others = [tool.parse([text])[3].tolist() for _, text in rows[:4]]
+    assert all(anchors == once for anchors in others)

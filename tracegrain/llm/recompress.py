@@ -7,7 +7,7 @@ names in every task, globally. What a symbol depends on is a stretch of words ar
 through the rounds; wherever that stretch occurs, the same symbol stands inside it.
 
 Every window of words therefore has, among the symbols that depend on words of the window alone, one of most
-bytes (the smallest name breaks ties): its anchor. Equal windows have equal anchors. Spark counts in which
+bytes, white space not counted (the smallest name breaks ties): its anchor. Equal windows have equal anchors. Spark counts in which
 documents an anchor occurs; windows under an anchor of one document can't repeat elsewhere and go no further. The
 others are verified by 96-bit names of the whole window.
 """
@@ -44,10 +44,11 @@ def anchors(names: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int
     best = np.full(count, NONE)
     first, last = np.arange(len(names)), np.arange(len(names))  # words of a symbol
     low, high = first, first + 1  # words it depends on
+    total = np.concatenate([[0], np.cumsum(ends - starts)])  # bytes of words, without what stands between them
     for _ in range(rounds):
         names, first, last, low, high = _runs(names, first, last, low, high, len(starts))
         names, first, last, low, high, made = _pairs(names, first, last, low, high, len(starts))
-        size = np.minimum(ends[last[made]] - starts[first[made]], 255).astype(np.uint64)
+        size = np.minimum(total[last[made] + 1] - total[first[made]], 255).astype(np.uint64)
         keys = ((np.uint64(255) - size) << np.uint64(56)) | (names[made] >> np.uint64(8))
         best = np.minimum(best, _least(keys, low[made], high[made], count, window))
     return best
