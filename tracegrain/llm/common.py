@@ -175,37 +175,33 @@ def sequence_names(words: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
 
 
 def span_lists(runs: DataFrame) -> DataFrame:
-    """The runs (id, code, last) of each id in one array of (mark, first, last), ascending and merged.
+    """The runs (id, h, first, last) of each text in one array of (first, last), ascending and merged.
 
-    A code is the first number of the run times 2**16 plus a mark, the low bits of the name of the text: rows under
-    one id may have different texts.
+    A text is told by its id and its whole name h: rows under one id may have different texts.
     """
 
     def pack(frames):
         for frame in frames:
             spans = []
-            for codes, lasts in zip(frame["codes"], frame["lasts"]):
-                codes, last = np.asarray(codes), np.asarray(lasts)
-                place, mark = codes >> 16, codes & 0xFFFF
-                order = np.lexsort((place, mark))
-                place, mark, last = place[order], mark[order], last[order]
-                # Runs of one text that touch or overlap become one.
-                reach = np.maximum.accumulate(last + mark * (1 << 44)) - mark * (1 << 44)
-                new = np.concatenate([[True], (place[1:] > reach[:-1] + 1) | (np.diff(mark) != 0)])
-                ends = np.append(np.flatnonzero(new)[1:], len(place)) - 1
-                spans.append(np.stack([mark[new], place[new], reach[ends]], axis=1).ravel())
-            yield pd.DataFrame({"id": frame["id"], "spans": spans})
-
-    lists = runs.groupBy("id").agg(F.collect_list(F.struct("code", "last")).alias("r"))
-    lists = lists.select("id", F.col("r.code").alias("codes"), F.col("r.last").alias("lasts"))
-    return lists.mapInPandas(pack, "id bigint, spans array<bigint>")
-
-
-def marked(spans, mark: int, size: int) -> np.ndarray:
+            for first, last in zip(frame["firsts"], frame["lasts"]):
+                first, last = np.asarray(first), np.asarray(last)
+                order = np.argsort(first, kind="stable")
+                first, reach = first[order], np.maximum.accumulate(last[order])
+                # Runs that touch or overlap become one.
+                new = np.concatenate([[True], first[1:] > reach[:-1] + 1])
+                ends = np.append(np.flatnonzero(new)[1:], len(first)) - 1
+                spans.append(np.stack([first[new], reach[ends]], axis=1).ravel())
+            yield pd.DataFrame({"id": frame["id"], "h": frame["h"], "spans": spans})
+
+    lists = runs.groupBy("id", "h").agg(F.collect_list(F.struct("first", "last")).alias("r"))
+    lists = lists.select("id", "h", F.col("r.first").alias("firsts"), F.col("r.last").alias("lasts"))
+    return lists.mapInPandas(pack, "id bigint, h bigint, spans array<bigint>")
+
+
+def marked(spans, size: int) -> np.ndarray:
     """Which of ``size`` numbers the runs of a text cover, ``spans`` being a list of ``span_lists`` or None."""
     out = np.zeros(size, dtype=bool)
     if spans is not None:
-        for own, first, last in np.asarray(spans).reshape(-1, 3).tolist():
-            if own == mark:
-                out[first : last + 1] = True
+        for first, last in np.asarray(spans).reshape(-1, 2).tolist():
+            out[first : last + 1] = True
     return out

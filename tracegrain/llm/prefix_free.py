@@ -129,11 +129,11 @@ def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 def _texts(frame: pd.DataFrame, length: int, parser: Parser):
-    """Parses of the texts of a frame that hold a window, with id and mark (16 bits of the text's name)."""
+    """Parses of the texts of a frame that hold a window, with id and name of the text."""
     for doc, h, text, *more in frame.itertuples(index=False):
         data = text.encode("utf-8", "surrogatepass")
         if len(data) >= length:
-            yield doc, int(h) & 0xFFFF, Parse(parser, data), *more
+            yield doc, int(h), Parse(parser, data), *more
 
 
 def _rows(parts: list[tuple], names: str):
@@ -147,27 +147,24 @@ def _slices(frames):
 
 
 def _phrases(texts: DataFrame, length: int, phrase: int) -> DataFrame:
-    """name, id and code of the phrases and then the bare windows of every text.
-
-    A code holds the number within the text and the 16 bits that mark the text.
-    """
+    """name, id, text name and number within the text of the phrases and then the bare windows of every text."""
 
     def emit(frames):
         parser = Parser(length, phrase)
         for frame in _slices(frames):
             parts = []
-            for doc, mark, parse in _texts(frame, length, parser):
+            for doc, h, parse in _texts(frame, length, parser):
                 names = np.concatenate([parse.phrase_names(), parse.bare_names()])
-                parts.append((names, np.full(len(names), doc), np.arange(len(names)) << 16 | mark))
+                parts.append((names, np.full(len(names), doc), np.full(len(names), h), np.arange(len(names))))
             if parts:
-                yield _rows(parts, "name id code")
+                yield _rows(parts, "name id h first")
 
-    return texts.select("id", "h", "text").mapInPandas(emit, "name bigint, id bigint, code bigint")
+    return texts.select("id", "h", "text").mapInPandas(emit, "name bigint, id bigint, h bigint, first bigint")
 
 
-def _chosen(parse: Parse, spans, mark: int) -> tuple[np.ndarray, np.ndarray]:
+def _chosen(parse: Parse, spans) -> tuple[np.ndarray, np.ndarray]:
     """Windows that may repeat, and the triggers that have such windows."""
-    repeated = marked(spans, mark, len(parse.begin) + len(parse.bare))
+    repeated = marked(spans, len(parse.begin) + len(parse.bare))
     possible = parse.possible(repeated[: len(parse.begin)])
     possible[parse.bare] = repeated[len(parse.begin) :]
     total = np.concatenate([[0], np.cumsum(possible)])
@@ -175,34 +172,34 @@ def _chosen(parse: Parse, spans, mark: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _stretches(listed: DataFrame, length: int, phrase: int) -> DataFrame:
-    """stretch, first phrase, id and code of every trigger whose windows may repeat."""
+    """stretch, phrase, id, text name and number of every trigger whose windows may repeat."""
 
     def emit(frames):
         parser = Parser(length, phrase)
         for frame in _slices(frames):
             parts = []
-            for doc, mark, parse, spans in _texts(frame, length, parser):
-                some = _chosen(parse, spans, mark)[1]
-                firsts = parse.phrase_names()[parse.trigger[some]]
-                parts.append((parse.stretch_names(some), firsts, np.full(len(some), doc), some << 16 | mark))
+            for doc, h, parse, spans in _texts(frame, length, parser):
+                some = _chosen(parse, spans)[1]
+                phrases = parse.phrase_names()[parse.trigger[some]]
+                parts.append((parse.stretch_names(some), phrases, np.full(len(some), doc), np.full(len(some), h), some))
             if parts:
-                yield _rows(parts, "stretch first id code")
+                yield _rows(parts, "stretch phrase id h first")
 
     rows = listed.select("id", "h", "text", "spans")
-    return rows.mapInPandas(emit, "stretch bigint, first bigint, id bigint, code bigint")
+    return rows.mapInPandas(emit, "stretch bigint, phrase bigint, id bigint, h bigint, first bigint")
 
 
 def _left_over(listed: DataFrame, length: int, phrase: int) -> DataFrame:
-    """Runs of windows that repeat as a stretch (code, until), and single windows to compare (a, b, code)."""
+    """Runs of windows that repeat as a stretch (first, until), and single windows to compare (a, b, first)."""
 
     def emit(frames):
         parser = Parser(length, phrase)
         for frame in _slices(frames):
             parts = []
-            for doc, mark, parse, spans, again, stands in _texts(frame, length, parser):
-                possible = _chosen(parse, spans, mark)[0]
-                again = marked(again, mark, len(parse.low))
-                stands = marked(stands, mark, len(parse.low))
+            for doc, h, parse, spans, again, stands in _texts(frame, length, parser):
+                possible = _chosen(parse, spans)[0]
+                again = marked(again, len(parse.low))
+                stands = marked(stands, len(parse.low))
                 possible[_ranges(parse.low[again & ~stands], parse.high[again & ~stands])] = False
                 at = np.flatnonzero(possible)
                 second = parser.sums(parse.data, 1)
@@ -210,19 +207,19 @@ def _left_over(listed: DataFrame, length: int, phrase: int) -> DataFrame:
                 b = (parser.names(second, at, at + length, 1) >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 low, until = parse.low[again], parse.high[again]
                 none, nothing = np.zeros(len(low), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
-                code = np.concatenate([at, low]) << 16 | mark
-                ids = np.full(len(code), doc)
-                parts.append((np.append(a, none), np.append(b, none.astype(np.int32)), ids, code, np.append(nothing, until)))
+                first = np.concatenate([at, low])
+                text = np.full(len(first), doc), np.full(len(first), h)
+                parts.append((np.append(a, none), np.append(b, none.astype(np.int32)), *text, first, np.append(nothing, until)))
             if parts:
-                yield _rows(parts, "a b id code until")
+                yield _rows(parts, "a b id h first until")
 
     rows = listed.select("id", "h", "text", "spans", "again", "stands")
-    return rows.mapInPandas(emit, "a bigint, b int, id bigint, code bigint, until bigint")
+    return rows.mapInPandas(emit, "a bigint, b int, id bigint, h bigint, first bigint, until bigint")
 
 
 def _runs(rows: DataFrame, label: str) -> DataFrame:
-    """Runs of consecutive numbers among the codes of each id, as a stored table."""
-    return written(span_lists(rows.select("id", "code", F.shiftright("code", 16).alias("last"))), label)
+    """Runs of consecutive numbers of each text, as a stored table."""
+    return written(span_lists(rows.select("id", "h", "first", F.col("first").alias("last"))), label)
 
 
 def repeated_windows(texts: DataFrame, length: int, phrase: int) -> DataFrame:
@@ -232,26 +229,26 @@ def repeated_windows(texts: DataFrame, length: int, phrase: int) -> DataFrame:
     spans = _runs(found.join(dictionary, "name"), "phrase-runs")
     discard(found, dictionary)
     # Runs grow with the texts, so both sides are shuffled at every size.
-    listed = texts.join(spans, "id")
+    listed = texts.join(spans, ["id", "h"])
     rows = written(_stretches(listed, length, phrase), "stretches")
     by = rows.groupBy("stretch").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "code")).alias("least"), F.min("first").alias("first")
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "h", "first")).alias("least"), F.min("phrase").alias("phrase")
     )
     by = written(by, "stretch-counts")
-    asked = by.filter("n = 1").select("first").distinct().withColumn("asked", F.lit(True))
-    again = by.filter("n > 1").join(written(asked, "asked-phrases"), "first", "left").select("stretch", "least", "asked")
-    twice = written(rows.select("stretch", "id", "code").join(written(again, "repeated-stretches"), "stretch"), "marked-stretches")
+    asked = by.filter("n = 1").select("phrase").distinct().withColumn("asked", F.lit(True))
+    again = by.filter("n > 1").join(written(asked, "asked-phrases"), "phrase", "left").select("stretch", "least", "asked")
+    twice = written(rows.select("stretch", "id", "h", "first").join(written(again, "repeated-stretches"), "stretch"), "marked-stretches")
     # One occurrence stands for all as long as some single window might meet it.
-    stands = twice.filter(F.col("asked") & (F.struct("id", "code") == F.col("least")))
+    stands = twice.filter(F.col("asked") & (F.struct("id", "h", "first") == F.col("least")))
     stands = _runs(stands, "standing-runs").withColumnRenamed("spans", "stands")
     again = _runs(twice, "stretch-runs").withColumnRenamed("spans", "again")
     discard(rows, by, twice)
-    listed = listed.join(again, "id", "left").join(stands, "id", "left")
+    listed = listed.join(again, ["id", "h"], "left").join(stands, ["id", "h"], "left")
     rows = written(_left_over(listed, length, phrase), "left-over")
-    single = rows.filter("until = 0").select("a", "b", "id", "code")
+    single = rows.filter("until = 0").select("a", "b", "id", "h", "first")
     names = written(single.groupBy("a", "b").count().filter("count > 1").select("a", "b"), "repeated-windows")
-    matched = single.join(names, ["a", "b"]).select("id", "code", F.shiftright("code", 16).alias("last"))
-    whole = rows.filter("until > 0").select("id", "code", F.col("until") - 1)
+    matched = single.join(names, ["a", "b"]).select("id", "h", "first", F.col("first").alias("last"))
+    whole = rows.filter("until > 0").select("id", "h", "first", F.col("until") - 1)
     out = written(span_lists(matched.unionAll(whole)), "window-runs")
     discard(rows, names)
     return out
@@ -287,11 +284,11 @@ def removals(
     spans = repeated_windows(texts, length, phrase)
     found = checked_join(base, copies.select("id", "h", F.lit(True).alias("copy")), ["id", "h"], "left")
     along = [f"keep_{i}" for i in range(len(keep))]
-    found = checked_join(found, spans, ["id"], "left").select("id", "text", "h", "copy", "spans", *along)
+    found = checked_join(found, spans, ["id", "h"], "left").select("id", "text", "copy", "spans", *along)
 
     def take(frames):
         for frame in frames:
-            rows = [_kept(*row, length) for row in zip(frame["text"], frame["h"], frame["copy"], frame["spans"])]
+            rows = [_kept(*row, length) for row in zip(frame["text"], frame["copy"], frame["spans"])]
             out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
             out.insert(0, "doc_id", frame["id"].to_numpy())
             out = out if with_text else out.drop(columns="text")
@@ -314,19 +311,18 @@ def stripped(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text
     return found.select(columns)
 
 
-def _kept(text: str, h: int, copy: bool | None, spans, length: int) -> tuple[int, int, int, str, str]:
+def _kept(text: str, copy: bool | None, spans, length: int) -> tuple[int, int, int, str, str]:
     data = text.encode("utf-8", "surrogatepass")
     runs: list[tuple[int, int]] = []
     if copy is True:
         runs = [(0, len(data))] if len(data) >= length else []
     elif spans is not None:
-        for mark, first, last in np.asarray(spans).reshape(-1, 3).tolist():
-            if mark == h & 0xFFFF:
-                # Windows further apart than their length leave bytes between them.
-                if runs and first <= runs[-1][1]:
-                    runs[-1] = (runs[-1][0], max(runs[-1][1], last + length))
-                else:
-                    runs.append((first, last + length))
+        for first, last in np.asarray(spans).reshape(-1, 2).tolist():
+            # Windows further apart than their length leave bytes between them.
+            if runs and first <= runs[-1][1]:
+                runs[-1] = (runs[-1][0], max(runs[-1][1], last + length))
+            else:
+                runs.append((first, last + length))
     edges = [0, *(e for run in runs for e in run), len(data)]
     kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
     return len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")

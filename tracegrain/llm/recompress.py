@@ -160,9 +160,9 @@ def _copies(base: DataFrame) -> DataFrame:
 
 
 def _anchor_rows(base: DataFrame, window: int) -> DataFrame:
-    """name, id and code of every run of windows with one anchor.
+    """name, id, text name and code of every run of windows with one anchor.
 
-    A code holds the place of the first window, the length of the run and 16 bits of the text's name.
+    A code holds the place of the first window and the length of the run.
     """
 
     def emit(frames):
@@ -178,15 +178,14 @@ def _anchor_rows(base: DataFrame, window: int) -> DataFrame:
                 new = np.flatnonzero(new | ((np.arange(len(at)) - first) % 255 == 0))
                 length = np.diff(np.append(new, len(at)))
                 place = (at - windows.first_words(texts, at))[new]
-                mark = (some["h"].to_numpy() & 0xFFFF)[texts[new]]
-                code = place << 24 | length << 16 | mark
-                yield pd.DataFrame({"name": found[new].view(np.int64), "id": some["id"].to_numpy()[texts[new]], "code": code})
+                ids, names = (some[c].to_numpy()[texts[new]] for c in ("id", "h"))
+                yield pd.DataFrame({"name": found[new].view(np.int64), "id": ids, "h": names, "code": place << 8 | length})
 
-    return base.select("id", "h", "text").mapInPandas(emit, "name bigint, id bigint, code bigint")
+    return base.select("id", "h", "text").mapInPandas(emit, "name bigint, id bigint, h bigint, code bigint")
 
 
 def _window_rows(listed: DataFrame, window: int) -> DataFrame:
-    """The windows under shared anchors: two names, id, and place and text name in one number."""
+    """The windows under shared anchors: two names, id, text name and place."""
 
     def emit(frames):
         windows = Windows(window)
@@ -194,12 +193,13 @@ def _window_rows(listed: DataFrame, window: int) -> DataFrame:
             for some in _batches(frame):
                 parts = []
                 for doc, h, text, spans in some[["id", "h", "text", "spans"]].itertuples(index=False):
-                    mark, words = h & 0xFFFF, windows.hasher(text.encode("utf-8", "surrogatepass"))[0]
-                    at = np.flatnonzero(marked(spans, mark, max(len(words) - window + 1, 0)))
-                    parts.append((*windows.names(words, at), np.full(len(at), doc), at << 16 | mark))
-                yield pd.DataFrame(dict(zip(("a", "b", "id", "code"), map(np.concatenate, zip(*parts)))))
+                    words = windows.hasher(text.encode("utf-8", "surrogatepass"))[0]
+                    at = np.flatnonzero(marked(spans, max(len(words) - window + 1, 0)))
+                    parts.append((*windows.names(words, at), np.full(len(at), doc), np.full(len(at), h), at))
+                yield pd.DataFrame(dict(zip(("a", "b", "id", "h", "first"), map(np.concatenate, zip(*parts)))))
 
-    return listed.select("id", "h", "text", "spans").mapInPandas(emit, "a bigint, b int, id bigint, code bigint")
+    rows = listed.select("id", "h", "text", "spans")
+    return rows.mapInPandas(emit, "a bigint, b int, id bigint, h bigint, first bigint")
 
 
 def repeated_windows(base: DataFrame, window: int) -> DataFrame:
@@ -207,21 +207,16 @@ def repeated_windows(base: DataFrame, window: int) -> DataFrame:
     found = written(_anchor_rows(base, window), "anchors")
     shared = found.groupBy("name").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("name")
     shared = written(shared, "shared-anchors")
-    place = F.shiftright("code", 24)
-    length = F.shiftright("code", 16).bitwiseAND(F.lit(255))
-    runs = found.join(shared, "name").select(
-        "id",
-        F.shiftleft(place, 16).bitwiseOR(F.col("code").bitwiseAND(F.lit(0xFFFF))).alias("code"),
-        (place + length - 1).alias("last"),
-    )
+    place, length = F.shiftright("code", 8), F.col("code").bitwiseAND(F.lit(255))
+    runs = found.join(shared, "name").select("id", "h", place.alias("first"), (place + length - 1).alias("last"))
     lists = written(span_lists(runs), "anchor-runs")
     discard(found, shared)
     # Grows with the texts, so both sides are shuffled at every size.
-    rows = written(_window_rows(base.join(lists, "id"), window), "windows")
+    rows = written(_window_rows(base.join(lists, ["id", "h"]), window), "windows")
     least = rows.groupBy("a", "b").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
     least = written(least.select("a", "b", "low"), "repeated-windows")
     later = rows.join(least, ["a", "b"]).filter("id > low")
-    spans = written(span_lists(later.select("id", "code", F.shiftright("code", 16).alias("last"))), "window-runs")
+    spans = written(span_lists(later.select("id", "h", "first", F.col("first").alias("last"))), "window-runs")
     discard(rows, least)
     return spans
 
@@ -240,11 +235,11 @@ def removals(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text
     singles = checked_join(base, copies, ["id", "h"], "left_anti")
     spans = repeated_windows(singles, window)
     rows = checked_join(base, copies.withColumn("copy", F.lit(True)), ["id", "h"], "left")
-    rows = checked_join(rows, spans, ["id"], "left").select("id", "text", "h", "copy", "spans")
+    rows = checked_join(rows, spans, ["id", "h"], "left").select("id", "text", "copy", "spans")
 
     def take(frames):
         for frame in frames:
-            rows = [_kept(*row, window) for row in zip(frame["text"], frame["h"], frame["copy"], frame["spans"])]
+            rows = [_kept(*row, window) for row in zip(frame["text"], frame["copy"], frame["spans"])]
             out = pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256", "text"])
             out.insert(0, "doc_id", frame["id"].to_numpy())
             yield out if with_text else out.drop(columns="text")
@@ -254,7 +249,7 @@ def removals(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text
     return found.withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id")).cast(docs.schema[id_col].dataType))
 
 
-def _kept(text: str, h: int, copy: bool | None, spans, window: int) -> tuple[int, int, str, str]:
+def _kept(text: str, copy: bool | None, spans, window: int) -> tuple[int, int, str, str]:
     # Bytes are split at the blank and the control characters from tab to carriage return.
     words = text.encode("utf-8", "surrogatepass").split()
     n = len(words)
@@ -262,9 +257,8 @@ def _kept(text: str, h: int, copy: bool | None, spans, window: int) -> tuple[int
         words = words if n < window else []
     elif spans is not None:
         keep = np.ones(n, dtype=bool)
-        for name, first, last in np.asarray(spans).reshape(-1, 3):
-            if name == h & 0xFFFF:
-                keep[first : last + window] = False
+        for first, last in np.asarray(spans).reshape(-1, 2):
+            keep[first : last + window] = False
         words = [words[i] for i in np.flatnonzero(keep)]
     kept = b" ".join(words)
     return n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass")
