@@ -57,3 +57,10 @@ def test_odd_tables(spark):
     assert language.train(df.filter("lang is null"), F.lit(True)) is None
     assert {r["lang_pred"] for r in language.identify(df, None, ["doc_id"]).collect()} == {"und"}
     assert language.keep_known(df.filter("false")).count() == 0
+
+
+def test_copies_do_not_thin_the_sample(spark):
+    texts = [f"satz nummer {i}" for i in range(500)] + ["immer wieder derselbe satz"] * 100_000
+    df = spark.createDataFrame([("de", t) for t in texts] + [("en", "the one text")], "lang string, text string")
+    found = language.training_sample(df, F.lit(True)).groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in found} == {"de": 501, "en": 1}

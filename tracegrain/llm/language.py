@@ -142,13 +142,15 @@ def fit(features: np.ndarray, labels: list[str]) -> Model:
 def training_sample(docs: DataFrame, usable: Column, rows: int = TRAIN_ROWS) -> DataFrame:
     """At most ``rows`` texts of each language, chosen by the hash of the text, among the ``usable`` rows.
 
-    Languages are counted over all rows first, so that only about the wanted number is ranked.
+    The different texts of each language are counted first, so that only about the wanted number is ranked; copies
+    count once, as they pass or fail together.
     """
     labelled = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    place = F.xxhash64("text", F.lit(SEED))
+    labelled = labelled.withColumn("_place", F.xxhash64("text", F.lit(SEED)))
+    different = labelled.select("lang", "_place").distinct()
+    counts = different.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
     share = F.least(F.lit(1.0), F.lit(2.0 * rows) / F.col("n"))
-    near = labelled.withColumn("_place", place).join(F.broadcast(counts), "lang")
+    near = labelled.join(F.broadcast(counts), "lang")
     near = near.filter(F.pmod("_place", F.lit(1 << 30)) < share * (1 << 30)).dropDuplicates(["lang", "text"])
     ranked = near.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_place", "text")))
     return ranked.filter(F.col("_rank") <= rows).select("lang", "text")
