@@ -6,7 +6,19 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracegrain.llm import bpe, jaccard, language, packing, prefix_free, quality, recompress, sharding, subspace, toxicity
+from tracegrain.llm import (
+    alignment,
+    bpe,
+    jaccard,
+    language,
+    packing,
+    prefix_free,
+    quality,
+    recompress,
+    sharding,
+    subspace,
+    toxicity,
+)
 from tracegrain.llm.common import table
 
 SHARDS = 16
@@ -68,6 +80,12 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subspace.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The first file has the same vocabulary as byte_bpe_50k.json, as ranks.
+    paths = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.token_alignment(table(spark, sf_dir, "documents"), *paths)
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_substrings": op2_substrings,
@@ -79,6 +97,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_suffixes": op9_suffixes,
     "op10_embeddings": op10_embeddings,
+    "op12_alignment": op12_alignment,
 }
 
 
