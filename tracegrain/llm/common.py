@@ -42,6 +42,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_rows(df: DataFrame) -> DataFrame:
+    """Rows of a table that has fewer splits than there are cores, dealt out evenly; a larger table stays where it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that ``written`` stored and that nothing still to run reads."""
     for table in tables:

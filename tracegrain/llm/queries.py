@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tracegrain.llm import (
     alignment,
     bpe,
+    dual_tree,
     jaccard,
     language,
     packing,
@@ -18,6 +19,7 @@ from tracegrain.llm import (
     sharding,
     subspace,
     toxicity,
+    wrappers,
 )
 from tracegrain.llm.common import table
 
@@ -80,12 +82,20 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subspace.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_text(table(spark, sf_dir, "pages"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The first file has the same vocabulary as byte_bpe_50k.json, as ranks.
     paths = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("piece_bpe_32k.model")
     return alignment.token_alignment(table(spark, sf_dir, "documents"), *paths)
 
 
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_substrings": op2_substrings,
@@ -97,7 +107,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_suffixes": op9_suffixes,
     "op10_embeddings": op10_embeddings,
+    "op11_articles": op11_articles,
     "op12_alignment": op12_alignment,
+    "op13_search": op13_search,
 }
 
 
@@ -137,4 +149,28 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     not (base_failed or {_RULES_SQL}) as kept
 from judged"""
 
-ORACLES = {"op4_quality": QUALITY_SQL}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TERMS = f"regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+SEARCH_SQL = f"""
+with t as (select doc_id, {_TERMS} as ts from documents where text is not null),
+d as (select doc_id, len(ts)::bigint as n from t where len(ts) > 0),
+s as (select count(*)::bigint as docs, sum(n)::bigint as terms from d),
+tf as (select doc_id, term, count(*)::bigint as tf from (select doc_id, unnest(ts) as term from t) group by all),
+i as (
+    select item_id, term, count(*)::bigint as times
+    from (select item_id, unnest({_TERMS}) as term from benchmark) group by all
+),
+w as (
+    select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w from tf, s group by term, docs
+),
+scores as (
+    select item_id, doc_id,
+        sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))))::bigint as score
+    from i join w using (term) join tf using (term) join d using (doc_id), s group by item_id, doc_id
+)
+select item_id, rank::int as rank, doc_id, score
+from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scores where score > 0)
+where rank <= {dual_tree.TOP}"""
+
+ORACLES = {"op4_quality": QUALITY_SQL, "op13_search": SEARCH_SQL}
