@@ -30,8 +30,8 @@ from tracegrain.llm.common import discard, written
 from tracegrain.operators.tables import BROADCAST_ROWS
 
 # Segments remembered by a task; characters of texts that are aligned together.
-SEGMENTS = 300_000
-CHUNK = 1 << 22
+SEGMENTS = 200_000
+CHUNK = 1 << 20
 # A pair of ids in one number: the first side's id times this, plus the second side's.
 SIDE = 1 << 31
 
