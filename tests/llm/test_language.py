@@ -51,8 +51,10 @@ def test_odd_tables(spark):
     model = language.train(df, F.lit(True))
     found = sorted((r["doc_id"], r["lang_pred"]) for r in language.identify(df, model, ["doc_id"]).collect())
     assert found == [(1, "de"), (2, "en"), (3, "und"), (4, "und"), (5, "und"), (6, "de"), (6, "de"), (7, "en")]
-    kept = language.keep_known(df)
-    assert kept.columns == df.columns
+    clash = df.selectExpr("*", "1 as _score", "'x' as lang_pred", "2 as row", "named_struct('a', 1) as ambiguous")
+    kept = language.keep_known(clash)
+    assert kept.columns == clash.columns
+    assert {tuple(r[4:]) for r in kept.collect()} == {(1, "x", 2, (1,))}
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 6, 6, 7]
     assert language.train(df.filter("lang is null"), F.lit(True)) is None
     assert {r["lang_pred"] for r in language.identify(df, None, ["doc_id"]).collect()} == {"und"}
@@ -64,3 +66,18 @@ def test_copies_do_not_thin_the_sample(spark):
     df = spark.createDataFrame([("de", t) for t in texts] + [("en", "the one text")], "lang string, text string")
     found = language.training_sample(df, F.lit(True)).groupBy("lang").count().collect()
     assert {r["lang"]: r["count"] for r in found} == {"de": 501, "en": 1}
+
+
+def test_no_language_is_left_out(spark):
+    """Many languages share the bound on training rows; the rarest is still learned."""
+    count = 200
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    pick = np.random.default_rng(1)
+    stems = ["".join(letters[c] for c in pick.integers(0, 26, 5)) for _ in range(count)]
+    rows = [(f"l{i:03}", f"{stem} {stem}{letters[k]} {stem[:3]}{letters[k]}") for i, stem in enumerate(stems) for k in range(2 if i else 12)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    assert language.training_sample(df, F.lit(True)).select("lang").distinct().count() == count
+    model = language.train(df, F.lit(True))
+    assert len(model.languages) == count
+    found = language.identify(df, model, ["lang"]).toPandas()
+    assert (found["lang"] == found["lang_pred"]).mean() > 0.9

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,6 +27,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+# Tables written since each open ``scratch`` began, innermost last.
+_SCRATCH: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Deletes at its end what is ``written`` inside, but for the tables stored by the function it gives."""
+    made: list[DataFrame] = []
+    _SCRATCH.append(made)
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        table = written(df, label)
+        made[:] = [t for t in made if t is not table]
+        if len(_SCRATCH) > 1:
+            _SCRATCH[-2].append(table)
+        return table
+
+    try:
+        yield keep
+    finally:
+        _SCRATCH.pop()
+        discard(*made)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage, keeps column pruning, survives lost executors.
 
@@ -39,7 +65,10 @@ def written(df: DataFrame, label: str) -> DataFrame:
     finally:
         spark.conf.set(_CLEANUP, before)
         spark.sparkContext.setJobDescription(None)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    if _SCRATCH:
+        _SCRATCH[-1].append(table)
+    return table
 
 
 def spread_rows(df: DataFrame) -> DataFrame:
@@ -104,7 +133,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         jump = labels.select(F.col("u").alias("low"), F.col("label").alias("far"))
         moved = lower.join(jump, "low", "left").select("u", F.col("label").alias("old"), F.least("low", "far").alias("label"))
         stored = written(moved, "component-labels")
+        discard(labels)
         if stored.filter("old <> label").isEmpty():
+            discard(both)
             return stored.select(F.col("u").alias("node"), F.col("label").alias("component"))
         labels = stored.select("u", "label")
 

@@ -1,10 +1,12 @@
 """Jaccard join over word shingles by T-occurrence search.
 
 Two documents link when their shingle sets overlap by a given share of the union. Equal sets are one class from
-the start, only one document of each goes on. The search is prepared by the prefix rule: sorted by falling
-rarity, two linking sets share one of their first n - ceil(share * n) + 1 shingles. Documents that share such a shingle at
-a compatible size form candidate groups; nothing but shingle names and ids is moved for that, and
-only members of a group have their sets shuffled.
+the start, only one document of each goes on. The search is prepared by the prefix rule, twice. By the order of their
+hashes, two linking sets have k shingles in common among their first n - ceil(share * n) + k. These are counted over all
+documents, and by the order of these counts, rarest first, one of the first n - ceil(share * n) + 1 of them is shared again.
+Passages that many documents share so find no candidates, and documents with enough shingles of their own drop out. Documents that
+share a rare shingle at a compatible size form candidate groups; nothing but shingle names and ids is moved for
+that, and only members of a group have their sets shuffled.
 
 Inside a group every document is a query to the inverted lists of the group (DivideSkip): the short lists are
 merged by counting, documents below the count that the long lists could still make up for are skipped, and the long
@@ -20,18 +22,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracegrain.llm.common import WordHasher, checked_join, components, discard, mix64, sequence_names, written
+from tracegrain.llm.common import WordHasher, checked_join, components, discard, mix64, scratch, sequence_names, written
 
 SHINGLE = 3
 # Required overlap in hundredths of the union.
 PERCENT = 90
-# Counters of the shingle frequencies: a fixed 4 MB for a table of any size. They order shingles by rarity;
-# shared counters cost time, not links.
-COUNTERS = 1 << 20
-COUNTER_ROWS = 64
 # Documents of a piece of a candidate group, and shingles of all of them.
 PIECE = 1_024
 PIECE_SHINGLES = 1 << 19
@@ -59,40 +57,22 @@ def needed(n: np.ndarray | int, percent: int = PERCENT):
     return -(-percent * n // 100)
 
 
-def frequencies(docs: DataFrame, size: int) -> np.ndarray:
-    """How many documents count towards each counter, over all documents."""
+def asked(n: np.ndarray | int, percent: int = PERCENT):
+    """Shingles that the hash prefixes of a set of ``n`` and of a linking set, at least as large, have in common."""
+    return np.maximum((n - needed(n, percent)) // 2, 1)
 
-    def count(frames):
-        shingler, totals = Shingler(size), np.zeros(COUNTERS, dtype=np.int64)
-        for frame in frames:
-            for text in frame["text"]:
-                np.add.at(totals, shingler(text) % np.uint64(COUNTERS), 1)
-        rows = totals.reshape(COUNTER_ROWS, -1)
-        yield pd.DataFrame({"row": np.arange(COUNTER_ROWS), "counts": [r.tobytes() for r in rows]})
-
-    def add(frame):
-        totals = sum(np.frombuffer(c, dtype=np.int64) for c in frame["counts"])
-        return pd.DataFrame({"row": frame["row"].iloc[:1], "counts": [totals.tobytes()]})
-
-    parts = docs.select("text").mapInPandas(count, "row int, counts binary")
-    rows = parts.groupBy("row").applyInPandas(add, "row int, counts binary").collect()
-    totals = np.zeros(COUNTERS, dtype=np.int64).reshape(COUNTER_ROWS, -1)
-    for row in rows:
-        totals[row["row"]] = np.frombuffer(row["counts"], dtype=np.int64)
-    return np.minimum(totals.reshape(-1), 2**31 - 1).astype(np.int32)
 
-
-def _sets(docs: DataFrame, rarity, size: int, percent: int) -> DataFrame:
-    """doc_id, n, two names of the whole set, and its prefix: the rarest shingles."""
+def _sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, n, two names of the whole set, and its hash prefix: the shingles of the smallest names."""
 
     def cut(frames):
-        shingler, order = Shingler(size), rarity.value
+        shingler = Shingler(size)
         for frame in frames:
             rows = []
             for doc, text in zip(frame["doc_id"], frame["text"]):
                 names = shingler(text)
                 n = len(names)
-                prefix = names[np.lexsort((names, order[names % np.uint64(COUNTERS)]))[: n - needed(n, percent) + 1]] if n else names
+                prefix = names[: n - needed(n, percent) + asked(n, percent)]
                 with np.errstate(over="ignore"):
                     whole = [int(mix64(names ^ np.uint64(s)).sum().view(np.int64)) for s in (0x5851F42D, 0x14057B7E)]
                 rows.append((doc, n, *whole, prefix.tobytes()))
@@ -102,8 +82,31 @@ def _sets(docs: DataFrame, rarity, size: int, percent: int) -> DataFrame:
     return docs.mapInPandas(cut, f"doc_id {kind}, n bigint, name_a bigint, name_b bigint, prefix binary")
 
 
+def _rarest(rows: DataFrame, percent: int) -> DataFrame:
+    """Of the rows (name, rep, n) of hash prefixes those that candidates are found by.
+
+    Counted are all documents. Of m shingles in a hash prefix at least k are shared with any linking set, so by any
+    order two linking prefixes have one of their first m - k + 1 shingles in common; the order is by rarity.
+    Shingles of one document come first and find nothing, so a document with enough of them drops out.
+    """
+    counts = rows.groupBy("name").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    shared = written(counts, "shared-shingles")
+    kept = written(rows.join(shared, "name"), "shared-rows")
+    discard(shared)
+    fit = f"(({percent} * n + 99) div 100)"
+    prefix = f"least(n, n - {fit} + greatest((n - {fit}) div 2, 1))"
+    # The smallest size that links asks for least.
+    k = f"greatest(({fit} - ({percent} * {fit} + 99) div 100) div 2, 1)"
+    own = Window.partitionBy("rep", "n")
+    ranked = kept.withColumns({"_at": F.row_number().over(own.orderBy("held", "name")), "_shared": F.count(F.lit(1)).over(own)})
+    chosen = ranked.filter(F.expr(f"_at <= {prefix} - {k} + 1 - ({prefix} - _shared)")).select("name", "rep", "n")
+    out = written(chosen, "rarest-rows")
+    discard(kept)
+    return out
+
+
 def _buckets(classes: DataFrame, percent: int) -> DataFrame:
-    """bucket, id and ``first`` (the smallest id) of documents that share a prefix shingle at compatible sizes."""
+    """bucket, id and ``first`` (the smallest id) of documents that share a rare prefix shingle at compatible sizes."""
     kind = classes.schema["rep"].dataType.simpleString()
 
     def names(frames):
@@ -118,11 +121,9 @@ def _buckets(classes: DataFrame, percent: int) -> DataFrame:
                 }
             )
 
-    rows = written(classes.select("rep", "n", "prefix").mapInPandas(names, f"name bigint, rep {kind}, n bigint"), "shingles")
-    shared = rows.groupBy("name").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("name")
-    kept = written(rows.join(written(shared, "shared-shingles"), "name"), "shared-rows")
-    discard(rows)
-    rows = kept
+    every = written(classes.select("rep", "n", "prefix").mapInPandas(names, f"name bigint, rep {kind}, n bigint"), "shingles")
+    rows = _rarest(every, percent)
+    discard(every)
     # Sizes by steps of the share: linking sets lie in the same step or in neighbouring ones.
     step = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent)) + 1e-9)
     stepped = rows.withColumn("step", F.explode(F.array(step, step + 1)))
@@ -130,7 +131,9 @@ def _buckets(classes: DataFrame, percent: int) -> DataFrame:
     first = written(first.select("name", "step", F.col("a").alias("first")), "shingle-firsts")
     stars = stepped.join(first, ["name", "step"])
     # Two shingles under one number would only bring more documents together.
-    return written(stars.select(F.xxhash64("name", "step").alias("bucket"), F.col("rep").alias("id"), "first"), "buckets")
+    out = written(stars.select(F.xxhash64("name", "step").alias("bucket"), F.col("rep").alias("id"), "first"), "buckets")
+    discard(rows, first)
+    return out
 
 
 def _with_sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
@@ -293,9 +296,12 @@ def link(
     component; rows under one id are one node; a null id stands alone. Other columns are ignored.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    # A fixed number of counters.
-    rarity = docs.sparkSession.sparkContext.broadcast(frequencies(slim, size))
-    sets = written(_sets(slim, rarity, size, percent), "shingle-sets")
+    with scratch() as keep:
+        return keep(_components(slim, percent, size, piece), "jaccard-components")
+
+
+def _components(slim: DataFrame, percent: int, size: int, piece: int) -> DataFrame:
+    sets = written(_sets(slim, size, percent), "shingle-sets")
     named = sets.filter("n > 0 and doc_id is not null")
     by_set = named.groupBy("n", "name_a", "name_b").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
     prefixes = written(by_set, "shingle-prefixes")
@@ -319,6 +325,8 @@ def link(
 
 def keep_first(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document, that of the smallest id, of every component; of rows repeated under an id all stay."""
-    kept = link(docs, percent, size, id_col=id_col, text_col=text_col).filter("doc_id = component_id or doc_id is null")
-    kept = written(kept.select(F.col("doc_id").alias("_kept")).distinct(), "kept-ids")
-    return checked_join(docs, kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    kept = link(docs, percent, size, id_col=id_col, text_col=text_col)
+    ids = written(kept.filter("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_kept")).distinct(), "kept-ids")
+    discard(kept)
+    own = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_row"), F.col(id_col).alias("_id"))
+    return checked_join(own, ids, F.col("_id").eqNullSafe(F.col("_kept")), "left_semi").select("_row.*")

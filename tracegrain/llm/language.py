@@ -13,16 +13,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegrain.llm.common import written
 
 BUCKETS = 1 << 13
-# The classifiers are fitted on at most so many documents of each language, and of so many languages, the
-# most frequent ones.
+# The classifiers are fitted on at most so many documents of each language, and so many in all: with more than 40
+# languages each has fewer, but none is left out.
 TRAIN_ROWS = 600
-MAX_LANGUAGES = 128
+TRAIN_TOTAL = 24_000
 # Up to so many languages get the exhaustive code; more get the best of some random ones.
 EXHAUSTIVE = 5
 TRIES = 50
@@ -142,15 +143,20 @@ def fit(features: np.ndarray, labels: list[str]) -> Model:
 def training_sample(docs: DataFrame, usable: Column, rows: int = TRAIN_ROWS) -> DataFrame:
     """At most ``rows`` texts of each language, chosen by the hash of the text, among the ``usable`` rows.
 
-    The different texts of each language are counted first, so that only about the wanted number is ranked; copies
-    count once, as they pass or fail together.
+    With many languages each has fewer rows, ``TRAIN_TOTAL`` in all; a label with more different values than that is
+    no language and raises ValueError. The different texts of each language are counted first, so that only about the
+    wanted number is ranked; copies count once, as they pass or fail together.
     """
     labelled = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     labelled = labelled.withColumn("_place", F.xxhash64("text", F.lit(SEED)))
     different = labelled.select("lang", "_place").distinct()
-    counts = different.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    counts = different.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    languages = counts.count()
+    if languages > TRAIN_TOTAL:
+        raise ValueError(f"{languages} languages; a model of at most {TRAIN_TOTAL} can be fitted")
+    rows = min(rows, TRAIN_TOTAL // max(languages, 1))
     share = F.least(F.lit(1.0), F.lit(2.0 * rows) / F.col("n"))
-    near = labelled.join(F.broadcast(counts), "lang")
+    near = labelled.join(F.broadcast(counts), "lang")  # a row per language, counted above
     near = near.filter(F.pmod("_place", F.lit(1 << 30)) < share * (1 << 30)).dropDuplicates(["lang", "text"])
     ranked = near.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_place", "text")))
     return ranked.filter(F.col("_rank") <= rows).select("lang", "text")
@@ -170,7 +176,7 @@ def train(docs: DataFrame, usable: Column, rows: int = TRAIN_ROWS) -> Model | No
             yield pd.DataFrame(out, columns=["lang", "at", "value"])
 
     sample = written(training_sample(docs, usable, rows), "language-sample")
-    # Bounded: TRAIN_ROWS rows of MAX_LANGUAGES languages, a few kB each.
+    # Bounded: TRAIN_TOTAL rows, a few kB each.
     found = sample.mapInPandas(count, "lang string, at binary, value binary").orderBy("lang", "at", "value").collect()
     if not found:
         return None
@@ -181,12 +187,12 @@ def train(docs: DataFrame, usable: Column, rows: int = TRAIN_ROWS) -> Model | No
 
 
 def _judged(docs: DataFrame, model: Model | None, keep: list[str], text_col: str) -> DataFrame:
-    """``keep`` columns with _lang_pred, _score and _ambiguous."""
+    """lang_pred, score and ambiguous of every row, with its ``keep`` columns in a struct ``row``."""
 
     def judge(frames):
         letters = letter_table()
-        for frame in frames:
-            texts = frame[text_col].tolist()
+        for batch in frames:
+            texts = batch.column("text").to_pylist()
             best = np.array(["und"] * len(texts), dtype=object)
             score, unsure = np.zeros(len(texts)), np.zeros(len(texts), dtype=bool)
             # A few texts at a time: their dense counts are what takes memory.
@@ -197,11 +203,12 @@ def _judged(docs: DataFrame, model: Model | None, keep: list[str], text_col: str
                     rows = np.array(at) + start
                     number, score[rows], unsure[rows] = model.predict(np.stack([some[i] for i in at]))
                     best[rows] = np.array(model.languages, dtype=object)[number]
-            yield frame[keep].assign(_lang_pred=best, _score=score, _ambiguous=unsure)
+            columns = [batch.column("row"), pa.array(best, pa.string()), pa.array(score), pa.array(unsure)]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "lang_pred", "score", "ambiguous"])
 
-    slim = docs.select(*dict.fromkeys([*keep, text_col]))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(keep).schema)
-    return slim.mapInPandas(judge, f"{kinds}, _lang_pred string, _score double, _ambiguous boolean")
+    slim = docs.select(F.struct(*map(F.col, keep)).alias("row"), F.col(text_col).alias("text"))
+    kind = slim.schema["row"].dataType.simpleString()
+    return slim.mapInArrow(judge, f"row {kind}, lang_pred string, score double, ambiguous boolean")
 
 
 def identify(docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -211,7 +218,7 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str], text_col: st
     one by one, so repeated rows agree.
     """
     found = _judged(docs, model, keep, text_col)
-    return found.withColumnsRenamed({"_lang_pred": "lang_pred", "_score": "score", "_ambiguous": "ambiguous"})
+    return found.select(*(F.col("row")[c].alias(c) for c in keep), "lang_pred", "score", "ambiguous")
 
 
 def keep_known(docs: DataFrame, least: float = LEAST, text_col: str = "text") -> DataFrame:
@@ -221,4 +228,4 @@ def keep_known(docs: DataFrame, least: float = LEAST, text_col: str = "text") ->
     """
     model = train(docs, F.lit(True))
     found = _judged(docs, model, docs.columns, text_col)
-    return found.filter((F.col("_lang_pred") != "und") & (F.col("_score") >= least)).select(docs.columns)
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
