@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from tracegrain.functions import minhash as mh
 from tracegrain.operators import dedup, tables
+from tracegrain.operators.bloom import Bloom
+from tracegrain.plans.analyze import analyze
 
 SAME = ["ERROR Door of <IP> jammed for <NUM> minutes"] * 3
 UNIQUE = [
@@ -148,3 +150,70 @@ def test_pairs(spark, lines, monkeypatch):
     assert sorted(map(tuple, dedup.near_dup_pairs(df).collect())) == expected
     monkeypatch.setattr(tables, "BROADCAST_ROWS", 0)
     assert sorted(map(tuple, dedup.near_dup_pairs(df).collect())) == expected
+
+
+def scans(spark, df):
+    """``df`` with a column that counts how often its rows are computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    return df.withColumn("raw", counted("raw")), seen
+
+
+def test_lines_are_read_once(spark, lines, monkeypatch):
+    """Rows come along through the aggregation: no second scan, and no shuffle by line number."""
+    monkeypatch.setattr(tables, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(tables, "BROADCAST_BYTES", 0)
+    texts = [f"{pick} number {i % 7} of {i % 3}" for i, pick in enumerate(["alpha", "beta", "gamma"] * 40)]
+    plain = lines(texts).withColumn("other", F.concat(F.lit("row "), "line_no"))
+    for run in (
+        lambda df: dedup.dedup_first_wins(df, "raw"),
+        lambda df: dedup.dedup_exact(df, "raw"),
+        lambda df: dedup.dedup_incremental(df, None, "raw")[0],
+    ):
+        df, seen = scans(spark, plain)
+        rows = run(df).collect()
+        assert seen.value == len(texts)
+        assert all(r["other"] == f"row {r['line_no']}" and r["raw"] == texts[r["line_no"]] for r in rows)
+    df, seen = scans(spark, plain)
+    found = analyze(df.select("line_no", "raw")).scored.collect()
+    assert seen.value == len(texts)
+    assert found and all(r["raw"] == texts[r["line_no"]] for r in found)
+
+
+def test_verified_pairs(spark, lines, monkeypatch):
+    base = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    df = lines([base, base + " x", base.upper(), "x y", "", " ", base + " a b c d e f g h"] + [base + " x"] * 3, "template")
+    loose = {tuple(p) for p in dedup.near_dup_pairs(df, threshold=0.5).collect()}
+    sets = [set((r["template"] or "").lower().split()) for r in df.orderBy("line_no").collect()]
+    alike = lambda a, b, t: not (a | b) or len(a & b) >= t * len(a | b)
+    for broadcast in (None, 0):
+        if broadcast is not None:
+            monkeypatch.setattr(tables, "BROADCAST_ROWS", broadcast)
+        found = {tuple(p) for p in dedup.near_dup_pairs(df, threshold=0.5, verify=True).collect()}
+        assert found == {(a, b) for a, b in loose if alike(sets[a], sets[b], 0.5)}
+    assert (0, 2) in found and (4, 5) in found
+
+
+def test_filters_of_different_sizes_merge(spark):
+    keys = spark.range(3_000).selectExpr("id as k")
+    small, large = keys.filter("k < 40"), keys.filter("k between 40 and 2500")
+    merged = Bloom.merged([Bloom.build(small, ["k"], 40), Bloom.build(large, ["k"], 2_461)])
+    passed = {r["k"] for r in merged.possible(keys).collect()}
+    assert passed >= set(range(2_501)) and len(passed) < 2_501 + 60
+
+
+def test_incremental_with_a_filter(spark, lines):
+    rng = random.Random(5)
+    df = lines([" ".join(rng.choices(["aa", "bb", "cc", "dd", "ee"], k=3)) for _ in range(200)], "template")
+    first, second = df.filter("line_no < 120"), df.filter("line_no >= 120")
+    early = dedup.find_kept(first, threshold=0.5)
+    seen = Bloom.build(early.bands(), ["band", "key"], 500)
+    plain, bands = dedup.dedup_incremental(second, early.bands(), threshold=0.5)
+    filtered, same = dedup.dedup_incremental(second, early.bands(), threshold=0.5, seen=seen)
+    key = lambda rows: sorted(r["line_no"] for r in rows.collect())
+    assert key(plain) == key(filtered) and key(bands) == key(same)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tracegrain.functions.minhash import band_keys, banding, minhash
 from tracegrain.functions.text import tokens
+from tracegrain.operators.bloom import Bloom
 from tracegrain.operators.tables import HOT_SHARE, Table, lookup_join, materialize, salted_join
 
 # After this many rounds a remainder of at most TAIL_ROWS rows is finished in one task.
@@ -55,9 +56,19 @@ def buckets(df: DataFrame) -> DataFrame:
     return df.select("line_no", F.posexplode("bands").alias("band", "key"))
 
 
-def _first_of_text(df: DataFrame, text: str) -> DataFrame:
-    """The first line of every distinct text: equal texts always collide."""
-    return df.groupBy(F.coalesce(text, F.lit("")).alias(text)).agg(F.min("line_no").alias("line_no"))
+def first_rows(df: DataFrame, by: Column) -> DataFrame:
+    """``_text`` (the value of ``by``), its first ``line_no`` and that whole row as ``_row``.
+
+    The row comes along through the aggregation, which tasks begin on their own lines, so rows are neither read a
+    second time nor moved by their number.
+    """
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    return df.groupBy(by.alias("_text")).agg(F.min("line_no").alias("line_no"), F.min_by(row, "line_no").alias("_row"))
+
+
+def _first_of_text(df: DataFrame, text: str) -> Table:
+    """The first row of every distinct text: equal texts always collide."""
+    return materialize(first_rows(df, F.coalesce(text, F.lit(""))), "first-rows")
 
 
 def _drop_hit(rows: DataFrame, won: DataFrame, total: int) -> Table:
@@ -78,6 +89,21 @@ def _drop_hit(rows: DataFrame, won: DataFrame, total: int) -> Table:
     return materialize(still_open.select("line_no", _keys("_b").alias("bands")), "dedup-open")
 
 
+def _found_earlier(sizes: DataFrame, earlier: DataFrame, seen: Bloom | None) -> DataFrame:
+    """The buckets of ``sizes`` (band, key, n) that ``earlier`` holds.
+
+    The filter leaves the true hits and a few others. These look through the history where it lies if they are few
+    enough to be sent there, and only then is none of it moved.
+    """
+    if seen is None:
+        return sizes.join(earlier.select("band", "key"), ["band", "key"], "left_semi")
+    asked = materialize(seen.possible(sizes), "asked-buckets")
+    if asked.rows == 0:
+        return asked.df
+    hits = lookup_join(earlier.select("band", "key"), asked.narrowed("band", "key"), ["band", "key"], "left_semi").distinct()
+    return asked.df.join(hits, ["band", "key"], "left_semi")
+
+
 def _keys(pairs: str) -> Column:
     return F.transform(pairs, lambda b: b["key"])
 
@@ -95,10 +121,10 @@ def _walk(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.loc[keep, ["line_no", "bands"]]
 
 
-def first_wins(rows: DataFrame, width: int, earlier: DataFrame | None = None) -> Kept:
+def first_wins(rows: DataFrame, width: int, earlier: DataFrame | None = None, seen: Bloom | None = None) -> Kept:
     """Kept rows of ``line_no, bands`` with ``width`` bands each.
 
-    ``earlier`` is the bucket table of rows kept before.
+    ``earlier`` is the bucket table of rows kept before, ``seen`` a filter of its buckets.
     """
     undecided = materialize(rows, "dedup-bands")
     kept: list[Table] = []
@@ -108,8 +134,7 @@ def first_wins(rows: DataFrame, width: int, earlier: DataFrame | None = None) ->
         return Kept(empty, 0, 0)
     if earlier is not None:
         sizes = buckets(undecided.df).groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"))
-        won = sizes.join(earlier.select("band", "key"), ["band", "key"], "left_semi")
-        undecided = _drop_hit(undecided.df, won, undecided.rows * width)
+        undecided = _drop_hit(undecided.df, _found_earlier(sizes, earlier, seen), undecided.rows * width)
     while undecided.rows:
         if rounds >= TAIL_ROUNDS and undecided.rows <= TAIL_ROWS:
             tail = undecided.df.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(
@@ -133,10 +158,17 @@ def first_wins(rows: DataFrame, width: int, earlier: DataFrame | None = None) ->
         won = leaders.df.select(F.inline("_b")).filter("n > 1")
         rest = undecided.df.join(leaders.df.select("line_no"), "line_no", "left_anti")
         undecided = _drop_hit(rest, won, undecided.rows * width)
-    out = empty
-    for part in kept:
-        out = out.unionByName(part.df)
-    return Kept(out, rounds, sum(part.rows for part in kept))
+    if not kept:
+        return Kept(empty, rounds, 0)
+    return Kept(_folded([part.df for part in kept]), rounds, sum(part.rows for part in kept))
+
+
+def _folded(parts: list[DataFrame]) -> DataFrame:
+    """The union of stored parts; many of them become one table, so that plans do not grow with the rounds."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return materialize(out, "dedup-kept").df if len(parts) > TAIL_ROUNDS else out
 
 
 def keep_lines(df: DataFrame, lines: Table) -> DataFrame:
@@ -144,6 +176,11 @@ def keep_lines(df: DataFrame, lines: Table) -> DataFrame:
     return lookup_join(df, lines, ["line_no"], "left_semi")
 
 
+def _kept_of(firsts: Table, threshold: float, num_perm: int, earlier: DataFrame | None = None, seen: Bloom | None = None) -> Kept:
+    rows = with_bands(firsts.df, "_text", threshold, num_perm)
+    return first_wins(rows, banding(threshold, num_perm)[0], earlier, seen)
+
+
 def find_kept(
     df: DataFrame,
     text: str = "template",
@@ -151,42 +188,57 @@ def find_kept(
     num_perm: int = 64,
     earlier: DataFrame | None = None,
 ) -> Kept:
-    rows = with_bands(_first_of_text(df, text), text, threshold, num_perm)
-    return first_wins(rows, banding(threshold, num_perm)[0], earlier)
+    """Numbers and bands of the rows that survive."""
+    lines = df.groupBy(F.coalesce(text, F.lit("")).alias("_text")).agg(F.min("line_no").alias("line_no"))
+    return _kept_of(Table(lines), threshold, num_perm, earlier)
+
+
+def _survivors(firsts: Table, kept: Kept) -> DataFrame:
+    return keep_lines(firsts.df, kept.lines()).select("_row.*")
 
 
 def dedup_first_wins(df: DataFrame, text: str = "template", threshold: float = 0.8, num_perm: int = 64) -> DataFrame:
-    """Rows of ``df`` that survive, in the order of ``line_no``."""
-    return keep_lines(df, find_kept(df, text, threshold, num_perm).lines())
+    """Rows of ``df`` that survive, in the order of ``line_no``. The lines are read once."""
+    firsts = _first_of_text(df, text)
+    return _survivors(firsts, _kept_of(firsts, threshold, num_perm))
 
 
 def dedup_incremental(
     df: DataFrame,
-    earlier: DataFrame,
+    earlier: DataFrame | None,
     text: str = "template",
     threshold: float = 0.8,
     num_perm: int = 64,
+    seen: Bloom | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Survivors of a further chunk, and the buckets to append to ``earlier``."""
-    kept = find_kept(df, text, threshold, num_perm, earlier)
-    return keep_lines(df, kept.lines()), kept.bands()
+    """Survivors of a further chunk, and the buckets to append to ``earlier``.
+
+    With ``seen``, a filter of the buckets in ``earlier``, only buckets that pass it are looked up there.
+    """
+    firsts = _first_of_text(df, text)
+    kept = _kept_of(firsts, threshold, num_perm, earlier, seen)
+    return _survivors(firsts, kept), kept.bands()
 
 
 def dedup_exact(df: DataFrame, text: str = "template") -> DataFrame:
-    """First row of every distinct set of lower-cased words."""
-    words = F.array_join(F.array_sort(F.array_distinct(tokens(F.coalesce(text, F.lit("")), lower=True))), " ")
-    firsts = df.groupBy(words.alias("_words")).agg(F.min("line_no").alias("line_no"))
-    return keep_lines(df, materialize(firsts.select("line_no"), "first-lines"))
+    """First row of every distinct set of lower-cased words, by one aggregation."""
+    return first_rows(df, word_set(text)).select("_row.*")
+
+
+def word_set(text: Column | str) -> Column:
+    """The set of lower-cased words of a text in one string; null has none."""
+    return F.array_join(F.array_sort(F.array_distinct(tokens(F.coalesce(text, F.lit("")), lower=True))), " ")
 
 
 def near_dup_pairs(
-    df: DataFrame, text: str = "template", threshold: float = 0.8, num_perm: int = 64
+    df: DataFrame, text: str = "template", threshold: float = 0.8, num_perm: int = 64, verify: bool = False
 ) -> DataFrame:
     """Every removed line with the kept lines before it that it collides with: ``lo, hi``.
 
     A bucket has one kept row at most, so a line has no more partners than there are bands; pairs
     among the removed lines are never formed. Equal texts are signed and compared once, and
-    their lines attached afterwards.
+    their lines attached afterwards. With ``verify`` a pair must have a Jaccard similarity of word sets of
+    ``threshold`` or more; sets are cut and compared once per pair of distinct texts. Texts without words are equal.
     """
     texts = df.groupBy(F.coalesce(text, F.lit("")).alias("_text")).agg(
         F.min("line_no").alias("line_no"), F.count(F.lit(1)).alias("_lines")
@@ -198,9 +250,26 @@ def near_dup_pairs(
     owners = kept.bands().select("band", "key", F.col("line_no").alias("lo"))
     lookup = materialize(owners.join(sizes, ["band", "key"]), "kept-buckets")
     hits = lookup_join(buckets(rows), lookup, ["band", "key"], "inner", "_n")
-    hits = hits.select("lo", "line_no").distinct().groupBy("line_no").agg(F.collect_list("lo").alias("_los"))
+    hits = hits.select("lo", "line_no").distinct()
+    if verify:
+        hits = _verified(hits, texts, threshold)
+    hits = hits.groupBy("line_no").agg(F.collect_list("lo").alias("_los"))
     partners = materialize(texts.df.join(hits, "line_no").select("_text", "_los", "_lines"), "text-partners")
     lines = df.select("line_no", F.coalesce(text, F.lit("")).alias("_text"))
     pairs = lookup_join(lines, partners, ["_text"], "inner", "_lines")
     pairs = pairs.select(F.explode("_los").alias("lo"), F.col("line_no").alias("hi"))
     return pairs.filter("lo < hi")
+
+
+def _verified(pairs: DataFrame, texts: Table, threshold: float) -> DataFrame:
+    """The pairs (lo, line_no) of first lines of texts whose word sets are similar enough.
+
+    A kept line may have very many partners, so its set is joined with the hot ones cut into pieces.
+    """
+    sets = texts.df.select("line_no", F.array_distinct(tokens("_text", lower=True)).alias("_set"))
+    counted = materialize(pairs.groupBy("lo").agg(F.count(F.lit(1)).alias("_n")), "pair-counts").df
+    low = sets.withColumnsRenamed({"line_no": "lo", "_set": "_low"}).join(counted, "lo")
+    both = lookup_join(pairs.join(sets, "line_no"), materialize(low, "kept-sets"), ["lo"], "inner", "_n", "line_no")
+    shared = F.size(F.array_intersect("_low", "_set"))
+    whole = F.size("_low") + F.size("_set") - shared
+    return both.filter((whole == 0) | (shared >= F.lit(threshold) * whole)).select("lo", "line_no")

@@ -17,12 +17,13 @@ def with_line_no(df: DataFrame) -> DataFrame:
     few, then turn the position inside a block into a line number. No line is sorted, and none is
     shuffled unless the table of blocks is too large to broadcast.
     """
-    placed = df.select(
-        "*",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_id"),
-    )
+    placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    return number_placed(placed, df.columns)[0]
+
+
+def number_placed(placed: DataFrame, columns: list[str], start: int = 0) -> tuple[DataFrame, DataFrame]:
+    """``line_no`` from ``start`` and the ``columns`` of rows with their ``_file`` and ``_block``; also the rows per block."""
+    placed = placed.withColumn("_id", F.monotonically_increasing_id())
     blocks = materialize(
         placed.groupBy("_file", "_block").agg(
             F.count(F.lit(1)).alias("_rows"), F.min("_id").alias("_first")
@@ -30,10 +31,10 @@ def with_line_no(df: DataFrame) -> DataFrame:
         "blocks",
     )
     offsets = rows_before(blocks.df, "_file", "_block", "_rows", "_before")
-    shift = (F.col("_before") - F.col("_first")).alias("_shift")
+    shift = (F.col("_before") - F.col("_first") + F.lit(start)).alias("_shift")
     table = materialize(offsets.select("_file", "_block", "_rows", shift), "block-offsets")
     joined = lookup_join(placed, table, ["_file", "_block"], "inner", "_rows", salt="_id")
-    return joined.select((F.col("_id") + F.col("_shift")).alias("line_no"), *df.columns)
+    return joined.select((F.col("_id") + F.col("_shift")).alias("line_no"), *columns), blocks.df
 
 
 def chunk_id(line_no: Column | str = "line_no", size: int = CHUNK_SIZE) -> Column:

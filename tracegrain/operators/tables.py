@@ -48,8 +48,9 @@ def new_path(spark: SparkSession, label: str) -> str:
 class Table:
     """A DataFrame on shared storage, with its size in rows and bytes."""
 
-    def __init__(self, df: DataFrame, size: tuple[int, int] | None = None):
+    def __init__(self, df: DataFrame, size: tuple[int, int] | None = None, observed: dict | None = None):
         self.df = df
+        self.observed = observed or {}
         if size:
             self._size = size
 
@@ -84,21 +85,22 @@ def _size_columns(df: DataFrame) -> list[Column]:
     return [F.expr("count(1) as rows"), F.expr(f"sum({' + '.join(parts)}) as bytes")]
 
 
-def materialize(df: DataFrame, label: str) -> Table:
+def materialize(df: DataFrame, label: str, **totals: Column) -> Table:
     """Checkpoint ``df`` on shared storage: cuts lineage and survives the loss of executors.
 
     The checkpoint keeps the partitioning of the plan, so later steps on the same key need no second
-    shuffle. The size is counted on the way.
+    shuffle. The size is counted on the way, and so are further ``totals``, which the table has as ``observed``.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     context.setJobDescription(label)  # shown in the Spark UI
     size = Observation()
-    saved = df.observe(size, *_size_columns(df)).checkpoint()
+    more = [value.alias(name) for name, value in totals.items()]
+    saved = df.observe(size, *_size_columns(df), *more).checkpoint()
     context.setJobDescription(None)
     counted = size.get
-    return Table(saved, (counted["rows"], counted["bytes"] or 0))
+    return Table(saved, (counted["rows"], counted["bytes"] or 0), {name: counted[name] for name in totals})
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

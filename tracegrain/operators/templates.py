@@ -69,11 +69,15 @@ def with_mask(df: DataFrame, **options) -> DataFrame:
 
 def collapse_masked(df: DataFrame) -> DataFrame:
     """Distinct masked lines with their first line, count and raw bytes."""
-    return df.groupBy("masked").agg(
+    return df.groupBy("masked").agg(*_collapsed())
+
+
+def _collapsed() -> list[Column]:
+    return [
         F.min("line_no").alias("first_line"),
         F.count(F.lit(1)).alias("n"),
         F.sum(F.octet_length("raw")).alias("raw_bytes"),
-    )
+    ]
 
 
 def with_head(collapsed: DataFrame, prefix_tokens: int = Mining.prefix_tokens) -> DataFrame:
@@ -447,8 +451,11 @@ def mine_templates(df: DataFrame, options: Mining = Mining()) -> Model:
     return mine_collapsed(collapsed_table(df, options).df, options)
 
 
-def collapsed_table(df: DataFrame, options: Mining = Mining()) -> Table:
-    return materialize(with_head(collapse_masked(df), options.prefix_tokens), "collapsed")
+def collapsed_table(df: DataFrame, options: Mining = Mining(), with_raw: bool = False) -> Table:
+    """Distinct masked lines with their routing words; ``with_raw`` brings the first raw line of each along."""
+    carried = [F.min_by("raw", "line_no").alias("raw")] if with_raw else []
+    rows = with_head(df.groupBy("masked").agg(*_collapsed(), *carried), options.prefix_tokens)
+    return materialize(rows, "collapsed", lines=F.sum("n"), raw_bytes=F.sum("raw_bytes"))
 
 
 def mine_collapsed(collapsed: DataFrame, options: Mining = Mining()) -> Model:
@@ -467,7 +474,17 @@ def extend_model(df: DataFrame, model: Model, options: Mining = Mining()) -> tup
     Masked lines seen before keep their cluster; new ones go through the same greedy merge with the
     stored clusters in front. The second result holds the assignments of the new masked lines.
     """
-    collapsed = collapsed_table(df, options).df
+    return extend_collapsed(collapsed_table(df, options).df, model, options)
+
+
+def extend_collapsed(
+    collapsed: DataFrame, model: Model, options: Mining = Mining(), last: int | None = None
+) -> tuple[Model, Table]:
+    """``extend_model`` on the result of ``collapsed_table``.
+
+    The model may be only the part that the lines can touch (see ``touched_leaves``); then ``last`` must be the
+    highest cluster id of the whole one.
+    """
     past = model.assignments.df.select("masked", "leader_line")
     seen = collapsed.join(past, "masked")
     unseen = collapsed.join(past, "masked", "left_anti")
@@ -492,7 +509,8 @@ def extend_model(df: DataFrame, model: Model, options: Mining = Mining()) -> tup
         ),
         "clusters",
     ).df
-    last = clusters.agg(F.max("cluster_id")).first()[0] or 0
+    if last is None:
+        last = clusters.agg(F.max("cluster_id")).first()[0] or 0
     old = clusters.filter(F.col("cluster_id").isNotNull())
     new = dense_ids(clusters.filter(F.col("cluster_id").isNull()).drop("cluster_id"), "leader_line", "cluster_id", last)
     templates = materialize(old.unionByName(new), "templates")
@@ -500,6 +518,14 @@ def extend_model(df: DataFrame, model: Model, options: Mining = Mining()) -> tup
     return Model(templates, Table(model.assignments.df.unionByName(fresh.df)), children), fresh
 
 
+def touched_leaves(collapsed: DataFrame, assignments: DataFrame, children: DataFrame, options: Mining = Mining()) -> DataFrame:
+    """The leaves whose clusters a chunk can join or change: those of its lines seen before, and of its new ones."""
+    seen = collapsed.join(assignments.select("masked", "leaf"), "masked").select("leaf")
+    unseen = collapsed.join(assignments.select("masked"), "masked", "left_anti")
+    routed, _ = route(unseen.drop("raw_bytes"), children, options.prefix_tokens, options.max_children)
+    return seen.union(routed.select("leaf")).distinct()
+
+
 def assign_templates(df: DataFrame, model: Model, online: bool = False, parameters: bool = False) -> DataFrame:
     """Add ``template`` and ``cluster_id`` to every ``(line_no, masked, …)`` row.
 

@@ -12,7 +12,7 @@ from tracegrain.functions.minhash import banding
 from tracegrain.operators.dedup import first_wins, with_bands
 from tracegrain.operators.features import feature_columns, with_cluster_freq
 from tracegrain.operators.forest import CONTAMINATION, score, train_forest
-from tracegrain.operators.report import one_row, run_report, stage_ledger
+from tracegrain.operators.report import run_report, stage_ledger
 from tracegrain.operators.tables import lookup_join, materialize
 from tracegrain.operators.templates import (
     Mining,
@@ -27,14 +27,16 @@ from tracegrain.sources.scored import stored_bytes, write_scored
 
 @dataclass(frozen=True)
 class Analysis:
-    """``scored`` has one row per kept line; ``counts`` are one-row frames for the reports."""
+    """``scored`` has one row per kept line; ``counts`` are the totals for the reports, observed on the way."""
 
     scored: DataFrame
     model: Model
-    counts: dict[str, tuple[DataFrame, str]]
+    counts: dict[str, int]
 
-    def totals(self, **more: tuple[DataFrame, str]) -> DataFrame:
-        return one_row(**self.counts, **more)
+    def totals(self, **more: int) -> DataFrame:
+        values = {name: int(value or 0) for name, value in (self.counts | more).items()}
+        spark = self.scored.sparkSession
+        return spark.createDataFrame([tuple(values.values())], ", ".join(f"{name} bigint" for name in values))
 
 
 def analyze(
@@ -48,12 +50,13 @@ def analyze(
 ) -> Analysis:
     """Analyse ``line_no, raw`` rows.
 
-    Dedup compares templates, and of equal templates only the first line can survive. So the lines
-    themselves are read twice only: once to collapse them, once to fetch the lines that were kept.
+    Dedup compares templates, and of equal templates only the first line can survive. The first line of every masked
+    text comes along when lines are collapsed, so they are read once and never moved by their number.
     ``freq_source="raw"`` counts the lines of a cluster before instead of after dedup.
     """
-    collapsed = collapsed_table(with_mask(lines), mining).df
-    model = mine_collapsed(collapsed, mining)
+    before = collapsed_table(with_mask(lines), mining, with_raw=True)
+    collapsed = before.df
+    model = mine_collapsed(collapsed.drop("raw"), mining)
     lookup = template_lookup(model, online).df
     firsts = materialize(
         lookup.groupBy("template").agg(
@@ -65,7 +68,8 @@ def analyze(
     bands = with_bands(firsts.df, "template", threshold, num_perm)
     kept = first_wins(bands, banding(threshold, num_perm)[0])
     survivors = materialize(firsts.df.join(kept.df.select("line_no"), "line_no", "left_semi"), "survivors")
-    rows = lookup_join(lines.select("line_no", "raw"), survivors, ["line_no"], "inner")
+    first_lines = collapsed.select(F.col("first_line").alias("line_no"), "raw")
+    rows = lookup_join(first_lines, survivors, ["line_no"], "inner")
     if freq_source == "raw":
         sizes = model.templates.narrowed("cluster_id", F.col("n").alias("cluster_freq"))
         rows = lookup_join(rows, sizes, ["cluster_id"], "left", "cluster_freq")
@@ -78,24 +82,16 @@ def analyze(
         scored = featured.df.withColumns(
             {"anomaly_score": F.lit(None).cast("double"), "is_anomaly": F.lit(None).cast("boolean")}
         )
-    scored = materialize(scored, "scored").df
-    before = collapsed.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("lines"), F.coalesce(F.sum("raw_bytes"), F.lit(0)).alias("bytes")
-    )
-    after = scored.agg(
-        F.count(F.lit(1)).alias("kept"),
-        F.coalesce(F.sum(F.octet_length("raw")), F.lit(0)).alias("bytes"),
-        F.count_if("is_anomaly").alias("anomalies"),
-    )
+    after = materialize(scored, "scored", raw_bytes=F.sum(F.octet_length("raw")), anomalies=F.count_if("is_anomaly"))
     counts = {
-        "lines": (before, "lines"),
-        "raw_bytes": (before, "bytes"),
-        "unique_templates": (firsts.df.agg(F.count(F.lit(1)).alias("n")), "n"),
-        "kept": (after, "kept"),
-        "kept_raw_bytes": (after, "bytes"),
-        "anomalies": (after, "anomalies"),
+        "lines": before.observed["lines"],
+        "raw_bytes": before.observed["raw_bytes"],
+        "unique_templates": firsts.rows,
+        "kept": after.rows,
+        "kept_raw_bytes": after.observed["raw_bytes"],
+        "anomalies": after.observed["anomalies"],
     }
-    return Analysis(scored, model, counts)
+    return Analysis(after.df, model, counts)
 
 
 @dataclass(frozen=True)
@@ -111,5 +107,5 @@ def run(lines: DataFrame, output_dir: str, **options) -> Run:
     start = time.time()
     analysis = analyze(lines, **options)
     path = write_scored(analysis.scored, output_dir)
-    totals = analysis.totals(stored_bytes=(stored_bytes(lines.sparkSession, path), "stored_bytes"))
+    totals = analysis.totals(stored_bytes=stored_bytes(lines.sparkSession, path).first()["stored_bytes"])
     return Run(path, analysis, stage_ledger(totals), run_report(totals, time.time() - start))

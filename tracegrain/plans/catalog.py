@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracegrain.functions import minhash as mh
 from tracegrain.functions import text as tx
-from tracegrain.operators import dedup, explore, features, forest, numbering, report
+from tracegrain.operators import dedup, explore, features, forest, numbering, report, search_index, sketches
 from tracegrain.operators import templates as tm
 from tracegrain.operators.tables import Table, lookup_join, materialize, new_path
 from tracegrain.plans.analyze import analyze, run
@@ -31,6 +31,7 @@ from tracegrain.plans.inputs import (
 from tracegrain.sources import logs
 from tracegrain.sources import scored as stored
 from tracegrain.streaming.dedup import dedup_stream
+from tracegrain.streaming.logs import stream_log_lines
 from tracegrain.streaming.templates import stream_templates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -343,6 +344,25 @@ def _(spark, sf):
     return tm.unique_templates(numbering.assign_chunks(templated(spark, sf)), "chunk_id")
 
 
+@query(
+    "template_sketches",
+    with_ctes(
+        """select line_no // 500 % 8 as part, count(distinct template) as unique_templates, true as within_5_pct
+from templated group by line_no // 500 % 8""",
+        "templated",
+    ),
+)
+def _(spark, sf):
+    """Distinct templates from sketches per chunk, merged over every eighth chunk, next to the exact numbers."""
+    rows = materialize(numbering.assign_chunks(templated(spark, sf)), "chunks").df
+    part = (F.col("chunk_id") % 8).alias("part")
+    merged = sketches.merged_templates(materialize(sketches.template_sketches(rows, "chunk_id"), "sketches").df, part)
+    exact = tm.unique_templates(rows.withColumn("part", part), "part")
+    near = F.abs(F.col("estimate") - F.col("unique_templates")) <= 0.05 * F.col("unique_templates")
+    both = exact.join(merged.withColumnRenamed("unique_templates", "estimate"), "part")
+    return both.select("part", "unique_templates", near.alias("within_5_pct"))
+
+
 def _halves(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     middle = rows.agg(F.floor(F.avg("line_no")).alias("m")).first()["m"]
     return rows.filter(F.col("line_no") <= middle), rows.filter(F.col("line_no") > middle)
@@ -355,21 +375,39 @@ def _(spark, sf):
     return model.templates.df.select("template", "n", "first_line", "cluster_id")
 
 
-def _as_stream(spark: SparkSession, lines: DataFrame) -> DataFrame:
-    """The lines as a stream of two micro-batches, in order."""
+def _in_two_batches(spark: SparkSession, lines: DataFrame, start: Callable[[DataFrame], object]) -> None:
+    """Runs a stream over the first half of the lines, and starts it again when the second half has come."""
     path = new_path(spark, "stream-source")
     for part in _halves(lines):
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        part.write.mode("append").parquet(path)
+        source = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1_000_000).parquet(path)
+        start(source).awaitTermination()
 
 
 @query("stream_templates", _ASSIGNED)
 def _(spark, sf):
     out, state, check = (new_path(spark, name) for name in ("stream-out", "stream-state", "stream-check"))
-    stream_templates(_as_stream(spark, log_lines(spark, sf)), state, out, check).awaitTermination()
+    _in_two_batches(spark, log_lines(spark, sf), lambda source: stream_templates(source, state, out, check))
     return spark.read.parquet(out).select("line_no", "raw", "template", "cluster_id")
 
 
+@query(
+    "stream_log_lines",
+    with_ctes("select row_number() over (order by line_no) - 1 as line_no, raw from log", "log"),
+)
+def _(spark, sf):
+    """Text files that come in two lots, numbered on from where the first ended."""
+    path, out, state, check = (new_path(spark, name) for name in ("stream-text", "stream-out", "stream-state", "stream-check"))
+
+    def store(lines: DataFrame, batch_id: int) -> None:
+        lines.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    for part in _halves(log_lines(spark, sf)):
+        part.orderBy("line_no").select("raw").write.mode("append").text(path)
+        stream_log_lines(spark, path, state, check, store, 1_000_000).awaitTermination()
+    return spark.read.parquet(out).select("line_no", "raw")
+
+
 # --- aggregations and reports --------------------------------------------------------------------
 
 
@@ -513,16 +551,33 @@ select 1 as stage, lines as lines_in, lines as lines_out, null::bigint as unique
   null::bigint as entries_removed, 0.0::double as reduction_pct, bytes + lines - 1 as size_after_bytes from stages
 union all select 2, lines, lines, kept, null, 0.0, null from stages
 union all select 3, lines, kept, null, lines - kept, round((1 - kept / lines) * 100, 1), kept_bytes + kept - 1 from stages
-union all select 4, kept, kept, null, null, 0.0, null from stages"""
+union all select 4, kept, kept, null, null, 0.0, null from stages
+union all select 5, kept, kept, null, null, null, null from stages"""
 
 
 @query("stage_counts", with_ctes(_COUNTS, "firsts").replace("\nwith stages", ", stages"))
 def _(spark, sf):
     """The part of the ledger that does not depend on scores and file sizes."""
     ledger = run(log_lines(spark, sf), new_path(spark, "stored")).ledger
-    return ledger.filter("stage < 5").select(
-        "stage", "lines_in", "lines_out", "unique_templates", "entries_removed", "reduction_pct", "size_after_bytes"
-    )
+    sized = lambda name: F.when(F.col("stage") < 5, F.col(name)).alias(name)
+    counts = "stage", "lines_in", "lines_out", "unique_templates", "entries_removed"
+    return ledger.select(*counts, sized("reduction_pct"), sized("size_after_bytes"))
+
+
+@query(
+    "report_counts",
+    with_ctes(
+        """select lines, kept as total_records, size as raw_size_bytes, round(size / 1048576, 4) as raw_size_mb,
+  round((1 - kept / lines) * 100, 1) as dedup_reduction_pct
+from (select (select count(*) from log) as lines, (select count(*) from firsts) as kept,
+  (select cast(sum(strlen(raw)) as bigint) + count(*) - 1 from log) as size)""",
+        "firsts",
+    ),
+)
+def _(spark, sf):
+    """The part of the run report that does not depend on scores and file sizes."""
+    report_row = run(log_lines(spark, sf), new_path(spark, "stored")).report
+    return report_row.select("lines", "total_records", "raw_size_bytes", "raw_size_mb", "dedup_reduction_pct")
 
 
 @query("stage_ledger")
@@ -582,6 +637,19 @@ def _(spark, sf):
     return dedup.near_dup_pairs(text_lines(spark, sf), "raw")
 
 
+@query(
+    "near_dup_pairs_verified",
+    kept_ctes()
+    + """, sets as (select line_no, list_distinct(regexp_extract_all(lower(raw), '\\S+')) as ws from lines),
+found as (select distinct a.line_no as lo, b.line_no as hi from bands a join kept using (line_no)
+  join bands b on a.band = b.band and a.key = b.key and a.line_no < b.line_no)
+select lo, hi from found join sets a on a.line_no = lo join sets b on b.line_no = hi
+where len(list_intersect(a.ws, b.ws)) >= 0.8::double * len(list_distinct(list_concat(a.ws, b.ws)))""",
+)
+def _(spark, sf):
+    return dedup.near_dup_pairs(text_lines(spark, sf), "raw", verify=True)
+
+
 _KEPT = kept_ctes() + " select line_no, raw from lines join kept using (line_no)"
 
 
@@ -614,7 +682,7 @@ def _(spark, sf):
 @query("dedup_stream", _KEPT)
 def _(spark, sf):
     out, state, check = (new_path(spark, name) for name in ("stream-out", "stream-state", "stream-check"))
-    dedup_stream(_as_stream(spark, text_lines(spark, sf)), state, out, check, text="raw").awaitTermination()
+    _in_two_batches(spark, text_lines(spark, sf), lambda source: dedup_stream(source, state, out, check, text="raw"))
     return spark.read.parquet(out).select("line_no", "raw")
 
 
@@ -659,6 +727,37 @@ def _(spark, sf):
     return explore.search(scored(spark, sf), "Guest_4", literal=True)
 
 
+_STORED_ROWS = """select line_no, raw, template, cluster_id, cast(anomaly_score as float) as anomaly_score, is_anomaly,
+  cast(log_level as tinyint) as log_level from scored"""
+
+
+def _indexed(spark: SparkSession, sf: str, text: str, literal: bool = False) -> DataFrame:
+    path = stored.write_scored(scored(spark, sf), new_path(spark, "stored"), True, keep_line_no=True)
+    index = new_path(spark, "search-index")
+    search_index.build_index(spark, path, index)
+    return search_index.search_stored(spark, path, index, text, literal).rows
+
+
+@query(
+    "search_indexed",
+    with_ctes(
+        f"""{_STORED_ROWS} where regexp_matches(raw, 'guest_31[0-4]\b|sensor says 4\d+%', 'i')
+  or regexp_matches(template, 'guest_31[0-4]\b|sensor says 4\d+%', 'i')""",
+        "scored",
+    ),
+)
+def _(spark, sf):
+    return _indexed(spark, sf, r"guest_31[0-4]\b|sensor says 4\d+%")
+
+
+@query(
+    "search_indexed_literal",
+    with_ctes(f"{_STORED_ROWS} where contains(lower(raw), 'guest_4') or contains(lower(template), 'guest_4')", "scored"),
+)
+def _(spark, sf):
+    return _indexed(spark, sf, "Guest_4", literal=True)
+
+
 _EXPLORE = """ where log_level = 2 and not is_anomaly and (regexp_matches(raw, 'late', 'i')
   or regexp_matches(template, 'late', 'i'))"""
 
@@ -809,6 +908,38 @@ def _(spark, sf):
     return analyze(log_lines(spark, sf)).scored.select(_SCORED[:5])
 
 
+@query(
+    "upload_to_lists",
+    with_ctes(
+        f"""select 'explore' as list, cast(row_number() over (order by line_no) as integer) as place, substr(raw, 1, 55) as text,
+  n from (select line_no, raw, cast(cluster_id as bigint) as n from numbered join firsts_numbered using (line_no) order by line_no limit 15)
+union all
+select 'levels', cast(log_level + 1 as integer), {NAME_SQL}, count(*) from (select {LEVEL_SQL} as log_level
+  from numbered join firsts_numbered using (line_no)) group by log_level""",
+        "clustered",
+        "firsts",
+    ).replace(
+        "\nselect 'explore'",
+        """,
+numbered as (select row_number() over (order by line_no) - 1 as line_no, line_no as old, raw, cluster_id from clustered),
+firsts_numbered as (select numbered.line_no from numbered join firsts on numbered.old = firsts.first_line)
+select 'explore'""",
+        1,
+    ),
+)
+def _(spark, sf):
+    """From a text file to the lists of a view: read, analyse, store, read back."""
+    path = new_path(spark, "log-text")
+    log_lines(spark, sf).orderBy("line_no").select("raw").write.text(path)
+    analysed = analyze(logs.read_uploaded_text(spark, path)).scored
+    rows = stored.read_scored(spark, stored.write_scored(analysed, new_path(spark, "stored"), True, keep_line_no=True), numbered=True)
+    first = explore.first_rows(rows).select("line_no", F.substring("raw", 1, 55).alias("text"), F.col("cluster_id").cast("bigint").alias("n"))
+    place = F.row_number().over(Window.orderBy("line_no"))  # fifteen rows
+    listed = first.select(F.lit("explore").alias("list"), place.alias("place"), "text", "n")
+    levels = report.level_distribution(rows).filter("n > 0")
+    return listed.unionByName(levels.select(F.lit("levels").alias("list"), (F.col("code") + 1).alias("place"), F.col("level").alias("text"), "n"))
+
+
 @query("analyze_documents")
 def _(spark, sf):
     return analyze(text_lines(spark, sf)).scored.select(_SCORED)

@@ -7,42 +7,57 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tracegrain.operators.tables import Table, materialize
-from tracegrain.operators.templates import Model, assign_templates, extend_model, with_mask
-from tracegrain.streaming.batches import BatchTable
+from tracegrain.operators.templates import (
+    Mining,
+    Model,
+    assign_templates,
+    collapsed_table,
+    extend_collapsed,
+    leaf_key,
+    touched_leaves,
+    with_mask,
+)
+from tracegrain.streaming.state import StateTable
 
 _TEMPLATES = "leader_line bigint, cluster_id int, leaf string, template string, n bigint, first_line bigint"
-_ASSIGNMENTS = "masked string, first_line bigint, n bigint, leader_line bigint, emitted string"
+_ASSIGNMENTS = "masked string, first_line bigint, n bigint, leader_line bigint, emitted string, leaf string, route string"
 _CHILDREN = "node string, word string, first_line bigint, n bigint"
 
 
 class TemplateState:
-    """The model of a stream, stored as changes per batch."""
+    """The model of a stream by leaves, so that a batch reads the leaves it touches.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.templates = BatchTable(spark, f"{path}/templates", _TEMPLATES)
-        self.assignments = BatchTable(spark, f"{path}/assignments", _ASSIGNMENTS)
-        self.children = BatchTable(spark, f"{path}/children", _CHILDREN)
-
-    def load(self, spark: SparkSession, batch_id: int) -> Model:
-        def newest(table: BatchTable, keys: list[str]) -> Table:
-            rows = table.before(spark, batch_id)
-            values = [c for c in rows.columns if c not in keys and c != "batch_id"]
-            newest_row = F.max_by(F.struct(*values), "batch_id").alias("_row")
-            return materialize(rows.groupBy(*keys).agg(newest_row).select(*keys, "_row.*"), "state")
-
-        assignments = Table(self.assignments.before(spark, batch_id).drop("batch_id"))
-        return Model(newest(self.templates, ["leader_line"]), assignments, newest(self.children, ["node", "word"]))
+    Clusters lie in the bucket of their leaf, masked lines in that of their leading words.
+    """
 
-    def save(self, old: Model, new: Model, fresh: Table, batch_id: int) -> None:
+    def __init__(self, spark: SparkSession, path: str):
+        self.templates = StateTable(spark, f"{path}/templates", _TEMPLATES, ["leaf"], newest_by=["leader_line"])
+        self.assignments = StateTable(spark, f"{path}/assignments", _ASSIGNMENTS, ["route"])
+        self.children = StateTable(spark, f"{path}/children", _CHILDREN, ["node"], newest_by=["node", "word"])
+
+    def load(self, spark: SparkSession, batch_id: int, collapsed: DataFrame, options: Mining = Mining()) -> Model:
+        """The part of the model before a batch that its lines can touch."""
+        routes = collapsed.select(leaf_key("masked", options.prefix_tokens).alias("route"))
+        assignments = materialize(self.assignments.before(spark, batch_id, routes), "state")
+        children = materialize(self.children.before(spark, batch_id), "state")
+        leaves = touched_leaves(collapsed, assignments.df, children.df, options)
+        templates = materialize(self.templates.before(spark, batch_id, leaves), "state")
+        return Model(templates, assignments, children)
+
+    def last_id(self, spark: SparkSession, batch_id: int) -> int:
+        """The highest cluster id before a batch."""
+        return max((run.get("last", 0) for run in self.templates.runs(spark, batch_id)), default=0)
+
+    def save(self, old: Model, new: Model, fresh: Table, batch_id: int, options: Mining = Mining()) -> None:
+        spark = new.templates.df.sparkSession
         changed = new.templates.df.join(old.templates.df, ["leader_line", "template", "n"], "left_anti")
         words = new.children.df.join(old.children.df, ["node", "word", "first_line"], "left_anti")
-        self.templates.write(changed.select(*_names(_TEMPLATES)), batch_id)
-        self.assignments.write(fresh.df.select(*_names(_ASSIGNMENTS)), batch_id)
-        self.children.write(words.select(*_names(_CHILDREN)), batch_id)
-
-
-def _names(schema: str) -> list[str]:
-    return [field.split()[0] for field in schema.split(", ")]
+        leaves = new.templates.df.select("leader_line", "leaf")
+        rows = fresh.df.join(leaves, "leader_line").withColumn("route", leaf_key("masked", options.prefix_tokens))
+        last = new.templates.df.agg(F.max("cluster_id")).first()[0] or 0
+        self.children.write(words, batch_id)
+        self.assignments.write(rows, batch_id)
+        self.templates.write(changed, batch_id, last=max(last, self.last_id(spark, batch_id)))
 
 
 def stream_templates(lines: DataFrame, state_dir: str, output_dir: str, checkpoint_dir: str, **trigger) -> StreamingQuery:
@@ -55,8 +70,9 @@ def stream_templates(lines: DataFrame, state_dir: str, output_dir: str, checkpoi
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         masked = with_mask(batch)
-        model = state.load(batch.sparkSession, batch_id)
-        extended, fresh = extend_model(masked, model)
+        collapsed = collapsed_table(masked).df
+        model = state.load(batch.sparkSession, batch_id, collapsed)
+        extended, fresh = extend_collapsed(collapsed, model, last=state.last_id(batch.sparkSession, batch_id))
         out = assign_templates(masked, extended)
         out.write.mode("overwrite").parquet(f"{output_dir}/batch_id={batch_id}")
         state.save(model, extended, fresh, batch_id)
