@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from tests import oracle
@@ -25,8 +26,9 @@ def test_query_against_plain_python(spark):
     assert _found(queries.op5_jaccard(spark, SF_DIR)) == _expected(rows)
 
 
-@pytest.mark.parametrize("piece", [5, 1000])
-def test_groups_of_near_copies(spark, piece):
+@pytest.mark.parametrize("piece, small", [(5, 64), (1000, 64), (5, 3)])
+def test_groups_of_near_copies(spark, monkeypatch, piece, small):
+    monkeypatch.setattr(jaccard, "SMALL", small)
     pick = random.Random(piece)
     word = lambda: "".join(pick.choice("abcdefgh") for _ in range(4))
     rows = []
@@ -55,3 +57,30 @@ def test_odd_tables(spark):
     kept = jaccard.keep_first(df)
     assert kept.columns == df.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3, 5, 6, 8, 9]
+
+
+def test_sketches_never_rule_out_a_link():
+    pick = np.random.default_rng(3)
+    for _ in range(300):
+        a = np.unique(pick.integers(0, 2**63, int(pick.integers(1, 900)), dtype=np.uint64))
+        b = np.unique(np.concatenate([a[pick.random(len(a)) < 0.9], pick.integers(0, 2**63, int(pick.integers(0, 40)), dtype=np.uint64)]))
+        one, two = (np.frombuffer(jaccard.sketch(x), dtype=np.uint64) for x in (a, b))
+        assert np.bitwise_count(one ^ two).sum() <= len(np.setxor1d(a, b))
+
+
+def test_shared_passages_and_chance_shingles(spark, monkeypatch):
+    """Short vocabularies: rare shingles are shared by chance, a passage by all, and few documents link."""
+    pick = random.Random(9)
+    words = [f"w{i}" for i in range(14)]
+    passage = " ".join(pick.choice(words) for _ in range(30))
+    rows = [(i, " ".join(pick.choice(words) for _ in range(60)) + " " + passage) for i in range(150)]
+    for i in range(0, 40, 2):
+        other = rows[i][1].split()
+        other[pick.randrange(50)] = "x"
+        rows.append((1000 + i, " ".join(other)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    expected = _expected(rows, 3, 80)
+    assert _found(jaccard.link(df, 80)) == expected
+    for small, piece in ((2, 1_000), (8, 4)):
+        monkeypatch.setattr(jaccard, "SMALL", small)
+        assert _found(jaccard.link(df, 80, piece=piece)) == expected

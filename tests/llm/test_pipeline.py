@@ -32,7 +32,7 @@ def test_stages(spark):
     docs = written(stages["n-gram Jaccard join"](spark, known, SF_DIR), "stage")
     assert docs.columns == columns and _rows(docs) == expected and len(expected) < len(rows)
 
-    kept = [e[4].decode("utf-8", "ignore") for e in plain.byte_removals([r[1] for r in expected], 400)]
+    kept = [e[4].decode("utf-8", "ignore") for e in plain.byte_removals([r[1] for r in expected], corpus_pipeline.REPEAT_BYTES)]
     expected = sorted(((d, t, *more[:-1], len(t)) for (d, _, *more), t in zip(expected, kept)), key=repr)
     docs = written(stages["suffix-array dedup"](spark, docs, SF_DIR), "stage")
     assert docs.columns == columns and _rows(docs) == expected

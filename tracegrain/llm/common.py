@@ -33,12 +33,15 @@ _SCRATCH: list[list[DataFrame]] = []
 
 @contextlib.contextmanager
 def scratch() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
-    """Deletes at its end what is ``written`` inside, but for the tables stored by the function it gives."""
+    """Deletes at its end what is ``written`` inside, but for the tables handed to the function it gives.
+
+    That function stores a DataFrame, or takes a table that is stored already.
+    """
     made: list[DataFrame] = []
     _SCRATCH.append(made)
 
     def keep(df: DataFrame, label: str) -> DataFrame:
-        table = written(df, label)
+        table = df if any(t is df for t in made) else written(df, label)
         made[:] = [t for t in made if t is not table]
         if len(_SCRATCH) > 1:
             _SCRATCH[-2].append(table)

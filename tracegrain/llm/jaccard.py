@@ -4,18 +4,19 @@ Two documents link when their shingle sets overlap by a given share of the union
 the start, only one document of each goes on. The search is prepared by the prefix rule, twice. By the order of their
 hashes, two linking sets have k shingles in common among their first n - ceil(share * n) + k. These are counted over all
 documents, and by the order of these counts, rarest first, one of the first n - ceil(share * n) + 1 of them is shared again.
-Passages that many documents share so find no candidates, and documents with enough shingles of their own drop out. Documents that
-share a rare shingle at a compatible size form candidate groups; nothing but shingle names and ids is moved for
-that, and only members of a group have their sets shuffled.
+Passages that many documents share so find no candidates, and documents with enough shingles of their own drop out. Documents
+that share a rare shingle at a compatible size, and whose sketches do not differ too much, are candidates of each other;
+in the rare case that very many share it, all of them are. Candidates form groups; nothing but shingle names,
+sketches and ids is moved for that, and only members of a group have their sets shuffled.
 
 Inside a group every document is a query to the inverted lists of the group (DivideSkip): the short lists are
 merged by counting, documents below the count that the long lists could still make up for are skipped, and the long
 lists are probed by binary search for the rest. Documents that reach the required overlap are retained and
 checked exactly. A pair whose documents are known to be connected needs no probing. A large group is cut into pieces
 that are searched apart; then one document of every component found stands for it and the search is
-repeated among these while that merges anything; last, wherever a shared shingle still brings documents of
-several components together, those outside the largest of them are searched among all that share it, so no link
-between components is lost.
+repeated among these while that merges anything; last, candidates that are still in different components are compared,
+and where very many documents of several components share a rare shingle, those outside the largest of them
+are searched among all that share it, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -33,6 +34,11 @@ PERCENT = 90
 # Documents of a piece of a candidate group, and shingles of all of them.
 PIECE = 1_024
 PIECE_SHINGLES = 1 << 19
+# Documents of a bucket that are compared by their sketches in one task; larger ones go on as they are.
+SMALL = 64
+# Bits of a sketch, and tasks that small buckets are dealt to for each shuffle partition.
+SKETCH = 512
+DEALT = 4
 # Texts whose sets a task holds at a time.
 SLICE = 256
 SEED = 23
@@ -62,8 +68,17 @@ def asked(n: np.ndarray | int, percent: int = PERCENT):
     return np.maximum((n - needed(n, percent)) // 2, 1)
 
 
+def sketch(names: np.ndarray) -> bytes:
+    """For every value that the names have in their last bits, whether their number is odd.
+
+    Two sketches differ in no more bits than the sets have shingles that only one of them holds.
+    """
+    odd = np.bincount((names & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def _sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n, two names of the whole set, and its hash prefix: the shingles of the smallest names."""
+    """doc_id, n, two names of the whole set, its sketch, and its hash prefix: the shingles of the smallest names."""
 
     def cut(frames):
         shingler = Shingler(size)
@@ -75,11 +90,11 @@ def _sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 prefix = names[: n - needed(n, percent) + asked(n, percent)]
                 with np.errstate(over="ignore"):
                     whole = [int(mix64(names ^ np.uint64(s)).sum().view(np.int64)) for s in (0x5851F42D, 0x14057B7E)]
-                rows.append((doc, n, *whole, prefix.tobytes()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "name_a", "name_b", "prefix"])
+                rows.append((doc, n, *whole, sketch(names), prefix.tobytes()))
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "name_a", "name_b", "sketch", "prefix"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInPandas(cut, f"doc_id {kind}, n bigint, name_a bigint, name_b bigint, prefix binary")
+    return docs.mapInPandas(cut, f"doc_id {kind}, n bigint, name_a bigint, name_b bigint, sketch binary, prefix binary")
 
 
 def _rarest(rows: DataFrame, percent: int) -> DataFrame:
@@ -106,7 +121,7 @@ def _rarest(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _buckets(classes: DataFrame, percent: int) -> DataFrame:
-    """bucket, id and ``first`` (the smallest id) of documents that share a rare prefix shingle at compatible sizes."""
+    """bucket, id, n and number of members of documents that share a rare prefix shingle: a stored table."""
     kind = classes.schema["rep"].dataType.simpleString()
 
     def names(frames):
@@ -124,18 +139,59 @@ def _buckets(classes: DataFrame, percent: int) -> DataFrame:
     every = written(classes.select("rep", "n", "prefix").mapInPandas(names, f"name bigint, rep {kind}, n bigint"), "shingles")
     rows = _rarest(every, percent)
     discard(every)
-    # Sizes by steps of the share: linking sets lie in the same step or in neighbouring ones.
-    step = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent)) + 1e-9)
-    stepped = rows.withColumn("step", F.explode(F.array(step, step + 1)))
-    first = stepped.groupBy("name", "step").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b")
-    first = written(first.select("name", "step", F.col("a").alias("first")), "shingle-firsts")
-    stars = stepped.join(first, ["name", "step"])
+    sizes = rows.groupBy("name").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     # Two shingles under one number would only bring more documents together.
-    out = written(stars.select(F.xxhash64("name", "step").alias("bucket"), F.col("rep").alias("id"), "first"), "buckets")
-    discard(rows, first)
+    out = rows.join(sizes, "name").select(F.xxhash64("name").alias("bucket"), F.col("rep").alias("id"), "n", "members")
+    out = written(out, "buckets")
+    discard(rows)
     return out
 
 
+def _near(buckets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of documents of one small bucket whose sizes and sketches allow a link: a stored table."""
+    sketches = classes.select(F.col("rep").alias("id"), "n", "sketch")
+    small = buckets.filter(F.col("members") <= SMALL).select("bucket", "id", "n").join(sketches, ["id", "n"])
+    kind = classes.schema["rep"].dataType.simpleString()
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["bucket", "id"], kind="stable")
+        ids, sizes, bucket = (frame[c].to_numpy() for c in ("id", "n", "bucket"))
+        bits = np.frombuffer(b"".join(frame["sketch"]), dtype=np.uint64).reshape(len(frame), -1)
+        found = []
+        # Each row against the one so many places behind it, as long as any bucket reaches that far.
+        for apart in range(1, len(frame)):
+            low = np.flatnonzero(bucket[apart:] == bucket[:-apart])
+            if not len(low):
+                break
+            high = low + apart
+            least, most = np.minimum(sizes[low], sizes[high]), np.maximum(sizes[low], sizes[high])
+            # With so many shingles in common the sets differ in at most the rest of both.
+            shared = -(-percent * (sizes[low] + sizes[high]) // (100 + percent))
+            apart_at_most = sizes[low] + sizes[high] - 2 * shared
+            differ = np.bitwise_count(bits[low] ^ bits[high]).sum(axis=1, dtype=np.int64)
+            fits = (100 * least >= percent * most) & (differ <= apart_at_most) & (ids[low] != ids[high])
+            found.append((ids[low[fits]], ids[high[fits]]))
+        a, b = (np.concatenate([f[k] for f in found]) if found else ids[:0] for k in (0, 1))
+        return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+
+    tasks = DEALT * int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = small.withColumn("task", F.pmod(F.col("bucket"), F.lit(tasks)))
+    return written(dealt.groupBy("task").applyInPandas(compare, f"a {kind}, b {kind}").distinct(), "near-pairs")
+
+
+def _stars(buckets: DataFrame, percent: int) -> DataFrame:
+    """bucket, id and ``first`` (the smallest id) of documents of large buckets at compatible sizes.
+
+    Sizes go by steps of the share: linking sets lie in the same step or in neighbouring ones.
+    """
+    step = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent)) + 1e-9)
+    large = buckets.filter(F.col("members") > SMALL)
+    stepped = large.withColumn("step", F.explode(F.array(step, step + 1)))
+    first = stepped.groupBy("bucket", "step").agg(F.min("id").alias("first"), F.max("id").alias("_last")).filter("first < _last")
+    stars = stepped.join(first.drop("_last"), ["bucket", "step"])
+    return written(stars.select(F.xxhash64("bucket", "step").alias("bucket"), "id", "first"), "bucket-stars")
+
+
 def _with_sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
     """``members`` (id and further columns) with their sets as a stored table: id, names and those columns."""
     more = [c for c in members.columns if c != "id"]
@@ -238,10 +294,28 @@ def _dealt(rows: DataFrame, piece: int) -> DataFrame:
     return dealt.withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
 
 
-def _links(docs: DataFrame, members: DataFrame, buckets: DataFrame, size: int, percent: int, piece: int) -> DataFrame:
+def _checked(pairs: DataFrame, names: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets link, counted exactly."""
+    kinds = pairs.schema["a"].dataType.simpleString()
+    both = pairs.join(names.withColumnsRenamed({"id": "a", "names": "left"}), "a").join(names.withColumnsRenamed({"id": "b", "names": "right"}), "b")
+
+    def check(frames):
+        for frame in frames:
+            keep = []
+            for left, right in zip(frame["left"], frame["right"]):
+                left, right = np.frombuffer(left, dtype=np.uint64), np.frombuffer(right, dtype=np.uint64)
+                shared = len(np.intersect1d(left, right, assume_unique=True))
+                keep.append(100 * shared >= percent * (len(left) + len(right) - shared))
+            yield frame.loc[keep, ["a", "b"]]
+
+    return written(both.select("a", "b", "left", "right").mapInPandas(check, f"a {kinds}, b {kinds}"), "checked-pairs")
+
+
+def _links(docs: DataFrame, members: DataFrame, near: DataFrame, buckets: DataFrame, size: int, percent: int, piece: int) -> DataFrame:
     """Edges that connect whatever links connect; ``members`` are the rows (group, id, n) of the candidate groups.
 
-    Names and numbers are dealt first; sets move once they have their place.
+    Names and numbers are dealt first; sets move once they have their place. Candidates are ``near`` pairs and the documents of
+    one of the large ``buckets``.
     """
     sets = _with_sets(docs, written(_dealt(members, piece), "candidate-groups"), size)
     rows = sets.withColumn("label", F.col("id")).withColumn("query", F.lit(True))
@@ -250,7 +324,7 @@ def _links(docs: DataFrame, members: DataFrame, buckets: DataFrame, size: int, p
     if large.isEmpty():
         return links
     ids = large.select("group", "id", "n").distinct()
-    names = large.select("id", "names")
+    names = large.select("id", "names").dropDuplicates(["id"])
     while True:
         # One document of every component stands for it.
         heads = _dealt(_labelled(ids, links).filter("id = label"), piece)
@@ -258,8 +332,15 @@ def _links(docs: DataFrame, members: DataFrame, buckets: DataFrame, size: int, p
         more = _find_links(heads, ["group", "piece"], percent)
         if more.isEmpty():
             break
+        both = written(links.union(more), "links")
+        discard(links, more)
+        links = both
+    # Only candidates can link. A pair within one component has nothing left to find, and neither has such a bucket.
+    labels = written(_labelled(ids, links).select("id", "label").distinct(), "labels")
+    apart = near.join(labels.withColumnsRenamed({"id": "a", "label": "_a"}), "a").join(labels.withColumnsRenamed({"id": "b", "label": "_b"}), "b")
+    more = _checked(apart.filter("_a <> _b").select("a", "b"), names, percent)
+    if not more.isEmpty():
         links = written(links.union(more), "links")
-    # Only documents of one bucket can link. A bucket within one component has nothing left to find.
     placed = written(_labelled(ids, links).drop("group").join(buckets, "id"), "bucket-labels")
     place = F.xxhash64("id")
     kinds = placed.groupBy("bucket").agg(
@@ -303,19 +384,21 @@ def link(
 def _components(slim: DataFrame, percent: int, size: int, piece: int) -> DataFrame:
     sets = written(_sets(slim, size, percent), "shingle-sets")
     named = sets.filter("n > 0 and doc_id is not null")
-    by_set = named.groupBy("n", "name_a", "name_b").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
+    by_set = named.groupBy("n", "name_a", "name_b").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
     prefixes = written(by_set, "shingle-prefixes")
     # Prefixes are no longer needed once the buckets are there.
-    known = written(sets.drop("prefix"), "set-names")
+    known = written(sets.drop("prefix", "sketch"), "set-names")
     discard(sets)
     sets, buckets = known, _buckets(prefixes, percent)
     classes = written(prefixes.drop("prefix"), "shingle-classes")
     discard(prefixes)
-    groups = components(buckets.select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
+    near, stars = _near(buckets, classes, percent), _stars(buckets, percent)
+    discard(buckets)
+    groups = components(near.union(stars.select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()))
     groups = groups.select(F.col("node").alias("rep"), F.col("component").alias("group"))
     # Rows repeated under an id carry the same label, so they are never compared.
     members = classes.join(groups, "rep").groupBy("group", F.col("rep").alias("id")).agg(F.max("n").alias("n"))
-    found = components(_links(slim, members, buckets.select("bucket", "id"), size, percent, piece))
+    found = components(_links(slim, members, near, stars.select("bucket", "id"), size, percent, piece))
     known = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     known = known.select("n", "name_a", "name_b", F.coalesce("component", "rep").alias("component"))
     out = sets.join(known, ["n", "name_a", "name_b"], "left")

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracegrain.llm.common import checked_join, discard, marked, mix64, span_lists, written
+from tracegrain.llm.common import checked_join, discard, marked, mix64, scratch, span_lists, written
 
 LENGTH = 400
 TRIGGER = 8  # bytes of a trigger
@@ -274,14 +274,15 @@ def removals(
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
     base = docs.select(F.coalesce(F.col(id_col), F.lit(LAST)).cast("long").alias("id"), text, *kept)
     base = base.withColumn("h", F.xxhash64("text"))
-    keys = written(base.select("id", "h", F.md5("text").alias("whole")), "text-names")
-    firsts = keys.groupBy("whole").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    # Rows of texts that occur twice or more; the least of each stands for them in the corpus.
-    copies = keys.join(firsts, "whole").select("id", "h", (F.col("id") > F.col("least")).alias("later")).distinct()
-    copies = written(copies, "text-copies")
-    later = copies.filter("later").select("id", "h")
-    texts = checked_join(base, later, ["id", "h"], "left_anti")
-    spans = repeated_windows(texts, length, phrase)
+    with scratch() as keep_table:
+        keys = written(base.select("id", "h", F.md5("text").alias("whole")), "text-names")
+        firsts = keys.groupBy("whole").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        # Rows of texts that occur twice or more; the least of each stands for them in the corpus.
+        copies = keys.join(firsts, "whole").select("id", "h", (F.col("id") > F.col("least")).alias("later")).distinct()
+        copies = keep_table(copies, "text-copies")
+        later = copies.filter("later").select("id", "h")
+        texts = checked_join(base, later, ["id", "h"], "left_anti")
+        spans = keep_table(repeated_windows(texts, length, phrase), "window-runs")
     found = checked_join(base, copies.select("id", "h", F.lit(True).alias("copy")), ["id", "h"], "left")
     along = [f"keep_{i}" for i in range(len(keep))]
     found = checked_join(found, spans, ["id", "h"], "left").select("id", "text", "copy", "spans", *along)
@@ -300,10 +301,12 @@ def removals(
     return found.withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id")).cast(docs.schema[id_col].dataType))
 
 
-def stripped(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def stripped(
+    docs: DataFrame, length: int = LENGTH, phrase: int = PHRASE, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """``docs`` with the remaining text of every document; a column n_chars gets its length. No row is dropped."""
     along = tuple(c for c in docs.columns if c not in (id_col, text_col))
-    found = removals(docs, length, id_col=id_col, text_col=text_col, keep=along, with_text=True)
+    found = removals(docs, length, phrase, id_col, text_col, along, with_text=True)
     names = {id_col: "doc_id", text_col: "text"} | {c: f"keep_{i}" for i, c in enumerate(along)}
     columns = [F.col(names[c]).alias(c) for c in docs.columns]
     if "n_chars" in along:
