@@ -15,6 +15,10 @@ from tracegrain.llm.common import table, written
 # Near duplicates: shingles of five words, four fifths of the union in common.
 SHINGLE = 5
 PERCENT = 80
+# Repeated strings go from so many bytes on: fifty words of the shortest kind. Phrases are short enough that nearly
+# every such string holds several.
+REPEAT_BYTES = 240
+PHRASE_BYTES = 30
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without the byte strings that occur more than once; ``n_chars`` follows the text."""
-    return prefix_free.stripped(docs)
+    return prefix_free.stripped(docs, REPEAT_BYTES, PHRASE_BYTES)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
