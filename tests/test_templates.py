@@ -168,3 +168,23 @@ def test_postings_find_what_a_full_comparison_finds():
             clusters[best : best + 1] = [[a if a == b else "<*>" for a, b in zip(clusters[best], row)] if best < len(clusters) else row]
             plain.append(best)
         assert owner == plain and templates == [" ".join(c) for c in clusters]
+
+
+def test_unlike_lines_get_only_the_clusters_they_might_join(spark, lines, monkeypatch):
+    """A leaf of lines that have little in common: same clusters, and blocks are sent few of them."""
+    monkeypatch.setattr(tm, "BLOCK_LINES", 200)
+    rng = random.Random(12)
+    texts = ["go " + " ".join(f"w{rng.randrange(4000):x}q" for _ in range(5)) for _ in range(1_500)]
+    texts += [t.rsplit(" ", 1)[0] + " zz" for t in texts[:60]]
+    sent, real = [], tm._sent
+    monkeypatch.setattr(tm, "_sent", lambda *a: sent.append(real(*a)) or sent[-1])
+    masked = [r["masked"] for r in tm.with_mask(lines(texts)).orderBy("line_no").collect()]
+    assert mined(lines(texts)) == sequential(masked)
+    blocks = 1_560 // 200 + 1
+    assert sent[-1].count() < 0.7 * len(texts) * blocks / 2
+
+
+def test_blank_lines_in_blocks(spark, lines, monkeypatch):
+    monkeypatch.setattr(tm, "BLOCK_LINES", 3)
+    texts = [" " * i for i in range(20)] + ["a b"]
+    assert mined(lines(texts)) == sequential([r["masked"] for r in tm.with_mask(lines(texts)).orderBy("line_no").collect()])

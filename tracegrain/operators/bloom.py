@@ -1,8 +1,7 @@
-"""Blocked Bloom filters as small tables: built by an aggregation, asked by a join, merged by a union.
+"""Blocked Bloom filters as small tables: built by an aggregation, asked by a join.
 
-A filter has a power of two of 64-bit words. A key sets ``BITS`` bits in one of them, both chosen by its hash, so asking is
-one lookup and one comparison. A filter of fewer words is unfolded to more by repeating it, without its keys;
-so filters of any sizes can be merged.
+A filter has 64-bit words, as many as its keys need. A key sets ``BITS`` bits in one of them, both chosen by its hash, so asking
+is one lookup and one comparison.
 """
 
 from __future__ import annotations
@@ -12,17 +11,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracegrain.operators.tables import Table, materialize
+from tracegrain.operators.tables import materialize
 
 BITS = 6
-# Bits of a filter per key that it is made for; about one key in fifty that is not in it passes.
-BITS_PER_KEY = 12
+# Bits of a filter per key that it is made for; of the keys that are not in it fewer than one in a hundred pass.
+BITS_PER_KEY = 16
 SCHEMA = "word bigint, bits bigint"
 
 
 def words_for(keys: int) -> int:
-    """Words of a filter for so many keys: a power of two."""
-    return 1 << max(0, (keys * BITS_PER_KEY // 64 - 1).bit_length())
+    """Words of a filter for so many keys."""
+    return max(1, -(-keys * BITS_PER_KEY // 64))
 
 
 def _place(columns: list[str], words: int) -> Column:
@@ -54,31 +53,17 @@ class Bloom:
         marked = keys.select(_place(columns, words).alias("word"), _mask(columns).alias("bits"))
         return cls(marked.groupBy("word").agg(F.bit_or("bits").alias("bits")), words, tuple(columns))
 
-    def unfolded(self, words: int) -> DataFrame:
-        """The filter with more words."""
-        if words == self.words:
-            return self.df
-        copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(words // self.words - 1).cast("bigint")))
-        return self.df.select("word", "bits", copies.alias("_copy")).select((F.col("word") + F.col("_copy") * self.words).alias("word"), "bits")
 
-    @classmethod
-    def merged(cls, filters: list[Bloom]) -> Bloom:
-        """One filter that every key of any of them passes."""
-        words = max(f.words for f in filters)
-        df = filters[0].unfolded(words)
-        for f in filters[1:]:
-            df = df.unionByName(f.unfolded(words))
-        return cls(df.groupBy("word").agg(F.bit_or("bits").alias("bits")), words, filters[0].columns)
-
-    def possible(self, rows: DataFrame) -> DataFrame:
-        """The rows whose key may be in the filter: all that are, and a few others."""
-        columns = list(self.columns)
-        placed = rows.withColumns({"_word": _place(columns, self.words), "_mask": _mask(columns)})
-        known = materialize(self.df.select(F.col("word").alias("_word"), F.col("bits").alias("_bits")), "filter")
+def possible(rows: DataFrame, filters: list[Bloom]) -> DataFrame:
+    """The rows whose key may be in one of the filters: all that are, and a few others."""
+    out = rows.withColumn("_hit", F.lit(False))
+    for number, f in enumerate(filters):
+        word, bits = f"_word{number}", f"_bits{number}"
+        known = materialize(f.df.select(F.col("word").alias(word), F.col("bits").alias(bits)), "filter")
         # A filter too large for a broadcast is met word by word; words are dealt by a hash, so none is hot.
         lookup = F.broadcast(known.df) if known.fits_broadcast else known.df
-        hit = placed.join(lookup, "_word").filter(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask"))
-        return hit.select(rows.columns)
-
-    def table(self) -> Table:
-        return materialize(self.df, "filter")
+        mask = _mask(list(f.columns))
+        found = F.coalesce(F.col(bits).bitwiseAND(mask) == mask, F.lit(False))
+        placed = out.withColumn(word, _place(list(f.columns), f.words))
+        out = placed.join(lookup, word, "left").withColumn("_hit", F.col("_hit") | found).drop(word, bits)
+    return out.filter("_hit").select(rows.columns)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tracegrain.functions.minhash import band_keys, banding, minhash
 from tracegrain.functions.text import tokens
-from tracegrain.operators.bloom import Bloom
+from tracegrain.operators.bloom import Bloom, possible
 from tracegrain.operators.tables import HOT_SHARE, Table, lookup_join, materialize, salted_join
 
 # After this many rounds a remainder of at most TAIL_ROWS rows is finished in one task.
@@ -89,15 +89,15 @@ def _drop_hit(rows: DataFrame, won: DataFrame, total: int) -> Table:
     return materialize(still_open.select("line_no", _keys("_b").alias("bands")), "dedup-open")
 
 
-def _found_earlier(sizes: DataFrame, earlier: DataFrame, seen: Bloom | None) -> DataFrame:
+def _found_earlier(sizes: DataFrame, earlier: DataFrame, seen: list[Bloom] | None) -> DataFrame:
     """The buckets of ``sizes`` (band, key, n) that ``earlier`` holds.
 
-    The filter leaves the true hits and a few others. These look through the history where it lies if they are few
+    The filters leave the true hits and a few others. These look through the history where it lies if they are few
     enough to be sent there, and only then is none of it moved.
     """
     if seen is None:
         return sizes.join(earlier.select("band", "key"), ["band", "key"], "left_semi")
-    asked = materialize(seen.possible(sizes), "asked-buckets")
+    asked = materialize(possible(sizes, seen), "asked-buckets")
     if asked.rows == 0:
         return asked.df
     hits = lookup_join(earlier.select("band", "key"), asked.narrowed("band", "key"), ["band", "key"], "left_semi").distinct()
@@ -121,10 +121,10 @@ def _walk(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.loc[keep, ["line_no", "bands"]]
 
 
-def first_wins(rows: DataFrame, width: int, earlier: DataFrame | None = None, seen: Bloom | None = None) -> Kept:
+def first_wins(rows: DataFrame, width: int, earlier: DataFrame | None = None, seen: list[Bloom] | None = None) -> Kept:
     """Kept rows of ``line_no, bands`` with ``width`` bands each.
 
-    ``earlier`` is the bucket table of rows kept before, ``seen`` a filter of its buckets.
+    ``earlier`` is the bucket table of rows kept before, ``seen`` are filters of its buckets.
     """
     undecided = materialize(rows, "dedup-bands")
     kept: list[Table] = []
@@ -176,7 +176,7 @@ def keep_lines(df: DataFrame, lines: Table) -> DataFrame:
     return lookup_join(df, lines, ["line_no"], "left_semi")
 
 
-def _kept_of(firsts: Table, threshold: float, num_perm: int, earlier: DataFrame | None = None, seen: Bloom | None = None) -> Kept:
+def _kept_of(firsts: Table, threshold: float, num_perm: int, earlier: DataFrame | None = None, seen: list[Bloom] | None = None) -> Kept:
     rows = with_bands(firsts.df, "_text", threshold, num_perm)
     return first_wins(rows, banding(threshold, num_perm)[0], earlier, seen)
 
@@ -209,11 +209,11 @@ def dedup_incremental(
     text: str = "template",
     threshold: float = 0.8,
     num_perm: int = 64,
-    seen: Bloom | None = None,
+    seen: list[Bloom] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Survivors of a further chunk, and the buckets to append to ``earlier``.
 
-    With ``seen``, a filter of the buckets in ``earlier``, only buckets that pass it are looked up there.
+    With ``seen``, filters of the buckets in ``earlier``, only buckets that pass one are looked up there.
     """
     firsts = _first_of_text(df, text)
     kept = _kept_of(firsts, threshold, num_perm, earlier, seen)

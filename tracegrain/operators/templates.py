@@ -32,7 +32,7 @@ from tracegrain.operators.tables import Table, dense_ids, lookup_join, materiali
 GROUP_LINES = 10_000
 GROUP_WORDS = 1_000_000
 # Leaves with more lines are merged in blocks of about so many; the result is the same either way.
-BLOCK_LINES = 10_000
+BLOCK_LINES = 50_000
 
 
 @dataclass(frozen=True)
@@ -291,27 +291,32 @@ _EVENTS = "leaf string, first_line bigint, leader_line bigint, template string"
 
 
 def _history(threshold: float):
-    """Merges the guess of a leaf in order; returns its seeds and the lines that open or widen a cluster."""
+    """Merges the guesses of leaves in order; gives the seeds and the lines that open or widen a cluster.
 
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["is_seed", "first_line"], ascending=[False, True])
-        words = [_WORDS(text) for text in group["masked"]]
-        ids, seeds = group["first_line"].to_list(), int(group["is_seed"].sum())
-        owner, emitted, _ = _merge_leaf(words[seeds:], words[:seeds], threshold)
-        leaders, now = ids[:seeds], [" ".join(w) for w in words[:seeds]]
-        events = list(zip([-1] * seeds, leaders, now))
-        for line, cluster, template in zip(ids[seeds:], owner, emitted):
-            if cluster == len(leaders):
-                leaders.append(line)
-                now.append("")
-            if now[cluster] != template:
-                now[cluster] = template
-                events.append((line, leaders[cluster], template))
-            elif leaders[cluster] == line:
-                events.append((line, line, template))
-        out = pd.DataFrame(events, columns=["first_line", "leader_line", "template"])
-        out.insert(0, "leaf", group["leaf"].iloc[0])
-        return out
+    Rows come sorted by leaf, seeds first, then by line; they pass through, and only the clusters of one leaf stay.
+    """
+
+    def merge(frames):
+        leaf, clusters, leaders, templates = None, None, [], []
+        for frame in frames:
+            events = []
+            for own, text, line, seed in zip(frame["leaf"], frame["masked"], frame["first_line"], frame["is_seed"]):
+                words = _WORDS(text)
+                if own != leaf:
+                    leaf, clusters, leaders, templates = own, _Clusters(len(words), threshold), [], []
+                row = clusters.encode(words)
+                target = -1 if seed else clusters.nearest(row)
+                if target < 0:
+                    clusters.open(row)
+                    leaders.append(line)
+                    templates.append(" ".join(words))
+                elif (new := clusters.widened(target, row)) is not None:
+                    clusters.replace(target, new)
+                    templates[target] = _narrowed(templates[target], new)
+                else:
+                    continue
+                events.append((own, -1 if seed else line, leaders[target], templates[target]))
+            yield pd.DataFrame(events, columns=["leaf", "first_line", "leader_line", "template"])
 
     return merge
 
@@ -358,7 +363,7 @@ def _replay(threshold: float):
             owner.append(leaders[target])
             emitted.append(templates[target])
             reported.append(wrong)
-        out = lines[["masked", "first_line", "n", "leaf"]].copy()
+        out = lines[["masked", "first_line", "n", "leaf", "block"]].copy()
         out["leader_line"] = np.array(owner, dtype=np.int64)
         out["emitted"] = np.array(emitted, dtype=object)
         out["reported"] = np.array(reported, dtype=bool)
@@ -367,8 +372,57 @@ def _replay(threshold: float):
     return replay
 
 
+def _needed_words(length: Column, threshold: float) -> Column:
+    """The fewest equal words of so many that reach the threshold; more than there are if none do."""
+    enough = F.filter(F.sequence(F.lit(0), length), lambda n: n / F.greatest(length, F.lit(1)) >= F.lit(threshold))
+    return F.coalesce(F.get(enough, F.lit(0)), length + 1)
+
+
+def _placed_words(df: DataFrame, text: str, *keys: str) -> DataFrame:
+    """``keys``, place and word of the words of a text that are no wildcards, and the length of the text."""
+    split = df.select(*keys, tokens(text).alias("_words"))
+    placed = split.select(*keys, F.size("_words").alias("length"), F.posexplode("_words").alias("place", "word"))
+    return placed.filter(F.col("word") != WILDCARD)
+
+
+def _sent(events: DataFrame, dealt: DataFrame, blocks: DataFrame, threshold: float) -> DataFrame:
+    """The events that a block needs: those before its end, of clusters that one of its lines might join.
+
+    A line that joins a cluster has enough of the words that the cluster was opened with; so it has one of the few
+    that are rarest among the blocks, and only these are looked up.
+    """
+    known = events.withColumnsRenamed({"first_line": "_at"})
+    if threshold <= 0:
+        return known.join(blocks, "leaf").filter(F.col("_at") <= F.col("last_line")).drop("last_line")
+    placed = _placed_words(dealt, "masked", "leaf", "block")
+    # Under attributes of its own, as it meets the lines again.
+    own_names = F.concat("leaf").alias("leaf"), (F.col("block") + 0).alias("block")
+    held = materialize(placed.select(*own_names, "place", "word").distinct(), "block-words").df
+    spread = held.groupBy("leaf", "place", "word").agg(F.count(F.lit(1)).alias("_blocks"))
+    opening = events.groupBy("leaf", "leader_line").agg(F.min_by("template", "first_line").alias("template"))
+    words = _placed_words(opening, "template", "leaf", "leader_line").join(spread, ["leaf", "place", "word"], "left")
+    own = Window.partitionBy("leaf", "leader_line")
+    # Words that a seed has lost to wildcards count as missing.
+    places = words.withColumns(
+        {
+            "_rank": F.row_number().over(own.orderBy(F.coalesce("_blocks", F.lit(0)), "place")),
+            "_left": F.count(F.lit(1)).over(own) - _needed_words(F.col("length"), threshold) + 1,
+        }
+    )
+    rare = places.filter((F.col("_rank") <= F.col("_left")) & F.col("_blocks").isNotNull()).select("leaf", "leader_line", "place", "word")
+    near = materialize(rare.join(held, ["leaf", "place", "word"]).select("leaf", "leader_line", "block").distinct(), "block-clusters")
+    sent = known.join(near.df, ["leaf", "leader_line"]).join(blocks, ["leaf", "block"])
+    # Lines without words all join the one cluster of theirs.
+    wordless = known.filter(F.col("leaf") == "0").join(blocks, "leaf")
+    sent = sent.select(wordless.columns).unionByName(wordless)
+    return sent.filter(F.col("_at") <= F.col("last_line")).drop("last_line")
+
+
 def _merge_in_blocks(items: DataFrame, threshold: float) -> DataFrame:
-    """The merge of large leaves: columns of ``_MERGED``."""
+    """The merge of large leaves: columns of ``_MERGED``.
+
+    A round replays only blocks that end behind the first line that the round before has found in their leaf.
+    """
     seeds = items.filter("is_seed").select("masked", "first_line", "leaf", "is_seed")
     lines = items.filter("not is_seed").select("masked", "first_line", "n", "leaf")
     size = lines.agg(F.count(F.lit(1)).alias("n")).first()["n"]
@@ -376,25 +430,36 @@ def _merge_in_blocks(items: DataFrame, threshold: float) -> DataFrame:
     dealt = lines.repartitionByRange(size // BLOCK_LINES + 1, "leaf", "first_line")
     dealt = materialize(dealt.withColumn("block", F.spark_partition_id()), "leaf-blocks").df
     # Under attributes of its own, as it meets the lines again.
-    blocks = dealt.select(F.concat("leaf").alias("leaf"), (F.col("block") + 0).alias("block")).distinct()
-    schema = "masked string, first_line bigint, n bigint, leaf string, leader_line bigint, emitted string, reported boolean"
+    blocks = dealt.select(F.concat("leaf").alias("leaf"), (F.col("block") + 0).alias("block"), (F.col("first_line") + 0).alias("_line"))
+    blocks = materialize(blocks.groupBy("leaf", "block").agg(F.max("_line").alias("last_line")), "block-ends").df
+    leaves = blocks.select("leaf").distinct().count()
+    schema = "masked string, first_line bigint, n bigint, leaf string, block int, leader_line bigint, emitted string, reported boolean"
     guess = lines.select("masked", "first_line", "leaf", F.lit(False).alias("is_seed")).limit(0)
+    replayed, stale = None, blocks
     while True:
-        events = guess.unionByName(seeds).groupBy("leaf").applyInPandas(_history(threshold), _EVENTS)
-        events = materialize(events, "leaf-history").df
-        sent = events.join(blocks, "leaf")
-        pairs = dealt.groupBy("leaf", "block").cogroup(sent.groupBy("leaf", "block"))
-        replayed = materialize(pairs.applyInPandas(_replay(threshold), schema), "leaf-replay").df
+        ordered = guess.unionByName(seeds).repartition(leaves, "leaf")
+        ordered = ordered.sortWithinPartitions("leaf", F.desc("is_seed"), "first_line")
+        events = materialize(ordered.mapInPandas(_history(threshold), _EVENTS), "leaf-history").df
+        again = dealt.join(stale.select("leaf", "block"), ["leaf", "block"], "left_semi")
+        sent = _sent(events, again, stale, threshold).withColumnRenamed("_at", "first_line")
+        pairs = again.groupBy("leaf", "block").cogroup(sent.groupBy("leaf", "block"))
+        new = materialize(pairs.applyInPandas(_replay(threshold), schema), "leaf-replay").df
+        if replayed is not None:
+            kept = replayed.join(stale.select("leaf", "block"), ["leaf", "block"], "left_anti")
+            new = materialize(kept.unionByName(new), "leaf-replay").df
+        replayed = new
         found = replayed.filter("reported").select("masked", "first_line", "leaf", F.lit(False).alias("is_seed"))
         fresh = found.join(guess.select("leaf", "first_line"), ["leaf", "first_line"], "left_anti")
         fresh = materialize(fresh.select("masked", "first_line", "leaf", "is_seed"), "leaf-reports")
         if fresh.rows == 0:
             break
         guess = materialize(guess.unionByName(fresh.df), "leaf-guess").df
+        since = fresh.df.groupBy("leaf").agg(F.min("first_line").alias("_since"))
+        stale = materialize(blocks.join(since, "leaf").filter("last_line >= _since").drop("_since"), "stale-blocks").df
     final = events.groupBy("leaf", "leader_line").agg(F.max_by("template", "first_line").alias("template"))
     final = materialize(final, "leaf-templates")
     columns = [c.split()[0] for c in _MERGED.split(", ")]
-    return lookup_join(replayed.drop("reported"), final, ["leaf", "leader_line"], "inner").select(columns)
+    return lookup_join(replayed.drop("reported", "block"), final, ["leaf", "leader_line"], "inner").select(columns)
 
 
 def _merge(
@@ -515,7 +580,8 @@ def extend_collapsed(
     new = dense_ids(clusters.filter(F.col("cluster_id").isNull()).drop("cluster_id"), "leader_line", "cluster_id", last)
     templates = materialize(old.unionByName(new), "templates")
     fresh = merged.narrowed("masked", "first_line", "n", "leader_line", "emitted")
-    return Model(templates, Table(model.assignments.df.unionByName(fresh.df)), children), fresh
+    known = model.assignments.df.select(fresh.df.columns).unionByName(fresh.df)
+    return Model(templates, Table(known), children), fresh
 
 
 def touched_leaves(collapsed: DataFrame, assignments: DataFrame, children: DataFrame, options: Mining = Mining()) -> DataFrame:

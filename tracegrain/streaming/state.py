@@ -13,7 +13,7 @@ import json
 import uuid
 
 from py4j.java_gateway import JavaObject
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracegrain.operators.bloom import SCHEMA as FILTER
@@ -27,7 +27,7 @@ class StateTable:
     """Rows of ``schema``, in buckets by ``keys``, one version per batch.
 
     With ``newest_by`` only the row of the latest batch counts for equal values of these columns, and merges drop
-    the others; else all rows stay. With ``bloom`` every run has a filter of its keys, merged on demand by ``seen``.
+    the others; else all rows stay. With ``bloom`` every run has a filter of its keys.
     """
 
     def __init__(
@@ -135,24 +135,22 @@ class StateTable:
     def all(self, spark: SparkSession) -> DataFrame:
         return self.before(spark)
 
-    def seen(self, spark: SparkSession, batch_id: int) -> Bloom | None:
-        """A filter of all keys of the state that a batch starts from; None for an empty state."""
-        parts = [
+    def seen(self, spark: SparkSession, batch_id: int) -> list[Bloom]:
+        """Filters of all keys of the state that a batch starts from, one per run; none for an empty state."""
+        return [
             Bloom(spark.read.schema(FILTER).parquet(f"{self.path}/runs/{run['name']}/filter"), run["words"], tuple(self.keys))
             for run in self.runs(spark, batch_id)
             if run["rows"]
         ]
-        return Bloom.merged(parts) if parts else None
 
     def _write_run(self, rows: DataFrame, level: int) -> dict:
-        spark, name, count = rows.sparkSession, uuid.uuid4().hex, Observation()
-        counted = rows.observe(count, F.count(F.lit(1)).alias("rows"))
-        dealt = counted.withColumn("bucket", self._bucket()).repartition(F.col("bucket"))
+        spark, name = rows.sparkSession, uuid.uuid4().hex
         at = f"{self.path}/runs/{name}"
+        dealt = rows.withColumn("bucket", self._bucket()).repartition(F.col("bucket"))
         dealt.sortWithinPartitions("bucket", *self.keys).write.partitionBy("bucket").parquet(f"{at}/rows")
-        run = {"name": name, "level": level, "rows": count.get["rows"]}
-        if self.bloom:
-            stored = spark.read.schema(f"{self.schema}, batch_id bigint").parquet(f"{at}/rows") if run["rows"] else rows
+        stored = spark.read.schema(f"{self.schema}, batch_id bigint").parquet(f"{at}/rows")
+        run = {"name": name, "level": level, "rows": stored.count()}  # from the footers of the files
+        if self.bloom and run["rows"]:
             made = Bloom.build(stored, self.keys, run["rows"])
             made.df.write.parquet(f"{at}/filter")
             run["words"] = made.words
