@@ -119,16 +119,35 @@ def mix64(values: np.ndarray) -> np.ndarray:
     return x
 
 
+# Edges that one task joins up, so that small graphs need no rounds: a bound on its memory.
+LOCAL_EDGES = 50_000
+
+
+def _joined_up(frame: pd.DataFrame) -> pd.DataFrame:
+    """Components of all edges (u, v) of a small graph."""
+    nodes, at = np.unique(np.concatenate([frame["u"].to_numpy(), frame["v"].to_numpy()]), return_inverse=True)
+    links = Links(len(nodes))
+    for x, y in zip(at[: len(frame)].tolist(), at[len(frame) :].tolist()):
+        links.join(x, y)
+    return pd.DataFrame({"node": nodes, "component": nodes[[links.root(x) for x in range(len(nodes))]]})
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected ``edges``: rows (node, component), component being the smallest node.
 
-    Every round writes to each node the smallest label of its neighbours and then follows that label once
+    A graph of at most ``LOCAL_EDGES`` edges is joined up in one task. In a larger one every round writes to each node the smallest label of its neighbours and then follows that label once
     (pointer jumping), so the number of rounds grows with the logarithm of the diameter in practice. Rounds
     are stored tables, and nothing but the number of changed labels reaches the driver. Only nodes with
     an edge to another node are returned.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
     both = written(pairs.union(pairs.select("v", "u")).distinct(), "component-edges")
+    if both.count() <= 2 * LOCAL_EDGES:
+        kind = both.schema["u"].dataType.simpleString()
+        small = both.filter("u < v").withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(_joined_up, f"node {kind}, component {kind}")
+        found = written(small, "components")
+        discard(both)
+        return found
     labels = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("label")), "component-labels")
     while True:
         near = both.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))

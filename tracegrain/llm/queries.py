@@ -173,4 +173,72 @@ select item_id, rank::int as rank, doc_id, score
 from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scores where score > 0)
 where rank <= {dual_tree.TOP}"""
 
-ORACLES = {"op4_quality": QUALITY_SQL, "op13_search": SEARCH_SQL}
+_LOWERED = _WORDS.replace("coalesce(text, '')", f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')")
+
+# Removes words under windows that also start in a document of a smaller id.
+SUBSTRINGS_SQL = f"""
+with w as (select doc_id, {_WORDS} as ws from documents),
+win as (
+    select doc_id, i, array_to_string(ws[i : i + 12], ' ') as g
+    from (select doc_id, ws, unnest(range(1, len(ws) - 11)) as i from w)
+),
+firsts as (select g, min(doc_id) as least from win group by g),
+gone as (select distinct doc_id, i + k as pos from win join firsts using (g), range(13) t(k) where least < doc_id),
+placed as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as pos from w),
+kept as (
+    select doc_id, string_agg(word, ' ' order by pos) as words, count(*) as n from placed anti join gone using (doc_id, pos) group by doc_id
+)
+select doc_id, len(ws)::bigint as n_words, len(ws) - coalesce(n, 0)::bigint as n_removed, sha256(coalesce(words, '')) as kept_sha256
+from w left join kept using (doc_id)"""
+
+# Shingle sets, links by counting shared shingles, and what links reach.
+JACCARD_SQL = f"""
+with recursive w as (select doc_id, {_LOWERED} as ws from documents),
+s as (
+    select doc_id, list_distinct(case when len(ws) >= 3 then list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i : i + 2], ' '))
+        when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as gs from w
+),
+g as (select doc_id, len(gs) as n, unnest(gs) as g from s),
+links as (
+    select a.doc_id as a, b.doc_id as b from g a join g b on a.g = b.g and a.doc_id <> b.doc_id
+    where 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+    group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))
+),
+reach(id, other) as (select doc_id, doc_id from s union select id, b from reach join links on a = other)
+select s.doc_id, len(gs)::bigint as n_shingles, min(other) as component_id from s join reach on id = s.doc_id group by s.doc_id, gs"""
+
+EMBEDDINGS_SQL = f"""
+with recursive v as (
+    select vec_id, label, embedding::double[] as e from embeddings
+    where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        and len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+links as (
+    select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+    where list_cosine_similarity(a.e, b.e) >= {subspace.COSINE}
+),
+reach(id, other) as (select vec_id, vec_id from embeddings union select id, b from reach join links on a = other),
+n as (select a, count(*) as n from links group by a)
+select vec_id, coalesce(max(n), 0)::bigint as n_links, min(other) as component_id, vec_id = min(other) as kept
+from embeddings join reach on id = vec_id left join n on a = vec_id group by vec_id"""
+
+# The pages of the given tables name their article; the wrappers have to find the same.
+ARTICLES_SQL = """
+with a as (select page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) as t from pages),
+b as (
+    select page_id, url, list_transform(string_split_regex(regexp_replace(t, '</?b>', '', 'g'), '</?(?:p|h1|br)>'),
+        lambda x: trim(regexp_replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'),
+            '\\s+', ' ', 'g'))) as parts
+    from a
+),
+c as (select page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10)) as text from b)
+select page_id, url, text, length(text)::bigint as n_chars from c"""
+
+ORACLES = {
+    "op2_substrings": SUBSTRINGS_SQL,
+    "op4_quality": QUALITY_SQL,
+    "op5_jaccard": JACCARD_SQL,
+    "op10_embeddings": EMBEDDINGS_SQL,
+    "op11_articles": ARTICLES_SQL,
+    "op13_search": SEARCH_SQL,
+}
