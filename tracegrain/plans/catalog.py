@@ -146,6 +146,27 @@ def _(spark, sf):
     )
 
 
+@query(
+    "compression_parts",
+    with_ctes(
+        "select cast(sum(strlen(raw)) + count(*) - 1 as bigint) as raw, true as smaller, true as ratio_fits, true as saving_fits from scored",
+        "scored",
+    ),
+)
+def _(spark, sf):
+    """The raw size, and that the figures of the stored table follow from it and from the files."""
+    rows = scored(spark, sf)
+    size = stored.stored_bytes(spark, stored.write_scored(rows, new_path(spark, "stored")))
+    totals = report.one_row(raw=(report.raw_bytes(rows), "raw_bytes"), kept=(size, "stored_bytes"))
+    raw, kept = F.col("raw"), F.col("kept")
+    return totals.select(
+        "raw",
+        (kept.between(1, raw)).alias("smaller"),
+        (F.abs(report.compression_ratio(raw, kept) - raw / kept) <= 0.005001).alias("ratio_fits"),
+        (F.abs(report.saved_pct(raw, kept) - (raw - kept) * 100 / raw) <= 0.05001).alias("saving_fits"),
+    )
+
+
 # --- scalar functions ----------------------------------------------------------------------------
 
 
@@ -877,6 +898,38 @@ def _(spark, sf):
     return forest.score(rows.df, forest.train_forest(rows)).select("line_no", "anomaly_score", "is_anomaly")
 
 
+@query("forest_shape", with_ctes("select 100::bigint as trees, least(256, count(*))::integer as sample, true as binary from log", "log"))
+def _(spark, sf):
+    """What holds for every forest: its trees, their samples, and that an inner node has two children."""
+    nodes = forest.train_forest(_featured(spark, sf)).df
+    inner = F.col("feature") >= 0
+    trees = nodes.groupBy("tree").agg(F.max("sample").alias("sample"), F.count_if(inner).alias("inner"), F.count_if(~inner).alias("leaves"))
+    sample = F.when(F.min("sample") == F.max("sample"), F.max("sample")).alias("sample")
+    return trees.agg(F.count(F.lit(1)).alias("trees"), sample, F.bool_and(F.col("leaves") == F.col("inner") + 1).alias("binary"))
+
+
+@query(
+    "score_rules",
+    with_ctes("select count(*) as rows, true as one_score_per_vector, true as in_range, true as flags_follow, true as few_flags from log", "log"),
+)
+def _(spark, sf):
+    """What holds for every scoring: equal features score equally, flags lie below zero, at most their share is flagged."""
+    rows = _featured(spark, sf)
+    scored_rows = forest.score(rows.df, forest.train_forest(rows))
+    score, flag = F.col("anomaly_score"), F.col("is_anomaly")
+    vectors = scored_rows.groupBy("features").agg(
+        F.count(F.lit(1)).alias("n"), F.min(score).alias("low"), F.max(score).alias("high"), F.count_if(flag).alias("flagged"),
+        F.bool_and(F.when(flag, score <= 0).otherwise(score >= 0)).alias("follows"),
+    )
+    return vectors.agg(
+        F.sum("n").alias("rows"),
+        F.bool_and(F.col("low") == F.col("high")).alias("one_score_per_vector"),
+        ((F.min("low") >= -1) & (F.max("high") <= 1)).alias("in_range"),
+        F.bool_and("follows").alias("flags_follow"),
+        (F.sum("flagged") <= forest.CONTAMINATION * F.sum("n") + 1).alias("few_flags"),
+    )
+
+
 @query(
     "flag_by_contamination",
     """select event_id as line_no, value < (select quantile_cont(value, 0.05) from events) as is_anomaly from events""",
