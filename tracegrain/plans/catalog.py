@@ -762,13 +762,13 @@ def _indexed(spark: SparkSession, sf: str, text: str, literal: bool = False) ->
 @query(
     "search_indexed",
     with_ctes(
-        f"""{_STORED_ROWS} where regexp_matches(raw, 'guest_31[0-4]\b|sensor says 4\d+%', 'i')
-  or regexp_matches(template, 'guest_31[0-4]\b|sensor says 4\d+%', 'i')""",
+        f"""{_STORED_ROWS} where regexp_matches(raw, 'guest_1[0-4]\\b|sensor says 4\\d+%', 'i')
+  or regexp_matches(template, 'guest_1[0-4]\\b|sensor says 4\\d+%', 'i')""",
         "scored",
     ),
 )
 def _(spark, sf):
-    return _indexed(spark, sf, r"guest_31[0-4]\b|sensor says 4\d+%")
+    return _indexed(spark, sf, r"guest_1[0-4]\b|sensor says 4\d+%")
 
 
 @query(
