@@ -84,3 +84,18 @@ def test_shared_passages_and_chance_shingles(spark, monkeypatch):
     for small, piece in ((2, 1_000), (8, 4)):
         monkeypatch.setattr(jaccard, "SMALL", small)
         assert _found(jaccard.link(df, 80, piece=piece)) == expected
+
+
+def test_documents_of_a_common_shingle_are_not_searched_among_each_other(spark, monkeypatch):
+    """Of a bucket far larger than a piece, only documents that might link reach the search with their sets."""
+    pick = random.Random(4)
+    words = [f"w{i}" for i in range(14)]
+    passage = " ".join(pick.choice(words) for _ in range(30))
+    rows = [(i, " ".join(pick.choice(words) for _ in range(60)) + " " + passage) for i in range(200)]
+    rows += [(1000 + i, "x " + rows[i][1]) for i in range(0, 20, 2)]
+    searched, find = [], jaccard._find_links
+    monkeypatch.setattr(jaccard, "_find_links", lambda tasks, *more: searched.append(tasks.count()) or find(tasks, *more))
+    monkeypatch.setattr(jaccard, "SMALL", 8)
+    monkeypatch.setattr(jaccard, "BLOCK", 20)
+    assert _found(jaccard.link(spark.createDataFrame(rows, "doc_id bigint, text string"), 80, piece=10)) == _expected(rows, 3, 80)
+    assert 20 <= sum(searched) <= 2 * len(rows)

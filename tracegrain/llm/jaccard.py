@@ -5,8 +5,8 @@ the start, only one document of each goes on. The search is prepared by the pref
 hashes, two linking sets have k shingles in common among their first n - ceil(share * n) + k. These are counted over all
 documents, and by the order of these counts, rarest first, one of the first n - ceil(share * n) + 1 of them is shared again.
 Passages that many documents share so find no candidates, and documents with enough shingles of their own drop out. Documents
-that share a rare shingle at a compatible size, and whose sketches do not differ too much, are candidates of each other;
-in the rare case that very many share it, all of them are. Candidates form groups; nothing but shingle names,
+that share a rare shingle at a compatible size, and whose sketches do not differ too much, are candidates of each other.
+Where very many share it, only as many of these pairs are kept as connect them. Candidates form groups; nothing but shingle names,
 sketches and ids is moved for that, and only members of a group have their sets shuffled.
 
 Inside a group every document is a query to the inverted lists of the group (DivideSkip): the short lists are
@@ -14,9 +14,9 @@ merged by counting, documents below the count that the long lists could still ma
 lists are probed by binary search for the rest. Documents that reach the required overlap are retained and
 checked exactly. A pair whose documents are known to be connected needs no probing. A large group is cut into pieces
 that are searched apart; then one document of every component found stands for it and the search is
-repeated among these while that merges anything; last, candidates that are still in different components are compared,
-and where very many documents of several components share a rare shingle, those outside the largest of them
-are searched among all that share it, so no link between components is lost.
+repeated among these while that merges anything; last, candidates that are still in different components are compared:
+pairs of small buckets one by one; in buckets of very many documents the sketches tell which may still link to another
+component, and these are searched among each other, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ PIECE = 1_024
 PIECE_SHINGLES = 1 << 19
 # Documents of a bucket that are compared by their sketches in one task; larger ones go on as they are.
 SMALL = 64
+# Rows of a larger bucket that one task compares by their sketches with as many others.
+BLOCK = 16_384
 # Bits of a sketch, and tasks that small buckets are dealt to for each shuffle partition.
 SKETCH = 512
 DEALT = 4
@@ -68,12 +70,12 @@ def asked(n: np.ndarray | int, percent: int = PERCENT):
     return np.maximum((n - needed(n, percent)) // 2, 1)
 
 
-def sketch(names: np.ndarray) -> bytes:
-    """For every value that the names have in their last bits, whether their number is odd.
+def sketch(names: np.ndarray, bits: int = SKETCH) -> bytes:
+    """For every value that the names have in their last bits, whether their number is odd; ``bits`` is a power of two.
 
     Two sketches differ in no more bits than the sets have shingles that only one of them holds.
     """
-    odd = np.bincount((names & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    odd = np.bincount((names & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
@@ -166,8 +168,7 @@ def _near(buckets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             high = low + apart
             least, most = np.minimum(sizes[low], sizes[high]), np.maximum(sizes[low], sizes[high])
             # With so many shingles in common the sets differ in at most the rest of both.
-            shared = -(-percent * (sizes[low] + sizes[high]) // (100 + percent))
-            apart_at_most = sizes[low] + sizes[high] - 2 * shared
+            apart_at_most = _apart(sizes[low], sizes[high], percent)
             differ = np.bitwise_count(bits[low] ^ bits[high]).sum(axis=1, dtype=np.int64)
             fits = (100 * least >= percent * most) & (differ <= apart_at_most) & (ids[low] != ids[high])
             found.append((ids[low[fits]], ids[high[fits]]))
@@ -179,17 +180,75 @@ def _near(buckets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return written(dealt.groupBy("task").applyInPandas(compare, f"a {kind}, b {kind}").distinct(), "near-pairs")
 
 
-def _stars(buckets: DataFrame, percent: int) -> DataFrame:
-    """bucket, id and ``first`` (the smallest id) of documents of large buckets at compatible sizes.
+def _apart(sizes_a: np.ndarray, sizes_b: np.ndarray, percent: int) -> np.ndarray:
+    """Shingles that only one of two linking sets of these sizes can hold, at most."""
+    return sizes_a + sizes_b - 2 * -(-percent * (sizes_a + sizes_b) // (100 + percent))
 
-    Sizes go by steps of the share: linking sets lie in the same step or in neighbouring ones.
+
+def _crowded(buckets: DataFrame, classes: DataFrame) -> DataFrame:
+    """bucket, id, n, sketch and number of pieces of documents of large buckets: a stored table."""
+    sketches = classes.select(F.col("rep").alias("id"), "n", "sketch")
+    large = buckets.filter(F.col("members") > SMALL).join(sketches, ["id", "n"])
+    pieces = F.ceil(F.col("members") / BLOCK).cast("int").alias("pieces")
+    return written(large.select("bucket", "id", "n", "sketch", pieces), "large-buckets")
+
+
+def _met(crowded: DataFrame) -> DataFrame:
+    """The rows in tasks (bucket, low, high) of two pieces of a bucket, so that any two rows of a bucket meet."""
+    own, other = F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
+    rows = crowded.withColumn("own", own).withColumn("_other", other)
+    return rows.withColumns({"low": F.least("own", "_other"), "high": F.greatest("own", "_other")}).drop("_other", "pieces")
+
+
+def _alike(frame: pd.DataFrame, labels: np.ndarray, percent: int):
+    """Of rows ordered by n: a row and later ones of other labels whose sizes and sketches allow a link, row by row."""
+    sizes, own = frame["n"].to_numpy(), frame["own"].to_numpy()
+    bits = np.frombuffer(b"".join(frame["sketch"]), dtype=np.uint64).reshape(len(frame), -1)
+    within = bool(len(frame)) and frame["low"].iat[0] == frame["high"].iat[0]
+    ends = np.searchsorted(sizes, 100 * sizes // percent, side="right")
+    for i, end in enumerate(ends.tolist()):
+        at = np.flatnonzero((labels[i + 1 : end] != labels[i]) & (within | (own[i + 1 : end] != own[i]))) + i + 1
+        differ = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        at = at[differ <= _apart(sizes[at], sizes[i], percent)]
+        if len(at):
+            yield i, at
+
+
+def _stars(crowded: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that connect the documents of a large bucket whose sizes and sketches allow a link: a stored table.
+
+    Only rows of pieces that are not connected yet are compared, and an edge is kept if it connects more, so thousands of near copies
+    give no more edges than there are copies.
     """
-    step = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent)) + 1e-9)
-    large = buckets.filter(F.col("members") > SMALL)
-    stepped = large.withColumn("step", F.explode(F.array(step, step + 1)))
-    first = stepped.groupBy("bucket", "step").agg(F.min("id").alias("first"), F.max("id").alias("_last")).filter("first < _last")
-    stars = stepped.join(first.drop("_last"), ["bucket", "step"])
-    return written(stars.select(F.xxhash64("bucket", "step").alias("bucket"), "id", "first"), "bucket-stars")
+    kind = crowded.schema["id"].dataType.simpleString()
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["n", "id"], kind="stable")
+        ids, edges = frame["id"].to_numpy(), []
+        labels = pd.factorize(ids)[0]
+        for i, at in _alike(frame, labels, percent):
+            joined, first = np.unique(labels[at], return_index=True)
+            edges += [(ids[i], ids[j]) for j in at[first].tolist()]
+            labels[np.isin(labels, joined)] = labels[i]
+        return pd.DataFrame(edges, columns=["a", "b"])
+
+    found = _met(crowded).groupBy("bucket", "low", "high").applyInPandas(compare, f"a {kind}, b {kind}")
+    return written(found.distinct(), "bucket-stars")
+
+
+def _open(crowded: DataFrame, percent: int) -> DataFrame:
+    """The ids of rows (with their label) whose size and sketch allow a link to a row of their bucket under another label."""
+    kind = crowded.schema["id"].dataType.simpleString()
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["n", "id"], kind="stable")
+        found = np.zeros(len(frame), dtype=bool)
+        for i, at in _alike(frame, pd.factorize(frame["label"])[0], percent):
+            found[i] = found[at] = True
+        return frame.loc[found, ["id"]].drop_duplicates()
+
+    found = _met(crowded).groupBy("bucket", "low", "high").applyInPandas(compare, f"id {kind}")
+    return written(found.distinct(), "open-ids")
 
 
 def _with_sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
@@ -260,9 +319,15 @@ def _search(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     if len(frame) > 1:
         sets = [np.frombuffer(x, dtype=np.uint64) for x in frame["names"]]
         lists = InvertedLists(sets)
+        # A bit for each shingle of most sets.
+        bits = max(SKETCH, 1 << int(np.median(sizes)).bit_length())
+        sketches = np.frombuffer(b"".join(sketch(x, bits) for x in sets), dtype=np.uint64).reshape(len(sets), -1)
         for i in np.flatnonzero(frame["query"].to_numpy()).tolist():
             n = int(sizes[i])
             fits = (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)) & (labels != labels[i])
+            at = np.flatnonzero(fits)
+            differ = np.bitwise_count(sketches[at] ^ sketches[i]).sum(axis=1, dtype=np.int64)
+            fits[at] = differ <= _apart(sizes[at], n, percent)
             if not fits.any():
                 continue
             found, shared = lists.search(sets[i], needed(n, percent), fits)
@@ -311,11 +376,11 @@ def _checked(pairs: DataFrame, names: DataFrame, percent: int) -> DataFrame:
     return written(both.select("a", "b", "left", "right").mapInPandas(check, f"a {kinds}, b {kinds}"), "checked-pairs")
 
 
-def _links(docs: DataFrame, members: DataFrame, near: DataFrame, buckets: DataFrame, size: int, percent: int, piece: int) -> DataFrame:
+def _links(docs: DataFrame, members: DataFrame, near: DataFrame, crowded: DataFrame, size: int, percent: int, piece: int) -> DataFrame:
     """Edges that connect whatever links connect; ``members`` are the rows (group, id, n) of the candidate groups.
 
     Names and numbers are dealt first; sets move once they have their place. Candidates are ``near`` pairs and the documents of
-    one of the large ``buckets``.
+    a large bucket (``crowded``) whose sizes and sketches allow a link.
     """
     sets = _with_sets(docs, written(_dealt(members, piece), "candidate-groups"), size)
     rows = sets.withColumn("label", F.col("id")).withColumn("query", F.lit(True))
@@ -324,7 +389,8 @@ def _links(docs: DataFrame, members: DataFrame, near: DataFrame, buckets: DataFr
     if large.isEmpty():
         return links
     ids = large.select("group", "id", "n").distinct()
-    names = large.select("id", "names").dropDuplicates(["id"])
+    # Rows under one id may have different sets.
+    names = large.select("id", "names").distinct()
     while True:
         # One document of every component stands for it.
         heads = _dealt(_labelled(ids, links).filter("id = label"), piece)
@@ -341,19 +407,22 @@ def _links(docs: DataFrame, members: DataFrame, near: DataFrame, buckets: DataFr
     more = _checked(apart.filter("_a <> _b").select("a", "b"), names, percent)
     if not more.isEmpty():
         links = written(links.union(more), "links")
-    placed = written(_labelled(ids, links).drop("group").join(buckets, "id"), "bucket-labels")
-    place = F.xxhash64("id")
+    placed = written(crowded.join(_labelled(ids.select("id", "group"), links), "id"), "bucket-labels")
+    place = F.xxhash64("id", "n", "sketch")
     kinds = placed.groupBy("bucket").agg(
-        (F.min("label") < F.max("label")).alias("mixed"), F.struct(F.count(F.lit(1)), F.bit_xor(place), F.min("id"), F.max("id")).alias("same")
+        (F.min("label") < F.max("label")).alias("mixed"),
+        F.struct(F.count(F.lit(1)), F.bit_xor(place), F.sum(F.shiftright(place, 24)), F.min("id"), F.max("id")).alias("same"),
     )
     # Of buckets with the same documents one is enough.
     open_ones = kinds.filter("mixed").groupBy("same").agg(F.min("bucket").alias("bucket")).select("bucket")
-    rows = placed.join(written(open_ones, "open-buckets"), "bucket").select(F.col("bucket").alias("group"), "id", "n", "label")
-    rows = written(_dealt(rows.distinct(), piece), "open-bucket-rows")
+    opened = _open(placed.join(written(open_ones, "open-buckets"), "bucket").drop("group"), percent)
+    if opened.isEmpty():
+        return links
+    rows = written(_dealt(_labelled(ids.join(opened, "id"), links), piece), "open-rows")
     sizes = rows.groupBy("group", "label").agg(F.count(F.lit(1)).alias("size"))
     largest = sizes.groupBy("group").agg(F.max_by("label", F.struct("size", "label")).alias("largest"))
     rows = rows.join(largest, "group")
-    # A query meets one piece of its bucket at a time, in tasks of one piece of queries and one of rows.
+    # A query meets one piece of its group at a time, in tasks of one piece of queries and one of rows.
     asked = rows.filter("label <> largest").withColumn("target", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     asked = asked.withColumn("query", F.lit(True)).withColumn("source", F.col("piece"))
     sources = asked.select("group", "source").distinct()
@@ -392,13 +461,13 @@ def _components(slim: DataFrame, percent: int, size: int, piece: int) -> DataFra
     sets, buckets = known, _buckets(prefixes, percent)
     classes = written(prefixes.drop("prefix"), "shingle-classes")
     discard(prefixes)
-    near, stars = _near(buckets, classes, percent), _stars(buckets, percent)
+    near, crowded = _near(buckets, classes, percent), _crowded(buckets, classes)
     discard(buckets)
-    groups = components(near.union(stars.select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()))
+    groups = components(near.union(_stars(crowded, percent)))
     groups = groups.select(F.col("node").alias("rep"), F.col("component").alias("group"))
     # Rows repeated under an id carry the same label, so they are never compared.
     members = classes.join(groups, "rep").groupBy("group", F.col("rep").alias("id")).agg(F.max("n").alias("n"))
-    found = components(_links(slim, members, near, stars.select("bucket", "id"), size, percent, piece))
+    found = components(_links(slim, members, near, crowded, size, percent, piece))
     known = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     known = known.select("n", "name_a", "name_b", F.coalesce("component", "rep").alias("component"))
     out = sets.join(known, ["n", "name_a", "name_b"], "left")
