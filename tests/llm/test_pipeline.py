@@ -1,9 +1,11 @@
 """The pipeline stage by stage against plain versions, each on what the stage before kept."""
 
+import random
+
 import corpus_pipeline
 from tests import oracle
 from tests.llm import plain
-from tracegrain.llm import queries
+from tracegrain.llm import jaccard, queries
 from tracegrain.llm.common import table, written
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -54,3 +56,20 @@ def test_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, SF_DIR), "stage")
     assert docs.count() == 0
+
+
+def test_near_duplicates_of_a_common_passage(spark, monkeypatch):
+    """Documents that share a passage only do not reach the search of the stage among each other."""
+    pick = random.Random(6)
+    words = [f"w{i}" for i in range(6)]
+    passage = " ".join(pick.choice(words) for _ in range(25))
+    rows = [(i, " ".join(pick.choice(words) for _ in range(70)) + " " + passage) for i in range(160)]
+    rows += [(1000 + i, "x " + rows[i][1]) for i in range(10)]
+    searched, find = [], jaccard._find_links
+    monkeypatch.setattr(jaccard, "_find_links", lambda tasks, *more: searched.append(tasks.count()) or find(tasks, *more))
+    monkeypatch.setattr(jaccard, "SMALL", 8)
+    monkeypatch.setattr(jaccard.link, "__defaults__", (*jaccard.link.__defaults__[:2], 10, *jaccard.link.__defaults__[3:]))
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "")
+    first = plain.shingle_components([t for _, t in rows], 5, 80)[1]
+    assert sorted(r["doc_id"] for r in kept.collect()) == [rows[i][0] for i in range(len(rows)) if first[i] == i]
+    assert sum(searched) <= 2 * len(rows)
