@@ -55,3 +55,37 @@ def test_odd_vectors(spark):
     alone = [(i, 0, i) for i in (3, 4, 5, 6, 7, 8, 9, 10, 11)]
     assert found == sorted(linked + alone, key=repr)
     assert subspace.near_duplicates(df.filter("false")).count() == 0
+
+
+def test_vectors_are_not_repeated_per_cell(spark, monkeypatch):
+    """No table on the way has more rows than the input: a vector moves once per piece of its label, not once per cell."""
+    pick = np.random.default_rng(3)
+    vectors = pick.normal(size=(150, 64))
+    vectors[100:] = vectors[:50] + pick.normal(scale=0.02, size=(50, 64))
+    rows = [(i, v.tolist(), i % 2) for i, v in enumerate(vectors)]
+    sizes, store = [], subspace.written
+
+    def counted(df, label):
+        table = store(df, label)
+        sizes.append(table.count())
+        return table
+
+    monkeypatch.setattr(subspace, "written", counted)
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    assert _found(subspace.near_duplicates(df)) == _expected(rows, 0.93)
+    assert max(sizes) <= len(rows)
+
+
+def test_tiles_and_pieces(spark, monkeypatch):
+    """Links across products of few rows, in one piece and between several, with repeated and scaled vectors."""
+    monkeypatch.setattr(subspace, "TILE", 8)
+    pick = np.random.default_rng(4)
+    centers = pick.normal(size=(4, 40))
+    rows = [(i, (centers[i % 4] * (1 + i) + (1 + i) * pick.normal(scale=0.15, size=40)).tolist(), 0) for i in range(90)]
+    rows += [(100 + i, rows[i][1], 0) for i in range(5)]
+    expected = _expected(rows, 0.93)
+    assert sum(n for n, _, _ in expected.values()) > 500
+    for piece in (16, 1_024):
+        monkeypatch.setattr(subspace, "PIECE", piece)
+        df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+        assert _found(subspace.near_duplicates(df)) == expected

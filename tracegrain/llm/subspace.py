@@ -1,36 +1,35 @@
 """Near-duplicate vectors by a subspace pigeonhole join.
 
-Vectors are scaled to length 1, turned by a fixed random rotation and cut into blocks of a few dimensions.
+Vectors are scaled to length 1, turned by a fixed random rotation and cut into blocks of some dimensions.
 Two vectors whose squared distance is at most D have a block in which it is at most D times that block's
-share of the dimensions. So every block is range-joined on its own with its share of the budget: a vector
-lies in one grid cell of the block and reaches all cells within the block's radius. Vectors that meet in
-a cell are compared; pairs within the block's budget are candidates and verified exactly on the original
-components. A pair counts in the first block that finds it, so the union needs no further step.
+share of the dimensions. So vectors are compared block by block, each with its share of the budget, as products of
+matrices; a pair within the budget of any block is a candidate and verified exactly on the original components.
+Wide blocks leave next to no others as candidates. No grid goes before the blocks: at this distance its cells hold
+most vectors and repeat each of them many times.
 
-Vectors of equal label and components are one class from the start. Cells are cut into pieces, so a cell
-that holds a large share of the rows is compared piece by piece in many tasks.
+Vectors of equal label and components are one class from the start. The vectors of a label are dealt to pieces, and
+two pieces are compared in a task, so the rows that move are those of the table times the pieces of a label.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracegrain.llm.common import Links, components, written
+from tracegrain.llm.common import Links, checked_join, components, written
 
 COSINE = 0.93
-BLOCK = 4
-# Cell width in radii of the block.
-WIDTH = 6.0
-# Rows of a piece of a cell: two of them are compared in a task at a time.
-PIECE = 1_024
+BLOCK = 32
+# Rows of a piece of a label: two of them are compared in a task at a time.
+PIECE = 16_384
+# Rows of either side in one product, and candidates that are verified at a time.
+TILE = 1_024
 SEED = 17
-# Slack for rounding when candidates are searched; verification has none.
+# Slack for rounding when candidates are searched, in double and in single precision; verification has none.
 SLACK = 1e-9
+ROUNDING = 1e-4
 
 
 def rotation(size: int, seed: int = SEED) -> np.ndarray:
@@ -49,11 +48,8 @@ def limit_of(cosine: float) -> float:
     return 2 - 2 * cosine + SLACK
 
 
-def _turned(vectors: np.ndarray) -> np.ndarray:
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    turn = rotation(vectors.shape[1])
-    # Row by row, so that equal vectors give equal results in every batch.
-    return np.stack([row @ turn for row in unit]) if len(unit) else unit
+def _turned(vectors: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    return (vectors / norms[:, None]) @ rotation(vectors.shape[1])
 
 
 def usable(frame: pd.DataFrame) -> np.ndarray:
@@ -73,113 +69,78 @@ def _classes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("label", "vector").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
 
 
-def _cells(classes: DataFrame, cosine: float) -> DataFrame:
-    """Every class in its own cell of every block, and in the cells that it reaches."""
+def _pieces(classes: DataFrame) -> DataFrame:
+    """Rows of every pair of pieces of a label and length: those of ``piece`` are compared with those of ``other``.
 
-    def spread(frames):
-        for frame in frames:
-            # A few vectors at a time: each of them makes dozens of rows.
-            for part in (frame.iloc[i : i + 128] for i in range(0, len(frame), 128)):
-                out = []
-                for size, some in part.groupby(part["vector"].map(len)):
-                    turned = _turned(np.stack(some["vector"].to_numpy()).astype(np.float64))
-                    for number, (start, end, budget) in enumerate(blocks(size, limit_of(cosine))):
-                        radius = math.sqrt(budget) * (1 + SLACK)
-                        out += _reach(some, turned[:, start:end], radius, f"{size}.{number}")
-                yield pd.DataFrame(out, columns=["label", "cell", "home", "id", "n", "vector"])
-
-    kind = classes.schema["label"].dataType.simpleString()
-    element = classes.schema["vector"].dataType.simpleString()
-    id_kind = classes.schema["id"].dataType.simpleString()
-    schema = f"label {kind}, cell string, home boolean, id {id_kind}, n bigint, vector {element}"
-    return classes.mapInPandas(spread, schema)
-
-
-def _reach(rows: pd.DataFrame, points: np.ndarray, radius: float, name: str) -> list[tuple]:
-    """Rows for the own cell of each point and for the cells that touch the ball around it."""
-    width = radius * WIDTH
-    own = np.floor(points / width).astype(int)
-    out = []
-    for i, row in enumerate(rows[["label", "id", "n", "vector"]].itertuples(index=False)):
-        reached = [((), 0.0)]
-        for k in range(points.shape[1]):
-            low, high = own[i, k] * width, (own[i, k] + 1) * width
-            gaps = [(own[i, k], 0.0), (own[i, k] - 1, points[i, k] - low), (own[i, k] + 1, high - points[i, k])]
-            reached = [
-                ((*cell, int(at)), far + gap * gap) for cell, far in reached for at, gap in gaps if far + gap * gap <= radius * radius
-            ]
-        home = tuple(int(c) for c in own[i])
-        for cell, _ in reached:
-            key = f"{name}:" + ",".join(map(str, cell))
-            out.append((row.label, key, cell == home, row.id, row.n, row.vector))
-    return out
+    The rows of a label are dealt to pieces by their hash, and each goes to all pairs that its piece is in.
+    """
+    rows = classes.withColumn("size", F.size("vector"))
+    sizes = rows.groupBy("label", "size").agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1")
+    rows = checked_join(rows, written(sizes, "label-sizes"), ["label", "size"], "inner")
+    rows = rows.withColumn("_k", F.ceil(F.col("_rows") / PIECE).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id", "vector"), F.col("_k")).cast("int"))
+    rows = rows.withColumn("_met", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    pair = {"piece": F.least("own", "_met"), "other": F.greatest("own", "_met")}
+    return rows.withColumns(pair).drop("_rows", "_k", "_met")
+
+
+def _sides(turned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two matrices whose product holds the squared distances of all rows."""
+    squares, ones = (turned * turned).sum(axis=1, keepdims=True), np.ones((len(turned), 1))
+    left, right = np.hstack([-2 * turned, squares, ones]), np.hstack([turned, ones, squares])
+    return left.astype(np.float32), right.astype(np.float32)
+
+
+def _candidates(turned: np.ndarray, left: np.ndarray, right: np.ndarray, cosine: float):
+    """Row numbers of pairs within the budget of a block, some at a time; each pair once, too, if both sides are the same."""
+    same = np.array_equal(left, right)
+    parts = blocks(turned.shape[1], limit_of(cosine))
+    sides = [_sides(turned[:, start:end]) for start, end, _ in parts]
+    for at in range(0, len(left), TILE):
+        some = left[at : at + TILE]
+        ahead = [side[0][some] for side in sides]
+        for others in (right[i : i + TILE] for i in range(at if same else 0, len(right), TILE)):
+            near = np.zeros((len(some), len(others)), dtype=bool)
+            for mine, side, part in zip(ahead, sides, parts):
+                near |= mine @ side[1][others].T <= np.float32(part[2] + ROUNDING)
+            # Over one dimension, as numpy finds places in two dimensions far more slowly.
+            found = np.flatnonzero(near)
+            for i in range(0, len(found), 16 * TILE):
+                a, b = np.divmod(found[i : i + 16 * TILE], len(others))
+                a, b = some[a], others[b]
+                yield (a[a < b], b[a < b]) if same else (a, b)
 
 
 def _compare(key: tuple, frame: pd.DataFrame, cosine: float) -> pd.DataFrame:
-    """Links of the home rows of a piece with the rows of another, counted in the first block that finds them."""
-    size, number = (int(x) for x in key[1].split(":")[0].split("."))
-    parts = blocks(size, limit_of(cosine))
+    """Links between the rows of two pieces, or inside one: of each row their number and the smallest id reached."""
     vectors = np.stack(frame["vector"].to_numpy()).astype(np.float64)
-    norms = np.sqrt((vectors * vectors).sum(axis=1))
-    turned = _turned(vectors)
-    ids, members = frame["id"].to_numpy(), frame["n"].to_numpy()
-    left, right = np.flatnonzero(frame["left"]), np.flatnonzero(frame["right"])
-    start, end, budget = parts[number]
-    links = np.zeros(len(frame), dtype=np.int64)
+    ids, members, own = frame["id"].to_numpy(), frame["n"].to_numpy(), frame["own"].to_numpy()
+    piece, other = key[2:]
+    links, roots = np.zeros(len(frame), dtype=np.int64), np.arange(len(frame))
     joined = Links(len(frame))
-    near = turned[:, start:end]
-    squares = (near * near).sum(axis=1)
-    for some in (left[i : i + 256] for i in range(0, len(left), 256)):
-        far = squares[some][:, None] + squares[right][None] - 2 * near[some] @ near[right].T
-        a, b = np.nonzero(far <= budget + 1e-7)
-        a, b = some[a], right[b]
-        other = ids[a] != ids[b]
-        a, b = a[other], b[other]
-        apart = _block_distances(turned[a], turned[b], parts[: number + 1])
-        limits = np.array([p[2] for p in parts[: number + 1]])
-        within = apart <= limits
-        first = within[:, -1] & ~within[:, :-1].any(axis=1)
-        a, b = a[first], b[first]
-        linked = (vectors[a] * vectors[b]).sum(axis=1) / (norms[a] * norms[b]) >= cosine
-        a, b = a[linked], b[linked]
-        np.add.at(links, a, members[b])
-        for x, y in zip(a.tolist(), b.tolist()):
-            joined.join(x, y)
-    roots = np.array([joined.root(i) for i in range(len(frame))])
-    smallest = pd.Series(ids).groupby(roots).transform("min").to_numpy() if len(frame) else ids
+    with np.errstate(all="ignore"):
+        norms = np.sqrt((vectors * vectors).sum(axis=1))
+        turned = _turned(vectors, norms)
+        for a, b in _candidates(turned, np.flatnonzero(own == piece), np.flatnonzero(own == other), cosine):
+            apart = ids[a] != ids[b]
+            a, b = a[apart], b[apart]
+            linked = (vectors[a] * vectors[b]).sum(axis=1) / (norms[a] * norms[b]) >= cosine
+            a, b = a[linked], b[linked]
+            np.add.at(links, a, members[b])
+            np.add.at(links, b, members[a])
+            # Only pairs that are not yet joined, each pair of roots once.
+            ends = np.sort(np.stack([roots[a], roots[b]], axis=1), axis=1)
+            ends = np.unique(ends[ends[:, 0] != ends[:, 1]], axis=0)
+            for x, y in ends.tolist():
+                joined.join(x, y)
+            touched, now = np.unique(ends), np.arange(len(frame))
+            now[touched] = [joined.root(x) for x in touched.tolist()]
+            roots = now[roots]
+    smallest = pd.Series(ids).groupby(roots).transform("min").to_numpy()
     out = pd.DataFrame({"id": ids, "links": links, "near": smallest})
     return out[(out["links"] > 0) | (out["near"] != out["id"])]
 
 
-def _block_distances(x: np.ndarray, y: np.ndarray, parts: list[tuple[int, int, float]]) -> np.ndarray:
-    """Squared distance in each block, summed in the same order whoever asks."""
-    gaps = (x - y) ** 2
-    out = np.zeros((len(x), len(parts)))
-    for number, (start, end, _) in enumerate(parts):
-        for k in range(start, end):
-            out[:, number] += gaps[:, k]
-    return out
-
-
-def _pieces(cells: DataFrame) -> DataFrame:
-    """Rows of every pair of pieces of a cell that has home rows; ``left`` rows look for ``right`` ones.
-
-    The rows of a cell are dealt to pieces by their hash. A home row goes to all pairs that start with its
-    piece, and every row to all pairs that end with its piece.
-    """
-    sizes = cells.groupBy("label", "cell").agg(F.count(F.lit(1)).alias("_rows"), F.sum(F.col("home").cast("long")).alias("_homes"))
-    live = sizes.filter((F.col("_homes") > 0) & (F.col("_rows") > 1))
-    rows = cells.join(live, ["label", "cell"])
-    rows = rows.withColumn("_k", F.ceil(F.col("_rows") / PIECE).cast("int"))
-    rows = rows.withColumn("_p", F.pmod(F.xxhash64("id"), F.col("_k")).cast("int"))
-    all_pieces = F.sequence(F.lit(0), F.col("_k") - 1)
-    as_left = rows.filter("home").withColumn("right_piece", F.explode(all_pieces)).withColumn("left_piece", F.col("_p"))
-    as_right = rows.withColumn("left_piece", F.explode(all_pieces)).withColumn("right_piece", F.col("_p"))
-    as_left = as_left.withColumn("left", F.lit(True)).withColumn("right", F.lit(False))
-    as_right = as_right.withColumn("left", F.lit(False)).withColumn("right", F.lit(True))
-    return as_left.unionByName(as_right).drop("_rows", "_homes", "_k", "_p", "home")
-
-
 def near_duplicates(
     vectors: DataFrame,
     cosine: float = COSINE,
@@ -207,9 +168,8 @@ def near_duplicates(
     good = marked.filter("good and id is not null").withColumn("vector", F.transform("vector", lambda v: v + F.lit(0)))
     good = good.withColumn("vector", F.col("vector").cast(rows.schema["vector"].dataType))
     classes = written(_classes(good), "vector-classes")
-    pieces = _pieces(written(_cells(classes, cosine), "vector-cells"))
     id_kind = rows.schema["id"].dataType.simpleString()
-    found = pieces.groupBy("label", "cell", "left_piece", "right_piece").applyInPandas(
+    found = _pieces(classes).groupBy("label", "size", "piece", "other").applyInPandas(
         lambda key, frame: _compare(key, frame, cosine), f"id {id_kind}, links bigint, near {id_kind}"
     )
     found = written(found, "vector-links")
