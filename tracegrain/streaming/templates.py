@@ -70,12 +70,14 @@ def stream_templates(lines: DataFrame, state_dir: str, output_dir: str, checkpoi
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         masked = with_mask(batch)
-        collapsed = collapsed_table(masked).df
+        stored = collapsed_table(masked)
+        collapsed = stored.df
         model = state.load(batch.sparkSession, batch_id, collapsed)
         extended, fresh = extend_collapsed(collapsed, model, last=state.last_id(batch.sparkSession, batch_id))
         out = assign_templates(masked, extended)
         out.write.mode("overwrite").parquet(f"{output_dir}/batch_id={batch_id}")
         state.save(model, extended, fresh, batch_id)
+        stored.drop()
 
     writer = lines.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint_dir)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
